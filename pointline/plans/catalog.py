@@ -766,7 +766,8 @@ def transfer_audit(spark, folder):
 @query
 def team_undo_compensate(spark, folder):
     """Two undos in a row: the second one reverses the entry before."""
-    once = corrections.undo_team_entry(Inputs(spark, folder).direct(), S.AS_OF)
+    direct = ingest.accept_team_entries(Inputs(spark, folder).direct(), S.OPEN_TEAMS)
+    once = corrections.undo_team_entry(direct, S.AS_OF)
     twice = corrections.undo_team_entry(once, S.AS_OF)
     return twice.where(F.col("reverses_id").isNotNull())
 
