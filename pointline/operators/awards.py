@@ -80,24 +80,33 @@ def won(winners: DataFrame, badge_id: str, date_earned: Column | str, scope: str
         ENTITY[scope], F.lit(badge_id).alias("badge_id"), when.cast("timestamp_ntz").alias("date_earned")), scope, rules)
 
 
-def judge(rows: DataFrame, rules: Iterable[Rule], badge_ids: Sequence[str], when: Column) -> DataFrame:
-    """First ``when`` at which each predicate held, for all rules in one aggregate."""
-    wanted = [r for r in rules if r.badge_id in badge_ids]
-    firsts = rows.groupBy("player_id").agg(*[
-        F.min(F.when(F.expr(r.predicate), when)).alias(r.badge_id) for r in wanted])
+def rule_dates(rules: Iterable[Rule], badge_ids: Sequence[str], when: Column) -> list[Column]:
+    """Aggregates, one per rule: the first ``when`` at which the predicate held."""
+    return [F.min(F.when(F.expr(r.predicate), when)).alias(r.badge_id) for r in rules if r.badge_id in badge_ids]
+
+
+def unfold(firsts: DataFrame, badge_ids: Sequence[str]) -> DataFrame:
+    """From a column per rule to a row per award."""
     return firsts.select("player_id", F.explode(F.array(*[
-        F.struct(F.lit(r.badge_id).alias("badge_id"), F.col(r.badge_id).alias("date_earned")) for r in wanted
+        F.struct(F.lit(b).alias("badge_id"), F.col(b).alias("date_earned")) for b in badge_ids
     ])).alias("w")).select("player_id", "w.*").where(F.col("date_earned").isNotNull())
 
 
 # players, first time ------------------------------------------------------------------------------------------------
 
-def entry_awards(ledger: DataFrame, praise: Sequence[str], badge_ids: Sequence[str] = ENTRY_RULES,
-                 rules: Iterable[Rule] = RULES, case_sensitive: bool = True, **chunking) -> DataFrame:
-    """Streak, comeback and praise awards at the entry that first met their condition."""
+def entry_summary(ledger: DataFrame, praise: Sequence[str], rules: Iterable[Rule] = RULES,
+                  case_sensitive: bool = True, **chunking) -> DataFrame:
+    """Per player when each rule judged after every entry first held, and ``last_negative``: one pass over the ledger."""
     counters = {"praise": text.contains_any(F.col("action"), praise, case_sensitive)}
-    states = running_state(rollups.actions_only(ledger), counters, **chunking)
-    return grant(judge(states, rules, badge_ids, F.col("ts")), "player", rules)
+    states = rollups.actions_only(running_state(ledger, counters, **chunking))
+    return states.groupBy("player_id").agg(
+        *rule_dates(rules, ENTRY_RULES, F.col("ts")),
+        F.max(F.when(state.is_low_point(), F.col("ts"))).alias("last_negative"))
+
+
+def entry_awards(summary: DataFrame, badge_ids: Sequence[str] = ENTRY_RULES, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """Streak, comeback and praise awards at the entry that first met their condition, from ``entry_summary``."""
+    return grant(unfold(summary, badge_ids), "player", rules)
 
 
 def on_fire(ledger: DataFrame, hard: Sequence[str], k: int = 2, days: int = 14,
@@ -107,19 +116,17 @@ def on_fire(ledger: DataFrame, hard: Sequence[str], k: int = 2, days: int = 14,
     return won(state.first_time_within(times, k, days), "on_fire", "ts")
 
 
-def marathon(ledger: DataFrame, run: int = 5) -> DataFrame:
-    """Positive entries on five days in a row, earned with the first one of the fifth day."""
-    days = state.active_days(ledger)
+def marathon(days: DataFrame, run: int = 5) -> DataFrame:
+    """Positive actions on five days in a row, earned with the first one of the fifth day; from ``player_days``."""
     earlier = F.lag("day", run - 1).over(Window.partitionBy("player_id").orderBy("day"))
-    full = days.withColumn("_earlier", earlier).where(F.datediff("day", "_earlier") == run - 1)
+    full = state.active_days(days).withColumn("_earlier", earlier).where(F.datediff("day", "_earlier") == run - 1)
     return won(full.groupBy("player_id").agg(F.min("first_ts").alias("ts")), "marathon_runner", "ts")
 
 
-def first_time_awards(ledger: DataFrame, praise: Sequence[str] = (text.PRAISE_KEYWORD,),
-                      hard: Sequence[str] = (text.HARD_WORK_KEYWORD,), **chunking) -> DataFrame:
-    """All player awards that the player's own entries decide."""
-    return (entry_awards(ledger, praise, **chunking)
-            .unionByName(on_fire(ledger, hard)).unionByName(marathon(ledger)))
+def first_time_awards(ledger: DataFrame, summary: DataFrame, days: DataFrame,
+                      hard: Sequence[str] = (text.HARD_WORK_KEYWORD,)) -> DataFrame:
+    """All player awards that the player's own entries decide; ``summary`` and ``days`` are made from the ledger."""
+    return entry_awards(summary).unionByName(on_fire(ledger, hard)).unionByName(marathon(days))
 
 
 # players, as of -----------------------------------------------------------------------------------------------------
@@ -129,8 +136,9 @@ def recompute(player_state: DataFrame, as_of: dt.datetime, rules: Iterable[Rule]
     features = player_state.withColumnsRenamed({
         "current_streak": "streak", "score": "total", "lowest_score": "lowest", "praise_count": "praise",
         "in_a_row": "five_in_a_row"})
-    due = judge(features, rules, [r.badge_id for r in rules if r.predicate], cal.ntz(as_of))
-    return grant(due, "player", rules).withColumn("points", F.lit(0).cast("bigint"))
+    judged = [r.badge_id for r in rules if r.predicate]
+    due = features.groupBy("player_id").agg(*rule_dates(rules, judged, cal.ntz(as_of)))
+    return grant(unfold(due, judged), "player", rules).withColumn("points", F.lit(0).cast("bigint"))
 
 
 def courage(ledger: DataFrame, as_of: dt.datetime, keywords: Sequence[str] = text.REFEREE_KEYWORDS,
@@ -173,9 +181,9 @@ def veteran(intervals: DataFrame, top: int = 3, months: int = 2, days: int = 0)
     return won(snapshots.first_held(runs, "player_id"), "veteran", "held_on")
 
 
-def team_player(ledger: DataFrame, players: DataFrame, as_of: dt.datetime) -> DataFrame:
+def team_player(days: DataFrame, players: DataFrame, as_of: dt.datetime, direct: DataFrame | None = None) -> DataFrame:
     """Members of a team that gained the most points in a finished week, earned when the first such week is over."""
-    weeks = rollups.team_period_points(rollups.until(ledger, as_of), players, period_types=("week",)).where(
+    weeks = rollups.team_period_points(days, players, direct, ("week",)).where(
         F.date_add("period_start", 7) <= F.lit(as_of.date()))
     best = top_per_group(weeks, ["period_start"], [F.desc("points"), F.col("team")], 1)
     first = best.groupBy("team").agg(F.date_add(F.min("period_start"), 7).alias("day"))
@@ -217,18 +225,17 @@ def tidal_wave(daily: DataFrame, threshold: int = 200) -> DataFrame:
     return won(first_reach(daily, "month", threshold), "tidal_wave", "day", "team")
 
 
-def lightning_strike(ledger: DataFrame, players: DataFrame) -> DataFrame:
+def lightning_strike(days: DataFrame, players: DataFrame) -> DataFrame:
     """All members gain points on the same day."""
-    full = rollups.active_players_per_day(ledger, players).join(team_sizes(players), "team").where(
+    full = rollups.active_players_per_day(days, players).join(team_sizes(players), "team").where(
         F.col("active") == F.col("size"))
     return won(full.groupBy("team").agg(F.min("day").alias("day")), "lightning_strike", "day", "team")
 
 
-def house_on_fire(ledger: DataFrame, players: DataFrame, share: float = 0.8) -> DataFrame:
+def house_on_fire(days: DataFrame, players: DataFrame, share: float = 0.8) -> DataFrame:
     """Enough members with a positive entry in one week, earned on the day the share was reached."""
-    day = F.to_date("ts")
-    firsts = ledger.where(F.col("points") > 0).groupBy(
-        "player_id", cal.week_bounds(day)[0].alias("week")).agg(F.min(day).alias("day"))
+    firsts = days.where(F.col("positive_entries") > 0).groupBy(
+        "player_id", cal.week_bounds(F.col("day"))[0].alias("week")).agg(F.min("day").alias("day"))
     daily = firsts.join(players.select("player_id", "team"), "player_id").groupBy("team", "week", "day").agg(
         F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("team", "week").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

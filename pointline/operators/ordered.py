@@ -1,7 +1,7 @@
 """Ordered computations that no single key can overload.
 
 A window over ``partitionBy(player).orderBy(id)`` puts all rows of a player into one task. Here the rows of a *hot* player
-are cut into chunks of the id range first. Ids are unique, so a chunk never holds more than ``CHUNK_WIDTH`` rows; windows run
+are cut into chunks of the id range first. Ids are unique, so a chunk never holds more than ``2**CHUNK_BITS`` rows; windows run
 inside chunks, and a summary with one row per chunk carries the totals from chunk to chunk. All other players keep
 one chunk, for which the summary has no rows, so the ordinary case costs one shuffle of the ledger as before.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_WIDTH = 1 << 20
+CHUNK_BITS = 20
 HOT_ROWS = 4_000_000
 MAX_HOT = 10_000
 WHOLE = -1  # chunk number of players that are not cut
@@ -31,11 +31,11 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def with_chunks(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT_ROWS,
-                width: int = CHUNK_WIDTH) -> DataFrame:
+                bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``_chunk``: the id range of a hot player's row, WHOLE for the others."""
     hot = hot_keys(ledger, key, hot_rows).withColumn("_hot", F.lit(True))
     return ledger.join(F.broadcast(hot), key, "left").withColumn(
-        "_chunk", F.when(F.col("_hot"), F.floor(F.col("id") / width)).otherwise(F.lit(WHOLE))
+        "_chunk", F.when(F.col("_hot"), F.shiftright("id", bits)).otherwise(F.lit(WHOLE))
     ).drop("_hot")
 
 
@@ -48,9 +48,9 @@ def _so_far(key: str) -> Window:
 
 
 def running_total(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT_ROWS,
-                  width: int = CHUNK_WIDTH) -> DataFrame:
+                  bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``total`` (the key's total after each entry) and ``prev_total`` (before it)."""
-    rows = with_chunks(ledger, key, hot_rows, width)
+    rows = with_chunks(ledger, key, hot_rows, bits)
     sums = rows.where(F.col("_chunk") != WHOLE).groupBy(key, "_chunk").agg(F.sum("points").alias("_s"))
     opening = sums.select(key, "_chunk", F.coalesce(F.sum("_s").over(_before(key)), F.lit(0)).alias("_open"))
     inside = rows.withColumn("_sum", F.sum("points").over(_so_far(key)))
@@ -60,26 +60,27 @@ def running_total(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT
 
 
 def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None, hot_rows: int = HOT_ROWS,
-                  width: int = CHUNK_WIDTH) -> DataFrame:
+                  bits: int = CHUNK_BITS) -> DataFrame:
     """Adds each player's state after every entry.
 
     ``total``, ``lowest`` (least total so far, at most 0), ``streak`` (positive entries since the last entry of zero or
     less) and, for every name in ``counters``, how often its condition has held.
 
     The streak is the number of positive entries so far less that number at the last reset, so it needs only running sums
-    and a running maximum, which carry over chunk borders.
+    and a running maximum, which carry over chunk borders. System entries count towards the total only.
     """
     key = "player_id"
     counters = counters or {}
-    reset = F.col("points") <= 0
-    sums = {"total": F.col("points"), "pos": F.when(reset, 0).otherwise(1),
-            **{name: F.when(test, 1).otherwise(0) for name, test in counters.items()}}
-    rows = with_chunks(ledger, key, hot_rows, width)
+    action = F.col("kind") == "action" if "kind" in ledger.columns else F.lit(True)
+    reset = action & (F.col("points") <= 0)
+    tests = {"pos": action & (F.col("points") > 0), **{name: action & test for name, test in counters.items()}}
+    sums = {"total": F.col("points"), **{name: F.when(test, 1).otherwise(0) for name, test in tests.items()}}
+    rows = with_chunks(ledger, key, hot_rows, bits)
     inside = rows.withColumns({f"_{n}": F.sum(e).over(_so_far(key)) for n, e in sums.items()})
 
     per_chunk = inside.where(F.col("_chunk") != WHOLE).groupBy(key, "_chunk").agg(
         *[F.max_by(f"_{n}", "id").alias(f"s_{n}") for n in sums],
-        F.min("_total").alias("low"), F.max(F.when(reset, F.col("_pos"))).alias("at_reset"),
+        F.min(F.when(action, F.col("_total"))).alias("low"), F.max(F.when(reset, F.col("_pos"))).alias("at_reset"),
     )
     carried = per_chunk.withColumns(
         {f"o_{n}": F.coalesce(F.sum(f"s_{n}").over(_before(key)), F.lit(0)) for n in sums}
@@ -91,7 +92,7 @@ def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None,
 
     zero = F.lit(0)
     local = inside.withColumns({
-        "_low": F.min("_total").over(_so_far(key)),
+        "_low": F.min(F.when(action, F.col("_total"))).over(_so_far(key)),
         "_reset": F.max(F.when(reset, F.col("_pos"))).over(_so_far(key)),
     })
     final = {n: F.col(f"_{n}") + F.coalesce(f"o_{n}", zero) for n in sums}
@@ -105,13 +106,13 @@ def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None,
     )
 
 
-def running_record(totals: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def running_record(totals: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Rows of ``totals`` whose ``total`` beats every earlier one in the whole ledger, with ``is_current``.
 
     The order is global, so the id range is cut for everyone. The summary has one row per chunk (a millionth of the ledger)
     and tells which chunks can hold a record at all; only their rows are shuffled.
     """
-    chunk = F.floor(F.col("id") / width)
+    chunk = F.shiftright("id", bits)
     best = totals.groupBy(chunk.alias("_chunk")).agg(F.max("total").alias("_best"))
     order = Window.orderBy("_chunk")
     best = best.withColumns({
@@ -129,7 +130,7 @@ def running_record(totals: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
 
 
 def ranked(rows: DataFrame, score: str, tiebreak: str, groups: Sequence[str] = (), name: str = "rank",
-           buckets: int = 256, sample: int = 1024, width: int = CHUNK_WIDTH) -> DataFrame:
+           buckets: int = 256, sample: int = 1024, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds the rank by ``score`` descending, then by the unique BIGINT ``tiebreak`` ascending, within ``groups``.
 
     A group can be a third of all rows, so it is cut: at score quantiles, with a bucket of its own for a score that is itself a
@@ -145,7 +146,7 @@ def ranked(rows: DataFrame, score: str, tiebreak: str, groups: Sequence[str] = (
     at_cut = F.exists("_cuts", lambda c: c == F.col(score))
     cut = cut.withColumns({
         "_bucket": F.when(F.col("_cuts").isNull(), 0).otherwise(2 * below + F.when(at_cut, 1).otherwise(0)),
-        "_part": F.when(F.coalesce(at_cut, F.lit(False)), F.floor(F.col(tiebreak) / width)).otherwise(0),
+        "_part": F.when(F.coalesce(at_cut, F.lit(False)), F.shiftright(tiebreak, bits)).otherwise(0),
     }).drop("_cuts")
     place = [*groups, "_bucket", "_part"]
     better = Window.partitionBy(*groups).orderBy(F.desc("_bucket"), "_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from .ordered import CHUNK_WIDTH, running_record, running_total, top_per_group
+from .ordered import CHUNK_BITS, running_record, running_total, top_per_group
 
 MILESTONES = (50, 100, 150, 200, 250)  # fixed values
 MVP_METRICS = {"academic": "academic_points", "sport": "sport_points", "progression": "total_points"}
@@ -27,9 +27,9 @@ def first_to_milestone(totals: DataFrame, milestones: Sequence[int] = MILESTONES
         F.min_by(entry, F.col("id")).alias("e")).select("milestone", "e.*")
 
 
-def record_progression(totals: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def record_progression(totals: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Every entry that set a new highest total, in the whole ledger; the last one is current."""
-    return running_record(totals, width).select(
+    return running_record(totals, bits).select(
         "id", "player_id", F.col("total").alias("score"), F.col("ts").alias("date_achieved"), "is_current")
 
 

@@ -35,7 +35,22 @@ def points_in(category: str, positive: bool = False):
     return F.sum(F.when(F.col("category") == category, points).otherwise(0))
 
 
+def player_days(ledger: DataFrame) -> DataFrame:
+    """One row per player and day with entries: the base of everything that needs no single entries.
+
+    ``points`` and ``positive_entries`` include system rows, the other columns do not.
+    """
+    action = F.col("kind") == "action" if "kind" in ledger.columns else F.lit(True)
+    gain = F.col("points") > 0
+    return ledger.groupBy("player_id", F.to_date("ts").alias("day")).agg(
+        F.sum("points").alias("points"), F.count_if(gain).alias("positive_entries"),
+        F.count_if(action & gain).alias("positive_actions"),
+        F.sum(F.when(action & gain, F.col("points")).otherwise(0)).alias("positive_points"),
+        F.min(F.when(action & gain, F.col("ts"))).alias("first_positive_ts"))
+
+
 def player_scores(ledger: DataFrame) -> DataFrame:
+    """Sum of points per player, of a ledger or of ``player_days``."""
     return ledger.groupBy("player_id").agg(F.sum("points").alias("score"))
 
 
@@ -119,20 +134,19 @@ def team_direct_totals(direct: DataFrame, as_of: dt.datetime) -> DataFrame:
     return recent.groupBy("team").agg(*[e.alias(n) for n, e in sums.items()], row_count().alias("entries"))
 
 
-def team_day_points(ledger: DataFrame, players: DataFrame, direct: DataFrame | None = None) -> DataFrame:
-    """Points a team gains per day: members' positive points plus signed team-direct points."""
-    members = ledger.where(F.col("points") > 0).groupBy("player_id", F.to_date("ts").alias("day")).agg(
-        F.sum("points").alias("points"))
-    gained = members.join(players.select("player_id", "team"), "player_id").select("team", "day", "points")
+def team_day_points(days: DataFrame, players: DataFrame, direct: DataFrame | None = None) -> DataFrame:
+    """Points a team gains per day: members' positive points (from ``player_days``) plus signed team-direct points."""
+    gained = days.where(F.col("positive_points") > 0).join(players.select("player_id", "team"), "player_id").select(
+        "team", "day", F.col("positive_points").alias("points"))
     if direct is not None:
         gained = gained.unionByName(direct.select("team", F.to_date("ts").alias("day"), "points"))
     return gained.groupBy("team", "day").agg(F.sum("points").alias("points"))
 
 
-def team_period_points(ledger: DataFrame, players: DataFrame, direct: DataFrame | None = None,
+def team_period_points(days: DataFrame, players: DataFrame, direct: DataFrame | None = None,
                        period_types: Sequence[str] = ("week", "month")) -> DataFrame:
     """``team_day_points`` per calendar week and month; a new period starts from nothing."""
-    return by_period(team_day_points(ledger, players, direct), period_types).groupBy(
+    return by_period(team_day_points(days, players, direct), period_types).groupBy(
         "team", "period_type", "period_start").agg(F.sum("points").alias("points"))
 
 
@@ -144,17 +158,15 @@ def by_period(daily: DataFrame, period_types: Sequence[str]) -> DataFrame:
     return daily.withColumn("_p", F.explode(periods)).select("*", "_p.period_type", "_p.period_start").drop("_p")
 
 
-def player_period_actions(ledger: DataFrame) -> DataFrame:
-    """Positive entries per player, week and month."""
-    daily = actions_only(ledger).where(F.col("points") > 0).groupBy(
-        "player_id", F.to_date("ts").alias("day")).agg(row_count().alias("n"))
-    return by_period(daily, ("week", "month")).groupBy("player_id", "period_type", "period_start").agg(
-        F.sum("n").alias("positive_actions"))
+def player_period_actions(days: DataFrame) -> DataFrame:
+    """Positive actions per player, week and month."""
+    active = days.where(F.col("positive_actions") > 0)
+    return by_period(active, ("week", "month")).groupBy("player_id", "period_type", "period_start").agg(
+        F.sum("positive_actions").alias("positive_actions"))
 
 
-def active_players_per_day(ledger: DataFrame, players: DataFrame, positive: bool = True) -> DataFrame:
-    """How many members of a team have a (positive) entry on a day."""
-    rows = ledger.where(F.col("points") > 0) if positive else ledger
-    pairs = rows.select("player_id", F.to_date("ts").alias("day")).distinct()
-    return pairs.join(players.select("player_id", "team"), "player_id").groupBy("team", "day").agg(
+def active_players_per_day(days: DataFrame, players: DataFrame) -> DataFrame:
+    """How many members of a team have a positive entry on a day."""
+    active = days.where(F.col("positive_entries") > 0).select("player_id", "day")
+    return active.join(players.select("player_id", "team"), "player_id").groupBy("team", "day").agg(
         row_count().alias("active"))

@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from .ordered import top_per_group
-from .rollups import until
 
 
-def score_intervals(ledger: DataFrame, players: DataFrame, first_day: dt.date, as_of: dt.datetime) -> DataFrame:
-    """Closing scores ``(player_id, team, from_day, to_day, score)`` that cover ``first_day`` to ``as_of`` without gaps.
+def score_intervals(days: DataFrame, players: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFrame:
+    """Closing scores ``(player_id, team, from_day, to_day, score)`` that cover the days given without gaps.
 
-    Players start at 0. The window of a player sees one row per calendar day with entries.
+    ``days`` is ``player_days`` up to the last day. Players start at 0. The window of a player sees one row per calendar day
+    with entries.
     """
-    last = F.lit(as_of.date())
-    entries = until(ledger, as_of).select(
-        "player_id", F.greatest(F.to_date("ts"), F.lit(first_day)).alias("day"), "points")
+    last = F.lit(last_day)
+    entries = days.select("player_id", F.greatest("day", F.lit(first_day)).alias("day"), "points")
     start = players.select("player_id", F.lit(first_day).alias("day"), F.lit(0).cast("bigint").alias("points"))
     daily = entries.unionByName(start).groupBy("player_id", "day").agg(F.sum("points").alias("points"))
     by_day = Window.partitionBy("player_id").orderBy("day")
@@ -127,14 +126,12 @@ def team_days_in_top(intervals: DataFrame, k: int = 10, members: int = 3) -> Dat
         F.col("n") >= members).select("team", "day")
 
 
-def team_daily_totals(ledger: DataFrame, players: DataFrame, first_day: dt.date, as_of: dt.datetime) -> DataFrame:
-    """Closing total of every team on every day."""
-    daily = until(ledger, as_of).groupBy(
-        "player_id", F.greatest(F.to_date("ts"), F.lit(first_day)).alias("day")).agg(F.sum("points").alias("points"))
-    gains = daily.join(players.select("player_id", "team"), "player_id").groupBy("team", "day").agg(
-        F.sum("points").alias("points"))
+def team_daily_totals(days: DataFrame, players: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFrame:
+    """Closing total of every team on every day, from ``player_days`` up to the last one."""
+    gains = days.join(players.select("player_id", "team"), "player_id").groupBy(
+        "team", F.greatest("day", F.lit(first_day)).alias("day")).agg(F.sum("points").alias("points"))
     so_far = Window.partitionBy("team").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return calendar_of(players.select("team").distinct(), first_day, as_of.date()).join(
+    return calendar_of(players.select("team").distinct(), first_day, last_day).join(
         gains, ["team", "day"], "left"
     ).select("team", "day", F.sum(F.coalesce("points", F.lit(0))).over(so_far).alias("total"))
 

@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from ..functions import arrays, text
 from ..functions import calendar as cal
 from .ordered import running_state, running_total, top_per_group
-from .rollups import actions_only
+from .rollups import actions_only, player_days
 
 
 def streaks(ledger: DataFrame, **chunking) -> DataFrame:
     """Current and longest run of positive entries; an entry of zero or less ends a run."""
-    return running_state(actions_only(ledger), **chunking).groupBy("player_id").agg(
+    return running_state(ledger, **chunking).groupBy("player_id").agg(
         F.max_by("streak", "id").alias("current_streak"), F.max("streak").alias("max_streak"))
 
 
 def lowest_score(ledger: DataFrame, **chunking) -> DataFrame:
     """Least running total, at most 0."""
-    totals = running_total(actions_only(ledger), **chunking)
+    totals = actions_only(running_total(ledger, **chunking))
     return totals.groupBy("player_id").agg(F.least(F.lit(0), F.min("total")).alias("lowest_score"))
 
 
@@ -47,20 +47,20 @@ def keyword_times(ledger: DataFrame, keywords: Sequence[str], case_sensitive: bo
     return actions_only(ledger).where(hit).select("player_id", "id", "ts")
 
 
-def active_days(ledger: DataFrame) -> DataFrame:
-    """Days with a positive entry per player, and when the first of the day came."""
-    return actions_only(ledger).where(F.col("points") > 0).groupBy(
-        "player_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("first_ts"))
+def active_days(days: DataFrame) -> DataFrame:
+    """Days with a positive action per player (from ``player_days``), and when the first of the day came."""
+    return days.where(F.col("positive_actions") > 0).select(
+        "player_id", "day", F.col("first_positive_ts").alias("first_ts"))
 
 
-def consecutive_days(ledger: DataFrame, keep: int = 7, run: int = 5) -> DataFrame:
+def consecutive_days(days: DataFrame, keep: int = 7, run: int = 5) -> DataFrame:
     """The last ``keep`` positive days of each player, and whether the last ``run`` of them follow each other.
 
     The run need not be recent; ``last_day`` tells.
     """
-    latest = top_per_group(active_days(ledger), ["player_id"], [F.desc("day")], keep)
-    days = latest.groupBy("player_id").agg(F.sort_array(F.collect_list("day")).alias("days"))
-    return days.select("player_id", "days", F.element_at("days", -1).alias("last_day"),
+    latest = top_per_group(active_days(days), ["player_id"], [F.desc("day")], keep)
+    kept = latest.groupBy("player_id").agg(F.sort_array(F.collect_list("day")).alias("days"))
+    return kept.select("player_id", "days", F.element_at("days", -1).alias("last_day"),
                        arrays.days_in_a_row(F.col("days"), run).alias("in_a_row"))
 
 
@@ -98,34 +98,42 @@ def latest_n(ledger: DataFrame, n: int = 50) -> DataFrame:
     return top_per_group(ledger, ["player_id"], [F.desc("id")], n)
 
 
-def opening_balance(ledger: DataFrame) -> DataFrame:
-    """Each player's total before the first entry of every day with entries.
+def opening_balance(days: DataFrame) -> DataFrame:
+    """Each player's total before the first entry of every day with entries (from ``player_days``).
 
     Ids rise with time, so this is the sum of the days before, and no window has to see single entries.
     """
-    daily = ledger.groupBy("player_id", F.to_date("ts").alias("day")).agg(F.sum("points").alias("points"))
     before = Window.partitionBy("player_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return daily.select("player_id", "day", F.coalesce(F.sum("points").over(before), F.lit(0)).alias("opening"))
+    return days.select("player_id", "day", F.coalesce(F.sum("points").over(before), F.lit(0)).alias("opening"))
 
 
-def team_last_negative(ledger: DataFrame, players: DataFrame, **chunking) -> DataFrame:
-    """When a member last had a negative entry that left a negative total, per team."""
-    totals = running_total(actions_only(ledger), **chunking)
-    bad = totals.where((F.col("points") < 0) & (F.col("total") < 0)).groupBy("player_id").agg(F.max("ts").alias("ts"))
-    return bad.join(players.select("player_id", "team"), "player_id").groupBy("team").agg(
-        F.max("ts").alias("last_negative"))
+def is_low_point():
+    """A negative entry that leaves a negative total."""
+    return (F.col("points") < 0) & (F.col("total") < 0)
+
+
+def last_negative(ledger: DataFrame, **chunking) -> DataFrame:
+    """When a player last had a negative entry that left a negative total."""
+    totals = actions_only(running_total(ledger, **chunking))
+    return totals.where(is_low_point()).groupBy("player_id").agg(F.max("ts").alias("last_negative"))
+
+
+def team_last_negative(low_points: DataFrame, players: DataFrame) -> DataFrame:
+    """The latest ``last_negative`` of any member, per team that has one."""
+    low = low_points.where(F.col("last_negative").isNotNull())
+    return low.join(players.select("player_id", "team"), "player_id").groupBy("team").agg(
+        F.max("last_negative").alias("last_negative"))
 
 
 def player_state(ledger: DataFrame, as_of: dt.datetime, praise: Sequence[str] = (text.PRAISE_KEYWORD,),
                  hard: Sequence[str] = (text.HARD_WORK_KEYWORD,), hard_days: int = 14, case_sensitive: bool = True,
                  **chunking) -> DataFrame:
     """One row of counters per player as of a moment; ``ledger`` must end there (see ``until``)."""
-    rows = actions_only(ledger)
     is_hard = text.contains_any(F.col("action"), hard, case_sensitive)
     recent = F.col("ts") > cal.ntz(as_of - dt.timedelta(days=hard_days))
     in_period = {p: cal.within_days(F.col("ts"), *cal.period_range(as_of, p)) for p in ("week", "month")}
-    state = running_state(rows, **chunking).groupBy("player_id").agg(
-        F.sum("points").alias("score"),
+    state = actions_only(running_state(ledger, **chunking)).groupBy("player_id").agg(
+        F.max_by("total", "id").alias("score"),
         F.max_by("streak", "id").alias("current_streak"), F.max("streak").alias("max_streak"),
         F.min("lowest").alias("lowest_score"),
         F.count_if(text.contains_any(F.col("action"), praise, case_sensitive)).alias("praise_count"),
@@ -133,5 +141,5 @@ def player_state(ledger: DataFrame, as_of: dt.datetime, praise: Sequence[str] =
         F.count_if((F.col("points") > 0) & in_period["week"]).alias("weekly_actions"),
         F.count_if((F.col("points") > 0) & in_period["month"]).alias("monthly_actions"),
         F.max("ts").alias("last_action"))
-    days = consecutive_days(rows).select("player_id", F.col("days").alias("consecutive_days"), "in_a_row")
+    days = consecutive_days(player_days(ledger)).select("player_id", F.col("days").alias("consecutive_days"), "in_a_row")
     return state.join(days, "player_id", "left").withColumn("in_a_row", F.coalesce("in_a_row", F.lit(False)))

@@ -71,27 +71,42 @@ class Inputs:
         return rollups.scoreboard(self.players(), self.ledger())
 
     def active_scores(self) -> DataFrame:
-        return rollups.scoreboard(self.active(), self.recent())
+        return rollups.scoreboard(self.active(), self.days())
+
+    def days(self) -> DataFrame:
+        """Player days up to ``AS_OF``."""
+        return rollups.player_days(self.recent())
+
+    def summary(self) -> DataFrame:
+        return awards.entry_summary(self.recent(), S.PRAISE)
+
+    def store(self) -> Inputs:
+        """The same inputs with days and entry summary written to tables, for queries that use them in many places."""
+        days, summary = (
+            sinks.reload_table(frame, shared_folder(self.spark, purpose))
+            for frame, purpose in ((self.days(), "player-days"), (self.summary(), "entry-summary")))
+        stored = Inputs(self.spark, self.folder)
+        stored.days, stored.summary = lambda: days, lambda: summary
+        return stored
 
     def intervals(self) -> DataFrame:
-        return snapshots.score_intervals(self.ledger(), self.active(), S.FIRST_DAY, S.AS_OF)
+        return snapshots.score_intervals(self.days(), self.active(), S.FIRST_DAY, S.AS_OF.date())
 
     def badges(self) -> DataFrame:
-        return awards.first_time_awards(self.recent(), S.PRAISE, S.HARD)
+        return awards.first_time_awards(self.recent(), self.summary(), self.days(), S.HARD)
 
     def team_gains(self) -> DataFrame:
-        direct = rollups.until(self.direct(), S.AS_OF)
-        return rollups.team_day_points(self.recent(), self.players(), direct)
+        return rollups.team_day_points(self.days(), self.players(), rollups.until(self.direct(), S.AS_OF))
 
     def team_badges(self) -> DataFrame:
-        ledger, players = self.recent(), self.active()
+        ledger, players, days = self.recent(), self.active(), self.days()
         scores = self.active_scores()
         parts = [
             awards.rocket_launch(self.team_gains(), S.WEEK_POINTS),
             awards.tidal_wave(self.team_gains(), S.MONTH_POINTS),
-            awards.lightning_strike(ledger, players),
-            awards.house_on_fire(ledger, players),
-            awards.united(scores, state.team_last_negative(ledger, players), S.AS_OF, S.UNITED_DAYS),
+            awards.lightning_strike(days, players),
+            awards.house_on_fire(days, players),
+            awards.united(scores, state.team_last_negative(self.summary(), players), S.AS_OF, S.UNITED_DAYS),
             awards.perfect_balance(scores, S.AS_OF, *S.BALANCE),
             awards.harmony(scores, S.AS_OF, S.HARMONY_GAP, S.HARMONY_MONTH),
             awards.mutual_support(ledger, players, S.AS_OF, S.VOLUNTEER),
@@ -173,7 +188,7 @@ def export_teams(spark, folder):
 
 @query
 def export_team_badges(spark, folder):
-    return reports.team_badge_sheet(Inputs(spark, folder).team_badges())
+    return reports.team_badge_sheet(Inputs(spark, folder).store().team_badges())
 
 
 @query
@@ -299,7 +314,10 @@ def badge_count_per_player(spark, folder):
 def award_once(spark, folder):
     """Awards of the whole ledger that were not yet earned at ``AS_OF``."""
     x = Inputs(spark, folder)
-    return awards.award_once(awards.first_time_awards(x.ledger(), S.PRAISE, S.HARD), x.badges())
+    ledger = x.ledger()
+    found = awards.first_time_awards(
+        ledger, awards.entry_summary(ledger, S.PRAISE), rollups.player_days(ledger), S.HARD)
+    return awards.award_once(found, x.badges())
 
 
 @query
@@ -363,7 +381,7 @@ def reserve_stats(spark, folder):
 @query
 def distinct_active_players(spark, folder):
     x = Inputs(spark, folder)
-    return rollups.active_players_per_day(x.ledger(), x.players())
+    return rollups.active_players_per_day(rollups.player_days(x.ledger()), x.players())
 
 
 @query
@@ -409,12 +427,12 @@ def period_type_summary(spark, folder):
 @query
 def team_period_points(spark, folder):
     x = Inputs(spark, folder)
-    return rollups.team_period_points(x.ledger(), x.players(), x.direct())
+    return rollups.team_period_points(rollups.player_days(x.ledger()), x.players(), x.direct())
 
 
 @query
 def player_period_actions(spark, folder):
-    return rollups.player_period_actions(Inputs(spark, folder).ledger())
+    return rollups.player_period_actions(rollups.player_days(Inputs(spark, folder).ledger()))
 
 
 @query
@@ -430,7 +448,7 @@ def keyword_times(spark, folder):
 @query
 def team_last_negative(spark, folder):
     x = Inputs(spark, folder)
-    return state.team_last_negative(x.ledger(), x.players())
+    return state.team_last_negative(state.last_negative(x.ledger()), x.players())
 
 
 @query
@@ -479,12 +497,12 @@ def global_rank(spark, folder):
 @query
 def team_positions(spark, folder):
     x = Inputs(spark, folder)
-    return snapshots.team_positions(snapshots.team_daily_totals(x.ledger(), x.players(), S.FIRST_DAY, S.AS_OF))
+    return snapshots.team_positions(snapshots.team_daily_totals(x.days(), x.players(), S.FIRST_DAY, S.AS_OF.date()))
 
 
 @query
 def consecutive_days(spark, folder):
-    return state.consecutive_days(Inputs(spark, folder).recent())
+    return state.consecutive_days(Inputs(spark, folder).days())
 
 
 @query
@@ -506,7 +524,7 @@ def latest_n_per_player(spark, folder):
 
 @query
 def opening_balance(spark, folder):
-    return state.opening_balance(Inputs(spark, folder).ledger())
+    return state.opening_balance(rollups.player_days(Inputs(spark, folder).ledger()))
 
 
 @query
@@ -576,7 +594,7 @@ def player_state(spark, folder):
 @query
 def team_rank_history(spark, folder):
     x = Inputs(spark, folder)
-    places = snapshots.team_positions(snapshots.team_daily_totals(x.ledger(), x.players(), S.FIRST_DAY, S.AS_OF))
+    places = snapshots.team_positions(snapshots.team_daily_totals(x.days(), x.players(), S.FIRST_DAY, S.AS_OF.date()))
     history = snapshots.team_rank_history(places, S.AS_OF, S.CURVE_DAYS)
     return history.withColumn("history", F.transform("history", lambda h: F.concat_ws(
         ":", h["day"].cast("string"), h["position"].cast("string"), h["total"].cast("string"))))
@@ -608,15 +626,19 @@ def absolute_record(spark, folder):
 
 @query
 def badge_feed(spark, folder):
-    x = Inputs(spark, folder)
+    x = Inputs(spark, folder).store()
     return reports.badge_feed(x.badges(), x.team_badges(), x.players())
 
 
 # awards --------------------------------------------------------------------------------------------------------------
 
+def _all_entry_awards(spark, folder, *badge_ids: str) -> DataFrame:
+    return awards.entry_awards(awards.entry_summary(Inputs(spark, folder).ledger(), S.PRAISE), badge_ids)
+
+
 @query
 def badge_streaks(spark, folder):
-    return awards.entry_awards(Inputs(spark, folder).ledger(), S.PRAISE, ("hot_streak", "tsunami", "unstoppable"))
+    return _all_entry_awards(spark, folder, "hot_streak", "tsunami", "unstoppable")
 
 
 @query
@@ -626,17 +648,17 @@ def badge_on_fire(spark, folder):
 
 @query
 def badge_phoenix(spark, folder):
-    return awards.entry_awards(Inputs(spark, folder).ledger(), S.PRAISE, ("phoenix",))
+    return _all_entry_awards(spark, folder, "phoenix")
 
 
 @query
 def badge_marathon(spark, folder):
-    return awards.marathon(Inputs(spark, folder).ledger())
+    return awards.marathon(rollups.player_days(Inputs(spark, folder).ledger()))
 
 
 @query
 def badge_showtime(spark, folder):
-    return awards.entry_awards(Inputs(spark, folder).ledger(), S.PRAISE, ("showtime",))
+    return _all_entry_awards(spark, folder, "showtime")
 
 
 @query
@@ -662,7 +684,7 @@ def badge_game_changer(spark, folder):
 
 @query
 def badge_collector(spark, folder):
-    x = Inputs(spark, folder)
+    x = Inputs(spark, folder).store()
     return awards.collector(x.badges(), x.team_badges(), x.players(), S.AS_OF, S.OWN_BADGES, S.TEAM_BADGES)
 
 
@@ -674,7 +696,7 @@ def badge_veteran(spark, folder):
 @query
 def badge_team_player(spark, folder):
     x = Inputs(spark, folder)
-    return awards.team_player(x.ledger(), x.players(), S.AS_OF)
+    return awards.team_player(x.days(), x.players(), S.AS_OF, rollups.until(x.direct(), S.AS_OF))
 
 
 @query
@@ -690,13 +712,13 @@ def badge_tidal(spark, folder):
 @query
 def badge_lightning(spark, folder):
     x = Inputs(spark, folder)
-    return awards.lightning_strike(x.recent(), x.active())
+    return awards.lightning_strike(x.days(), x.active())
 
 
 @query
 def badge_united(spark, folder):
     x = Inputs(spark, folder)
-    last = state.team_last_negative(x.recent(), x.active())
+    last = state.team_last_negative(state.last_negative(x.recent()), x.active())
     return awards.united(x.active_scores(), last, S.AS_OF, S.UNITED_DAYS)
 
 
@@ -730,7 +752,7 @@ def badge_mutual(spark, folder):
 @query
 def badge_house_on_fire(spark, folder):
     x = Inputs(spark, folder)
-    return awards.house_on_fire(x.recent(), x.active())
+    return awards.house_on_fire(x.days(), x.active())
 
 
 @query
@@ -835,7 +857,7 @@ def round_pct(spark, folder):
 @query
 def array_last_n(spark, folder):
     """The last five of the last seven positive days, and whether they hold the last day before ``AS_OF``."""
-    days = state.consecutive_days(Inputs(spark, folder).recent())
+    days = state.consecutive_days(Inputs(spark, folder).days())
     return days.select(
         "player_id", arrays.keep_last(F.col("days"), 5).alias("last_days"),
         F.array_contains("days", F.lit(S.AS_OF.date())).alias("today"),
@@ -846,7 +868,7 @@ def array_last_n(spark, folder):
 
 @query
 def json_array_roundtrip(spark, folder):
-    days = state.consecutive_days(Inputs(spark, folder).recent()).select(
+    days = state.consecutive_days(Inputs(spark, folder).days()).select(
         "player_id", arrays.to_json_days(F.col("days")).alias("days_json"))
     return days.withColumn("days", arrays.from_json_days(F.col("days_json")))
 

@@ -521,9 +521,9 @@ ORACLE: dict[str, str] = {
         WHERE to_day >= from_day + {S.VETERAN_DAYS} GROUP BY 1""", "veteran"), "points"),
     "badge_team_player": _sql(_award(f"""SELECT player_id, date_earned FROM t_players JOIN (
         SELECT team, min(week + INTERVAL 7 DAY) AS date_earned FROM (
-            SELECT team, date_trunc('week', ts) AS week, row_number() OVER (
-                PARTITION BY date_trunc('week', ts) ORDER BY sum(points) DESC, team) AS place
-            FROM t_recent JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2)
+            SELECT team, date_trunc('week', day) AS week, row_number() OVER (
+                PARTITION BY date_trunc('week', day) ORDER BY sum(points) DESC, team) AS place
+            FROM t_gain_days GROUP BY 1, 2)
         WHERE place = 1 AND week + INTERVAL 7 DAY <= {_TODAY} GROUP BY 1) USING (team)""", "team_player"), "points"),
     **{name: _sql(body, "points") for name, body in _TEAM_AWARDS.items()},
     "badge_no_weak_link": _sql(_award(f"""SELECT team, min(from_day + {S.WEAK_LINK_DAYS}) AS date_earned FROM t_strong_runs

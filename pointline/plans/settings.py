@@ -23,19 +23,19 @@ LATENESS = ("1-urgent",)
 
 MILESTONES = (500, 1000, 1500, 2000, 2500)
 CURVE_DAYS = 14
-WEEK_POINTS = 16000
-MONTH_POINTS = 60000
-UNITED_DAYS = 7
-BALANCE = (450, 3000)
+WEEK_POINTS = 24000
+MONTH_POINTS = 78000
+UNITED_DAYS = 10
+BALANCE = (450, 2700)
 HARMONY_GAP = 2300
 HARMONY_MONTH = 1
-WEAK_LINK = 20
+WEAK_LINK = 300
 WEAK_LINK_DAYS = 7
 TOP_DAYS = 3
 VETERAN_DAYS = 5
 COURAGE_COUNT = 2
 OWN_BADGES = 6
-TEAM_BADGES = 5
+TEAM_BADGES = 4
 LEVEL = 300
 LEVEL_DAYS = 7
 SALT = "public-salt"
