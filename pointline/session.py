@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -25,18 +25,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poi
     )
 
 
+@functools.cache
+def _folder_of_this_machine() -> str:
+    return tempfile.mkdtemp(prefix="pointline-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place for the session.
+    Only a local session may do without the setting; it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="pointline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        base = _folder_of_this_machine()
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
