@@ -12,6 +12,10 @@ from ..functions import calendar as cal
 from ..functions import text
 
 
+# The classes a player may choose.
+CLASSES = ("warrior", "archer", "mage", "assassin", "paladin", "bard")
+
+
 def undo_last(ledger: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The ledger without the last entry of each player (of the players in ``keys``, if given).
 
@@ -76,11 +80,11 @@ def transfer_audit(requests: DataFrame, teams: Sequence[str], pool: str = "POOL"
         F.lit(text.SYSTEM_ACTOR).alias("actor"), F.lit("system").alias("kind"))
 
 
-def accepted_changes(requests: DataFrame, months: int = 3, classes: Sequence[str] | None = None) -> DataFrame:
+def accepted_changes(requests: DataFrame, months: int = 3, classes: Sequence[str] | None = CLASSES) -> DataFrame:
     """Requests that pass a cooldown of calendar months since the last one that passed.
 
     The rule is greedy, so it is a fold per player. It only looks at months, and within a month only the first request can
-    pass: the aggregate keeps one per player and month before anything is gathered.
+    pass: the aggregate keeps one per player and month before anything is gathered. ``classes=None`` allows any class.
     """
     if classes is not None:
         requests = requests.where(F.col("player_class").isin(list(classes)))
@@ -97,7 +101,7 @@ def accepted_changes(requests: DataFrame, months: int = 3, classes: Sequence[str
 
 
 def change_eligibility(requests: DataFrame, as_of: dt.datetime, months: int = 3,
-                       classes: Sequence[str] | None = None) -> DataFrame:
+                       classes: Sequence[str] | None = CLASSES) -> DataFrame:
     """Per player the last change that passed, whether another may be made now, and if not, from when."""
     last = accepted_changes(requests.where(F.col("ts") <= cal.ntz(as_of)), months, classes).groupBy("player_id").agg(
         F.max_by("player_class", "ts").alias("player_class"), F.max("ts").alias("changed"))

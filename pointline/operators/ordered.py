@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
 HOT_ROWS = 4_000_000
-MAX_HOT = 10_000
+MAX_HOT = 100_000
 WHOLE = -1  # chunk number of players that are not cut
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and more than 1/MAX_HOT of all rows.
 
-    The second test bounds the list at MAX_HOT keys whatever the size of the data, so it may be broadcast. Counting reads one
-    column and combines before the shuffle.
+    The second test bounds the list at MAX_HOT keys (a few megabytes) whatever the size of the data, so it may be broadcast.
+    Counting reads one column and combines before the shuffle.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg(F.sum("_n") / MAX_HOT).scalar()
+    share = rows.agg(F.count(F.lit(1)) / MAX_HOT).scalar()
     return counts.where((F.col("_n") > hot_rows) & (F.col("_n") > share)).select(key)
 
 

@@ -62,6 +62,8 @@ def daily_best(intervals: DataFrame, k: int, groups: Sequence[str] = (), worst:
     lows = pieces.groupBy("player_id", *place).agg(F.min("_low").alias("_low"), F.first("_id").alias("_id"))
     bar = top_per_group(lows, place, [F.desc("_low"), F.col("_id")], k).where(F.col("position") == k).select(
         *place, F.col("_low").alias("_bar"), F.col("_id").alias("_bar_id"))
+    if not groups:
+        bar = F.broadcast(bar)  # one row per calendar month
     reaches = (
         F.col("_bar").isNull() | (F.col("_high") > F.col("_bar"))
         | ((F.col("_high") == F.col("_bar")) & (F.col("_id") <= F.col("_bar_id"))))
@@ -149,18 +151,21 @@ def team_rank_history(positions: DataFrame, as_of: dt.datetime, days: int = 30)
         F.sort_array(F.collect_list(F.struct("day", "position", "total"))).alias("history"))
 
 
-def hours_at_top(ledger: DataFrame, players: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
-    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led."""
-    last_hour = as_of.replace(minute=0, second=0, microsecond=0) - dt.timedelta(hours=1)
+def team_hours(ledger: DataFrame, players: DataFrame) -> DataFrame:
+    """Points per team and hour with entries; summed per player first."""
     hour = F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour("ts"))
-    gains = ledger.where(F.col("ts") < cal.ntz(last_hour + dt.timedelta(hours=1))).groupBy(
-        "player_id", hour.alias("hour")).agg(F.sum("points").alias("points"))
-    teams = gains.join(players.select("player_id", "team"), "player_id").groupBy("team", "hour").agg(
+    gains = ledger.groupBy("player_id", hour.alias("hour")).agg(F.sum("points").alias("points"))
+    return gains.join(players.select("player_id", "team"), "player_id").groupBy("team", "hour").agg(
         F.sum("points").alias("points"))
-    checks = players.select("team").distinct().withColumn("hour", F.explode(F.sequence(
+
+
+def hours_at_top(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
+    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led; from ``team_hours``."""
+    last_hour = as_of.replace(minute=0, second=0, microsecond=0) - dt.timedelta(hours=1)
+    checks = teams.select("team").distinct().withColumn("hour", F.explode(F.sequence(
         cal.ntz(first_hour), cal.ntz(last_hour), F.expr("INTERVAL 1 HOUR"))))
     so_far = Window.partitionBy("team").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    totals = checks.join(teams, ["team", "hour"], "left").select(
+    totals = checks.join(hourly, ["team", "hour"], "left").select(
         "team", "hour", F.sum(F.coalesce("points", F.lit(0))).over(so_far).alias("total"))
     return team_positions(totals, "hour").groupBy("team").agg(
         F.count_if(F.col("position") == 1).alias("hours"))

@@ -535,7 +535,8 @@ def trailing_count(spark, folder):
 @query
 def hours_at_top(spark, folder):
     x = Inputs(spark, folder)
-    return snapshots.hours_at_top(x.ledger(), x.players(), dt.datetime.combine(S.FIRST_DAY, dt.time()), S.AS_OF)
+    return snapshots.hours_at_top(
+        snapshots.team_hours(rollups.until(x.ledger(), S.AS_OF), x.players()), x.players(), S.FIRST_HOUR, S.AS_OF)
 
 
 @query
@@ -802,12 +803,12 @@ def team_total_since_reset(spark, folder):
 
 @query
 def cooldown_accepted(spark, folder):
-    return corrections.accepted_changes(tables.class_changes(spark, folder))
+    return corrections.accepted_changes(tables.class_changes(spark, folder), classes=None)
 
 
 @query
 def cooldown_eligibility(spark, folder):
-    return corrections.change_eligibility(tables.class_changes(spark, folder), S.ORDERS_AS_OF)
+    return corrections.change_eligibility(tables.class_changes(spark, folder), S.ORDERS_AS_OF, classes=None)
 
 
 # scalar functions ----------------------------------------------------------------------------------------------------
@@ -911,6 +912,16 @@ def stream_month_points(spark, folder):
     return stream_sources.run_updating(months, ["team", "month"], "month-points")
 
 
+@query
+def stream_hours_at_top(spark, folder):
+    """Team points per hour from a stream; the hourly checks read what it has emitted."""
+    players = tables.players(spark, folder)
+    hours = stream_sources.run_appending(
+        stream_windows.hour_points(stream_sources.event_stream(spark, folder), players), "hour-points")
+    hourly = hours.withColumn("hour", stream_sources.as_wall_clock(spark, "hour"))
+    return snapshots.hours_at_top(hourly, players, S.FIRST_HOUR, S.AS_OF)
+
+
 @query
 def stream_award_once(spark, folder):
     entries = stream_sources.event_stream(spark, folder)

@@ -280,6 +280,13 @@ def _event_stats(start: str, end: str, period: str, ts: str = "ts", extra: str =
         GROUP BY player_id, period_start, period_end"""
 
 
+_HOURS = f"""SELECT team, count(*) FILTER (place = 1) AS hours FROM (
+        SELECT team, row_number() OVER (PARTITION BY hour ORDER BY total DESC, team) AS place FROM (
+        SELECT team, hour, sum(coalesce(points, 0)) OVER (PARTITION BY team ORDER BY hour) AS total
+        FROM (SELECT DISTINCT team FROM t_players) CROSS JOIN generate_series(TIMESTAMP '{S.FIRST_DAY}',
+            {_AS_OF} - INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS g(hour) LEFT JOIN (
+        SELECT team, date_trunc('hour', ts) AS hour, sum(points) AS points FROM t_ledger
+        JOIN t_players USING (player_id) WHERE ts < {_AS_OF} GROUP BY 1, 2) USING (team, hour))) GROUP BY 1"""
 _PARIS = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris'"
 _WEEK_START = "CAST(date_trunc('week', ts) AS DATE)"
 
@@ -448,13 +455,7 @@ ORACLE: dict[str, str] = {
         FROM t_run0 GROUP BY 1, 2""", "opening", "day"),
     "trailing_count": _sql(f"""SELECT player_id, count(*) AS n FROM t_recent
         WHERE {_HARD} AND ts > {_AS_OF} - INTERVAL 14 DAY GROUP BY 1 HAVING count(*) >= 3"""),
-    "hours_at_top": _sql(f"""SELECT team, count(*) FILTER (place = 1) AS hours FROM (
-        SELECT team, row_number() OVER (PARTITION BY hour ORDER BY total DESC, team) AS place FROM (
-        SELECT team, hour, sum(coalesce(points, 0)) OVER (PARTITION BY team ORDER BY hour) AS total
-        FROM (SELECT DISTINCT team FROM t_players) CROSS JOIN generate_series(TIMESTAMP '{S.FIRST_DAY}',
-            {_AS_OF} - INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS g(hour) LEFT JOIN (
-        SELECT team, date_trunc('hour', ts) AS hour, sum(points) AS points FROM t_ledger
-        JOIN t_players USING (player_id) WHERE ts < {_AS_OF} GROUP BY 1, 2) USING (team, hour))) GROUP BY 1"""),
+    "hours_at_top": _sql(_HOURS),
     "global_top10": _sql("SELECT * FROM t_scores ORDER BY score DESC, player_id LIMIT 10", "score"),
     # composed
     "mvp_per_period": _sql("SELECT * FROM t_mvp", _LEADER_INTS, _LEADER_DAYS),
@@ -606,6 +607,7 @@ ORACLE: dict[str, str] = {
             SELECT max(ts) - INTERVAL 1 DAY FROM t_ledger WHERE points > 0)""", "points"),
     "stream_month_points": _sql("""SELECT team, strftime(ts, '%Y-%m') AS month, sum(points) AS points FROM t_ledger
         JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2""", "points"),
+    "stream_hours_at_top": _sql(_HOURS),
     "stream_award_once": _sql(
         _FIRST_BADGE + "('hot_streak', 'tsunami', 'unstoppable', 'phoenix', 'showtime')", "points"),
     "stream_sustained": _sql(f"""SELECT player_id, from_ts, from_ts + INTERVAL {S.LEVEL_DAYS} DAY AS held_ts FROM (

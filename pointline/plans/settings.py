@@ -7,6 +7,7 @@ queries use higher ones, at which some players or teams qualify and others do no
 import datetime as dt
 
 FIRST_DAY = dt.date(2024, 1, 1)
+FIRST_HOUR = dt.datetime(2024, 1, 1)
 AS_OF = dt.datetime(2024, 1, 25, 12)
 ORDERS_AS_OF = dt.datetime(2001, 3, 15, 12)
 CHRISTMAS = dt.datetime(1999, 12, 22, 12)

@@ -1,4 +1,4 @@
-"""Weekly and monthly team points on a stream."""
+"""Hourly, weekly and monthly team points on a stream."""
 
 from __future__ import annotations
 
@@ -19,6 +19,13 @@ def week_points(entries: DataFrame, players: DataFrame, lateness: str = LATENESS
         F.sum("points").alias("points")).select("team", F.col("w.start").alias("week_start"), "points")
 
 
+def hour_points(entries: DataFrame, players: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Signed points per team and hour, emitted once the hour is over by the watermark."""
+    gains = entries.withWatermark("ts", lateness).join(players.select("player_id", "team"), "player_id")
+    return gains.groupBy(F.window("ts", "1 hour").alias("w"), "team").agg(F.sum("points").alias("points")).select(
+        "team", F.col("w.start").alias("hour"), "points")
+
+
 def month_points(entries: DataFrame, players: DataFrame) -> DataFrame:
     """Positive points per team and month so far, for update mode; the state has a row per team and month."""
     gains = entries.where(F.col("points") > 0).join(players.select("player_id", "team"), "player_id")

@@ -233,5 +233,6 @@ def test_hours_at_top(make_ledger, make_players):
     players = make_players([(1, "a", "T"), (2, "b", "U")])
     ledger = make_ledger([(1, "2024-01-01 00:10:00", 2, "a", 5), (2, "2024-01-01 02:00:00", 1, "a", 9),
                           (3, "2024-01-01 04:30:00", 2, "a", 90)])
-    hours = snapshots.hours_at_top(ledger, players, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 4, 45))
+    hours = snapshots.hours_at_top(
+        snapshots.team_hours(ledger, players), players, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 4, 45))
     assert rows_of(hours) == [("T", 2), ("U", 2)]
