@@ -67,17 +67,17 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFrame
 
 
 def grant(winners: DataFrame, scope: str = "player", rules: Iterable[Rule] = RULES) -> DataFrame:
-    """Award rows for ``(entity, badge_id, date_earned)``; the rule list is a constant, hence the broadcast."""
+    """Award rows for the winners of rules; the rule list is a constant, hence the broadcast."""
     table = rules_table(winners.sparkSession, [r for r in rules if r.scope == scope]).drop("scope", "predicate")
     return winners.join(F.broadcast(table), "badge_id").select(
         ENTITY[scope], "badge_id", "badge_name", "points", "rarity", F.col("date_earned").cast("timestamp_ntz"))
 
 
-def won(winners: DataFrame, badge_id: str, date_earned: Column | str, scope: str = "player",
-        rules: Iterable[Rule] = RULES) -> DataFrame:
+def won(winners: DataFrame, badge_id: str, date_earned: Column | str, scope: str = "player") -> DataFrame:
+    """What every rule returns: ``(entity, badge_id, date_earned)``. Any number of them can be united and granted at once."""
     when = F.col(date_earned) if isinstance(date_earned, str) else date_earned
-    return grant(winners.select(
-        ENTITY[scope], F.lit(badge_id).alias("badge_id"), when.cast("timestamp_ntz").alias("date_earned")), scope, rules)
+    return winners.select(
+        ENTITY[scope], F.lit(badge_id).alias("badge_id"), when.cast("timestamp_ntz").alias("date_earned"))
 
 
 def rule_dates(rules: Iterable[Rule], badge_ids: Sequence[str], when: Column) -> list[Column]:
@@ -104,9 +104,9 @@ def entry_summary(ledger: DataFrame, praise: Sequence[str], rules: Iterable[Rule
         F.max(F.when(state.is_low_point(), F.col("ts"))).alias("last_negative"))
 
 
-def entry_awards(summary: DataFrame, badge_ids: Sequence[str] = ENTRY_RULES, rules: Iterable[Rule] = RULES) -> DataFrame:
+def entry_awards(summary: DataFrame, badge_ids: Sequence[str] = ENTRY_RULES) -> DataFrame:
     """Streak, comeback and praise awards at the entry that first met their condition, from ``entry_summary``."""
-    return grant(unfold(summary, badge_ids), "player", rules)
+    return unfold(summary, badge_ids)
 
 
 def on_fire(ledger: DataFrame, hard: Sequence[str], k: int = 2, days: int = 14,
@@ -126,7 +126,7 @@ def marathon(days: DataFrame, run: int = 5) -> DataFrame:
 def first_time_awards(ledger: DataFrame, summary: DataFrame, days: DataFrame,
                       hard: Sequence[str] = (text.HARD_WORK_KEYWORD,)) -> DataFrame:
     """All player awards that the player's own entries decide; ``summary`` and ``days`` are made from the ledger."""
-    return entry_awards(summary).unionByName(on_fire(ledger, hard)).unionByName(marathon(days))
+    return grant(entry_awards(summary).unionByName(on_fire(ledger, hard)).unionByName(marathon(days)))
 
 
 # players, as of -----------------------------------------------------------------------------------------------------

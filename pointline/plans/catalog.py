@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,61 +44,82 @@ def comparable(frame: DataFrame) -> DataFrame:
     return frame.select(*[plain(f) for f in frame.schema.fields])
 
 
+def once(method):
+    """Keeps the frame a method returned, so that a query builds each view a single time."""
+    @functools.wraps(method)
+    def kept(self):
+        if method.__name__ not in self.frames:
+            self.frames[method.__name__] = method(self)
+        return self.frames[method.__name__]
+    return kept
+
+
 class Inputs:
     """The views the queries work on."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.frames = spark, folder, {}
 
+    @once
     def ledger(self) -> DataFrame:
         return tables.event_ledger(self.spark, self.folder)
 
+    @once
     def recent(self) -> DataFrame:
         return rollups.until(self.ledger(), S.AS_OF)
 
+    @once
     def orders(self) -> DataFrame:
         return tables.order_ledger(self.spark, self.folder)
 
+    @once
     def players(self) -> DataFrame:
         return tables.players(self.spark, self.folder)
 
+    @once
     def active(self) -> DataFrame:
         return tables.active_players(self.spark, self.folder)
 
+    @once
     def direct(self) -> DataFrame:
         return tables.team_ledger(self.spark, self.folder)
 
+    @once
     def scores(self) -> DataFrame:
         return rollups.scoreboard(self.players(), self.ledger())
 
+    @once
     def active_scores(self) -> DataFrame:
         return rollups.scoreboard(self.active(), self.days())
 
+    @once
     def days(self) -> DataFrame:
         """Player days up to ``AS_OF``."""
         return rollups.player_days(self.recent())
 
+    @once
     def summary(self) -> DataFrame:
         return awards.entry_summary(self.recent(), S.PRAISE)
 
     def store(self) -> Inputs:
-        """The same inputs with days and entry summary written to tables, for queries that use them in many places."""
-        days, summary = (
-            sinks.reload_table(frame, shared_folder(self.spark, purpose))
-            for frame, purpose in ((self.days(), "player-days"), (self.summary(), "entry-summary")))
-        stored = Inputs(self.spark, self.folder)
-        stored.days, stored.summary = lambda: days, lambda: summary
-        return stored
+        """Writes days and entry summary to tables and works on with these, for queries that use them in many places."""
+        for name in ("days", "summary"):
+            self.frames[name] = sinks.reload_table(getattr(self, name)(), shared_folder(self.spark, name))
+        return self
 
+    @once
     def intervals(self) -> DataFrame:
         return snapshots.score_intervals(self.days(), self.active(), S.FIRST_DAY, S.AS_OF.date())
 
+    @once
     def badges(self) -> DataFrame:
         return awards.first_time_awards(self.recent(), self.summary(), self.days(), S.HARD)
 
+    @once
     def team_gains(self) -> DataFrame:
         return rollups.team_day_points(self.days(), self.players(), rollups.until(self.direct(), S.AS_OF))
 
+    @once
     def team_badges(self) -> DataFrame:
         ledger, players, days = self.recent(), self.active(), self.days()
         scores = self.active_scores()
@@ -114,8 +136,9 @@ class Inputs:
         result = parts[0]
         for part in parts[1:]:
             result = result.unionByName(part)
-        return result
+        return awards.grant(result, "team")
 
+    @once
     def state(self) -> DataFrame:
         return state.player_state(self.recent(), S.AS_OF, S.PRAISE, S.HARD)
 
@@ -634,7 +657,7 @@ def badge_feed(spark, folder):
 # awards --------------------------------------------------------------------------------------------------------------
 
 def _all_entry_awards(spark, folder, *badge_ids: str) -> DataFrame:
-    return awards.entry_awards(awards.entry_summary(Inputs(spark, folder).ledger(), S.PRAISE), badge_ids)
+    return awards.grant(awards.entry_awards(awards.entry_summary(Inputs(spark, folder).ledger(), S.PRAISE), badge_ids))
 
 
 @query
@@ -644,7 +667,7 @@ def badge_streaks(spark, folder):
 
 @query
 def badge_on_fire(spark, folder):
-    return awards.on_fire(Inputs(spark, folder).ledger(), S.HARD)
+    return awards.grant(awards.on_fire(Inputs(spark, folder).ledger(), S.HARD))
 
 
 @query
@@ -654,7 +677,7 @@ def badge_phoenix(spark, folder):
 
 @query
 def badge_marathon(spark, folder):
-    return awards.marathon(rollups.player_days(Inputs(spark, folder).ledger()))
+    return awards.grant(awards.marathon(rollups.player_days(Inputs(spark, folder).ledger())))
 
 
 @query
@@ -664,96 +687,96 @@ def badge_showtime(spark, folder):
 
 @query
 def badge_courage(spark, folder):
-    return awards.courage(Inputs(spark, folder).orders(), S.ORDERS_AS_OF, S.REFEREE, S.COURAGE_COUNT)
+    return awards.grant(awards.courage(Inputs(spark, folder).orders(), S.ORDERS_AS_OF, S.REFEREE, S.COURAGE_COUNT))
 
 
 @query
 def badge_clockwork(spark, folder):
-    return awards.clockwork(Inputs(spark, folder).orders(), S.ORDERS_AS_OF, S.LATENESS)
+    return awards.grant(awards.clockwork(Inputs(spark, folder).orders(), S.ORDERS_AS_OF, S.LATENESS))
 
 
 @query
 def badge_christmas(spark, folder):
-    return awards.christmas(Inputs(spark, folder).orders(), S.CHRISTMAS)
+    return awards.grant(awards.christmas(Inputs(spark, folder).orders(), S.CHRISTMAS))
 
 
 @query
 def badge_game_changer(spark, folder):
     x = Inputs(spark, folder)
-    return awards.game_changer(x.intervals(), x.active())
+    return awards.grant(awards.game_changer(x.intervals(), x.active()))
 
 
 @query
 def badge_collector(spark, folder):
     x = Inputs(spark, folder).store()
-    return awards.collector(x.badges(), x.team_badges(), x.players(), S.AS_OF, S.OWN_BADGES, S.TEAM_BADGES)
+    return awards.grant(awards.collector(x.badges(), x.team_badges(), x.players(), S.AS_OF, S.OWN_BADGES, S.TEAM_BADGES))
 
 
 @query
 def badge_veteran(spark, folder):
-    return awards.veteran(Inputs(spark, folder).intervals(), months=0, days=S.VETERAN_DAYS)
+    return awards.grant(awards.veteran(Inputs(spark, folder).intervals(), months=0, days=S.VETERAN_DAYS))
 
 
 @query
 def badge_team_player(spark, folder):
     x = Inputs(spark, folder)
-    return awards.team_player(x.days(), x.players(), S.AS_OF, rollups.until(x.direct(), S.AS_OF))
+    return awards.grant(awards.team_player(x.days(), x.players(), S.AS_OF, rollups.until(x.direct(), S.AS_OF)))
 
 
 @query
 def badge_rocket(spark, folder):
-    return awards.rocket_launch(Inputs(spark, folder).team_gains(), S.WEEK_POINTS)
+    return awards.grant(awards.rocket_launch(Inputs(spark, folder).team_gains(), S.WEEK_POINTS), "team")
 
 
 @query
 def badge_tidal(spark, folder):
-    return awards.tidal_wave(Inputs(spark, folder).team_gains(), S.MONTH_POINTS)
+    return awards.grant(awards.tidal_wave(Inputs(spark, folder).team_gains(), S.MONTH_POINTS), "team")
 
 
 @query
 def badge_lightning(spark, folder):
     x = Inputs(spark, folder)
-    return awards.lightning_strike(x.days(), x.active())
+    return awards.grant(awards.lightning_strike(x.days(), x.active()), "team")
 
 
 @query
 def badge_united(spark, folder):
     x = Inputs(spark, folder)
     last = state.team_last_negative(state.last_negative(x.recent()), x.active())
-    return awards.united(x.active_scores(), last, S.AS_OF, S.UNITED_DAYS)
+    return awards.grant(awards.united(x.active_scores(), last, S.AS_OF, S.UNITED_DAYS), "team")
 
 
 @query
 def badge_balance(spark, folder):
-    return awards.perfect_balance(Inputs(spark, folder).active_scores(), S.AS_OF, *S.BALANCE)
+    return awards.grant(awards.perfect_balance(Inputs(spark, folder).active_scores(), S.AS_OF, *S.BALANCE), "team")
 
 
 @query
 def badge_harmony(spark, folder):
-    return awards.harmony(Inputs(spark, folder).active_scores(), S.AS_OF, S.HARMONY_GAP, S.HARMONY_MONTH)
+    return awards.grant(awards.harmony(Inputs(spark, folder).active_scores(), S.AS_OF, S.HARMONY_GAP, S.HARMONY_MONTH), "team")
 
 
 @query
 def badge_no_weak_link(spark, folder):
-    return awards.no_weak_link(
-        Inputs(spark, folder).intervals(), S.FIRST_DAY, S.AS_OF, S.WEAK_LINK, 0, S.WEAK_LINK_DAYS)
+    return awards.grant(awards.no_weak_link(
+        Inputs(spark, folder).intervals(), S.FIRST_DAY, S.AS_OF, S.WEAK_LINK, 0, S.WEAK_LINK_DAYS), "team")
 
 
 @query
 def badge_triple_threat(spark, folder):
-    return awards.triple_threat(Inputs(spark, folder).intervals(), months=0, days=S.TOP_DAYS)
+    return awards.grant(awards.triple_threat(Inputs(spark, folder).intervals(), months=0, days=S.TOP_DAYS), "team")
 
 
 @query
 def badge_mutual(spark, folder):
     x = Inputs(spark, folder)
-    return awards.mutual_support(x.ledger(), x.active(), S.AS_OF, S.VOLUNTEER)
+    return awards.grant(awards.mutual_support(x.ledger(), x.active(), S.AS_OF, S.VOLUNTEER), "team")
 
 
 @query
 def badge_house_on_fire(spark, folder):
     x = Inputs(spark, folder)
-    return awards.house_on_fire(x.days(), x.active())
+    return awards.grant(awards.house_on_fire(x.days(), x.active()), "team")
 
 
 @query

@@ -14,7 +14,7 @@ def entries(make_ledger, *rows):
 def test_streaks_are_earned_once_at_their_entry(make_ledger):
     ledger = entries(make_ledger, *[(f"2024-01-01 {h:02d}:00:00", 1, "a", 1) for h in range(1, 13)],
                      ("2024-01-02", 1, "a", -1), *[(f"2024-01-03 {h:02d}:00:00", 1, "a", 1) for h in range(1, 7)])
-    earned = awards.entry_awards(awards.entry_summary(ledger, ["x"]))
+    earned = awards.grant(awards.entry_awards(awards.entry_summary(ledger, ["x"])))
     assert rows_of(earned, "badge_id", "points", "date_earned") == [
         ("hot_streak", 5, dt.datetime(2024, 1, 1, 5)), ("tsunami", 10, dt.datetime(2024, 1, 1, 10))]
 
@@ -118,7 +118,7 @@ def test_collector_needs_both_kinds(spark, make_players):
 
 def test_award_once_and_bonus(make_ledger):
     ledger = entries(make_ledger, *[("2024-01-01", 1, "a", 1)] * 10, *[("2024-01-02", 2, "a", 1)] * 5)
-    found = awards.entry_awards(awards.entry_summary(ledger, ["x"]))
+    found = awards.grant(awards.entry_awards(awards.entry_summary(ledger, ["x"])))
     held = found.where("player_id = 1 AND badge_id = 'hot_streak'")
     new = awards.award_once(found.unionByName(found), held)
     assert rows_of(new, "player_id", "badge_id") == [(1, "tsunami"), (2, "hot_streak")]

@@ -73,7 +73,7 @@ def test_player_state(spark, entries, ledger):
 
 def test_awards_are_given_once(spark, entries, ledger):
     stream = sources.run_appending(stream_players.awards_once(entries, PRAISE), "awards")
-    batch = awards.entry_awards(awards.entry_summary(ledger, PRAISE))
+    batch = awards.grant(awards.entry_awards(awards.entry_summary(ledger, PRAISE)))
     columns = ("player_id", "badge_id", "points", "date_earned")
     assert rows_of(stream, *columns) == rows_of(batch, *columns)
 
