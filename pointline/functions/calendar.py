@@ -86,6 +86,16 @@ def ntz(value: dt.datetime | dt.date) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
+def as_instant(wall_clock: Column) -> Column:
+    """TIMESTAMP whose UTC reading is the given TIMESTAMP_NTZ, whatever the session's zone (watermarks need one)."""
+    return F.from_utc_timestamp(wall_clock.cast("timestamp"), F.current_timezone())
+
+
+def as_wall_clock(instant: Column) -> Column:
+    """The way back: the UTC reading of a TIMESTAMP as TIMESTAMP_NTZ."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def month_shift(ts: Column, months: int) -> Column:
     """Add calendar months, carrying a day past the month's end into the next one (31 Jan + 1 = 2 Mar)."""
     day = F.to_date(ts)

@@ -67,10 +67,14 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFrame
 
 
 def grant(winners: DataFrame, scope: str = "player", rules: Iterable[Rule] = RULES) -> DataFrame:
-    """Award rows for the winners of rules; the rule list is a constant, hence the broadcast."""
-    table = rules_table(winners.sparkSession, [r for r in rules if r.scope == scope]).drop("scope", "predicate")
-    return winners.join(F.broadcast(table), "badge_id").select(
-        ENTITY[scope], "badge_id", "badge_name", "points", "rarity", F.col("date_earned").cast("timestamp_ntz"))
+    """Award rows for the winners of rules. The rule list is a constant, so it is looked up in a literal map, not joined."""
+    details = F.create_map(*[part for r in rules if r.scope == scope for part in (
+        F.lit(r.badge_id),
+        F.struct(F.lit(r.badge_name).alias("badge_name"), F.lit(r.points).cast("bigint").alias("points"),
+                 F.lit(r.rarity).alias("rarity")))])
+    return winners.withColumn("_rule", F.try_element_at(details, F.col("badge_id"))).where("_rule IS NOT NULL").select(
+        ENTITY[scope], "badge_id", "_rule.badge_name", "_rule.points", "_rule.rarity",
+        F.col("date_earned").cast("timestamp_ntz"))
 
 
 def won(winners: DataFrame, badge_id: str, date_earned: Column | str, scope: str = "player") -> DataFrame:

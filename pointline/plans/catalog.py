@@ -923,9 +923,8 @@ def stream_player_state(spark, folder):
 @query
 def stream_week_points(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    weeks = stream_sources.run_appending(
+    return stream_sources.run_appending(
         stream_windows.week_points(entries, tables.players(spark, folder)), "week-points")
-    return weeks.withColumn("week_start", stream_sources.as_wall_clock(spark, "week_start"))
 
 
 @query
@@ -939,9 +938,8 @@ def stream_month_points(spark, folder):
 def stream_hours_at_top(spark, folder):
     """Team points per hour from a stream; the hourly checks read what it has emitted."""
     players = tables.players(spark, folder)
-    hours = stream_sources.run_appending(
+    hourly = stream_sources.run_appending(
         stream_windows.hour_points(stream_sources.event_stream(spark, folder), players), "hour-points")
-    hourly = hours.withColumn("hour", stream_sources.as_wall_clock(spark, "hour"))
     return snapshots.hours_at_top(hourly, players, S.FIRST_HOUR, S.AS_OF)
 
 
@@ -954,5 +952,4 @@ def stream_award_once(spark, folder):
 @query
 def stream_sustained(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    held = stream_sources.run_appending(stream_players.sustained(entries, S.LEVEL, S.LEVEL_DAYS), "sustained")
-    return held.withColumns({c: stream_sources.as_wall_clock(spark, c) for c in ("from_ts", "held_ts")})
+    return stream_sources.run_appending(stream_players.sustained(entries, S.LEVEL, S.LEVEL_DAYS), "sustained")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import calendar as cal
 from ..functions import text
 from ..operators.awards import ENTRY_RULES, RULES, Rule, grant
 
@@ -143,6 +144,10 @@ class SustainedProcessor(StatefulProcessor):
         pass
 
 
+def _moment(micros: str):
+    return cal.as_wall_clock(F.timestamp_micros(micros))
+
+
 def _keyed(entries: DataFrame, praise: Sequence[str]):
     return entries.select(
         "player_id", "id", "points", F.unix_micros("ts").alias("us"), "ts",
@@ -162,11 +167,11 @@ def awards_once(entries: DataFrame, praise: Sequence[str] = (text.PRAISE_KEYWORD
     found = _keyed(entries, praise).transformWithStateInPandas(
         processor, AwardProcessor.SCHEMA, outputMode="append", timeMode="none")
     return grant(found.select(
-        "player_id", "badge_id", F.timestamp_micros("earned_us").alias("date_earned")), "player", rules)
+        "player_id", "badge_id", _moment("earned_us").alias("date_earned")), "player", rules)
 
 
 def sustained(entries: DataFrame, level: int, days: int, lateness: str = "1 day") -> DataFrame:
     """Players whose total stayed at ``level`` or more for ``days`` days."""
     return _keyed(entries.withWatermark("ts", lateness), ()).transformWithStateInPandas(
         SustainedProcessor(level, days), SustainedProcessor.SCHEMA, outputMode="append", timeMode="eventTime"
-    ).select("player_id", F.timestamp_micros("from_us").alias("from_ts"), F.timestamp_micros("held_us").alias("held_ts"))
+    ).select("player_id", _moment("from_us").alias("from_ts"), _moment("held_us").alias("held_ts"))

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..session import STATE_STORE, shared_folder
 from ..sources import tables
 
@@ -22,20 +23,10 @@ def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_trigger:
         .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder))
 
 
-def as_instant(spark: SparkSession, ts):
-    """TIMESTAMP whose UTC reading is the given wall-clock time, whatever the session's zone (watermarks need one)."""
-    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), spark.conf.get("spark.sql.session.timeZone"))
-
-
-def as_wall_clock(spark: SparkSession, ts):
-    """The way back."""
-    return F.to_utc_timestamp(F.col(ts), spark.conf.get("spark.sql.session.timeZone")).cast("timestamp_ntz")
-
-
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger entries from events, with ``ts`` as TIMESTAMP."""
     return stream_table(spark, folder, "events").select(
-        F.col("event_id").alias("id"), as_instant(spark, "ts").alias("ts"), F.col("user_id").alias("player_id"),
+        F.col("event_id").alias("id"), cal.as_instant(F.col("ts")).alias("ts"), F.col("user_id").alias("player_id"),
         F.col("event_type").alias("action"), tables.event_points().alias("points"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
+
 LATENESS = "1 day"
 
 
@@ -16,17 +18,18 @@ def week_points(entries: DataFrame, players: DataFrame, lateness: str = LATENESS
     gains = entries.where(F.col("points") > 0).withWatermark("ts", lateness)
     week = F.window("ts", "7 days", "7 days", "4 days")
     return gains.join(players.select("player_id", "team"), "player_id").groupBy(week.alias("w"), "team").agg(
-        F.sum("points").alias("points")).select("team", F.col("w.start").alias("week_start"), "points")
+        F.sum("points").alias("points")).select("team", cal.as_wall_clock(F.col("w.start")).alias("week_start"), "points")
 
 
 def hour_points(entries: DataFrame, players: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Signed points per team and hour, emitted once the hour is over by the watermark."""
     gains = entries.withWatermark("ts", lateness).join(players.select("player_id", "team"), "player_id")
     return gains.groupBy(F.window("ts", "1 hour").alias("w"), "team").agg(F.sum("points").alias("points")).select(
-        "team", F.col("w.start").alias("hour"), "points")
+        "team", cal.as_wall_clock(F.col("w.start")).alias("hour"), "points")
 
 
 def month_points(entries: DataFrame, players: DataFrame) -> DataFrame:
     """Positive points per team and month so far, for update mode; the state has a row per team and month."""
     gains = entries.where(F.col("points") > 0).join(players.select("player_id", "team"), "player_id")
-    return gains.groupBy("team", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("points").alias("points"))
+    month = F.date_format(cal.as_wall_clock(F.col("ts")), "yyyy-MM")
+    return gains.groupBy("team", month.alias("month")).agg(F.sum("points").alias("points"))

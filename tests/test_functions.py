@@ -64,6 +64,17 @@ def test_unknown_period(spark):
         cal.period_bounds(day("2024-01-01"), "year")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_wall_clock_survives_any_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        instant = cal.as_instant(ts("2024-02-01 01:02:03.000004"))
+        assert one(spark, F.unix_micros(instant), cal.as_wall_clock(instant)) == (
+            1706749323000004, dt.datetime(2024, 2, 1, 1, 2, 3, 4))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_local_day(spark):
     late = ts("2024-01-07 23:30:00")
     assert one(spark, cal.local_day(late), cal.local_day(late, "Europe/Paris")) == (

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from pointline.functions import calendar as cal
 from pointline.operators import awards, rollups, state
 from pointline.session import shared_folder
 from pointline.sources import tables
@@ -45,7 +46,7 @@ def entries(spark, folder):
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
               .option("maxFilesPerTrigger", 1).parquet(folder))
     return stream.select(
-        F.col("event_id").alias("id"), sources.as_instant(spark, "ts").alias("ts"), F.col("user_id").alias("player_id"),
+        F.col("event_id").alias("id"), cal.as_instant(F.col("ts")).alias("ts"), F.col("user_id").alias("player_id"),
         F.col("event_type").alias("action"), tables.event_points().alias("points"))
 
 
@@ -80,7 +81,7 @@ def test_awards_are_given_once(spark, entries, ledger):
 
 def test_weeks_are_emitted_when_over(spark, entries, ledger, players):
     stream = sources.run_appending(windows.week_points(entries, players), "weeks").withColumn(
-        "period_start", F.to_date(sources.as_wall_clock(spark, "week_start")))
+        "period_start", F.to_date("week_start"))
     batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("week",))
     found, wanted = rows_of(stream, "team", "period_start", "points"), rows_of(batch, "team", "period_start", "points")
     assert found and set(found) < set(wanted)
@@ -114,7 +115,7 @@ def test_sustained(spark, entries, ledger, level, days):
                 wanted.append((player, begin))
     mark = rows[-1][1] - dt.timedelta(days=1)
     wanted += [(p, b) for p, b in start.items() if max(last[p], mark) >= b + span]
-    found = stream.select("player_id", sources.as_wall_clock(spark, "from_ts").alias("from_ts"))
+    found = stream.select("player_id", "from_ts")
     assert wanted and rows_of(found) == sorted(wanted)
 
 
