@@ -100,12 +100,13 @@ def unfold(firsts: DataFrame, badge_ids: Sequence[str]) -> DataFrame:
 
 def entry_summary(ledger: DataFrame, praise: Sequence[str], rules: Iterable[Rule] = RULES,
                   case_sensitive: bool = True, **chunking) -> DataFrame:
-    """Per player when each rule judged after every entry first held, and ``last_negative``: one pass over the ledger."""
+    """Per player when each rule judged after every entry first held, ``last_negative`` and streaks: one ledger pass."""
     counters = {"praise": text.contains_any(F.col("action"), praise, case_sensitive)}
     states = rollups.actions_only(running_state(ledger, counters, **chunking))
     return states.groupBy("player_id").agg(
         *rule_dates(rules, ENTRY_RULES, F.col("ts")),
-        F.max(F.when(state.is_low_point(), F.col("ts"))).alias("last_negative"))
+        F.max(F.when(state.is_low_point(), F.col("ts"))).alias("last_negative"),
+        F.max_by("streak", "id").alias("current_streak"), F.max("streak").alias("max_streak"))
 
 
 def entry_awards(summary: DataFrame, badge_ids: Sequence[str] = ENTRY_RULES) -> DataFrame:

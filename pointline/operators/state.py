@@ -14,16 +14,21 @@ from .ordered import running_state, running_total, top_per_group
 from .rollups import actions_only, player_days
 
 
+def entry_state(ledger: DataFrame, **chunking) -> DataFrame:
+    """Score, streaks and lowest score of every player in one pass; see ``streaks`` and ``lowest_score``."""
+    return running_state(ledger, **chunking).groupBy("player_id").agg(
+        F.max_by("total", "id").alias("score"), F.max_by("streak", "id").alias("current_streak"),
+        F.max("streak").alias("max_streak"), F.min("lowest").alias("lowest_score"))
+
+
 def streaks(ledger: DataFrame, **chunking) -> DataFrame:
     """Current and longest run of positive entries; an entry of zero or less ends a run."""
-    return running_state(ledger, **chunking).groupBy("player_id").agg(
-        F.max_by("streak", "id").alias("current_streak"), F.max("streak").alias("max_streak"))
+    return entry_state(ledger, **chunking).select("player_id", "current_streak", "max_streak")
 
 
 def lowest_score(ledger: DataFrame, **chunking) -> DataFrame:
     """Least running total, at most 0."""
-    totals = actions_only(running_total(ledger, **chunking))
-    return totals.groupBy("player_id").agg(F.least(F.lit(0), F.min("total")).alias("lowest_score"))
+    return entry_state(ledger, **chunking).select("player_id", "lowest_score")
 
 
 def keyword_counters(ledger: DataFrame, praise: Sequence[str] = (text.PRAISE_KEYWORD,),

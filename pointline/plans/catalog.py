@@ -197,11 +197,11 @@ def backfill_period_stats(spark, folder):
 
 @query
 def export_players(spark, folder):
-    x = Inputs(spark, folder)
+    x = Inputs(spark, folder).store()
     this_month = rollups.period_stats(
         x.recent().where(cal.within_days(F.col("ts"), *cal.period_range(S.AS_OF, "month"))), ("month",))
     return reports.player_sheet(
-        rollups.scoreboard(x.players(), x.recent()), this_month, state.streaks(x.recent()), x.badges())
+        rollups.scoreboard(x.players(), x.days()), this_month, x.summary(), x.badges())
 
 
 @query
@@ -793,9 +793,7 @@ def recompute_badges(spark, folder):
 
 @query
 def undo_last(spark, folder):
-    ledger = corrections.undo_last(Inputs(spark, folder).ledger())
-    return state.streaks(ledger).join(rollups.player_scores(ledger), "player_id").join(
-        state.lowest_score(ledger), "player_id")
+    return state.entry_state(corrections.undo_last(Inputs(spark, folder).ledger()))
 
 
 @query
