@@ -7,7 +7,7 @@ ledger, and keeps joins to the players free of hot keys.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,19 @@ from ..functions import calendar as cal
 from ..functions import text
 
 
+FEW_TEAMS = 1000
+
+
+def team_table(players: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join a table with a row per team, or per team and month, to one with many rows per team.
+
+    Counts the teams of the dimension. If they are few, such a table is broadcast, and the other side need not be shuffled by
+    team, which would put a third of it into one task. Otherwise Spark decides.
+    """
+    few = players.select("team").distinct().limit(FEW_TEAMS + 1).count() <= FEW_TEAMS
+    return F.broadcast if few else lambda table: table
+
+
 def row_count():
     return F.count(F.lit(1))
 

@@ -103,6 +103,11 @@ def latest_n(ledger: DataFrame, n: int = 50) -> DataFrame:
     return top_per_group(ledger, ["player_id"], [F.desc("id")], n)
 
 
+def latest_entries(ledger: DataFrame, n: int = 10) -> DataFrame:
+    """The last ``n`` entries of the whole ledger."""
+    return ledger.orderBy(F.desc("id")).limit(n)
+
+
 def opening_balance(days: DataFrame) -> DataFrame:
     """Each player's total before the first entry of every day with entries (from ``player_days``).
 

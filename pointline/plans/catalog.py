@@ -247,6 +247,14 @@ def delete_entities(spark, folder):
     return upkeep.delete_entities(x.ledger(), x.players().where(F.col("team") == S.POOL))
 
 
+@query
+def stored_ledger_range(spark, folder):
+    """The ledger stored by day, and a week of it read back."""
+    where = shared_folder(spark, "ledger")
+    sinks.write_ledger(Inputs(spark, folder).ledger(), where)
+    return tables.stored_ledger(spark, where, *cal.period_range(S.AS_OF, "week")).select(*tables.LEDGER_COLUMNS)
+
+
 def _renames(x: Inputs) -> DataFrame:
     """Ids of one team move up; another team wants ids that are taken."""
     moved = x.players().where(F.col("team") == "BUILDING").select(
@@ -545,6 +553,17 @@ def latest_n_per_player(spark, folder):
     return state.latest_n(Inputs(spark, folder).ledger()).select("id", "player_id", "points", "position")
 
 
+@query
+def latest_entries(spark, folder):
+    return state.latest_entries(Inputs(spark, folder).ledger())
+
+
+@query
+def team_running_total(spark, folder):
+    """Total of each team's direct points after every entry; teams are hot keys by nature."""
+    return ordered.running_total(Inputs(spark, folder).direct(), "team").select("id", "team", "points", "total")
+
+
 @query
 def opening_balance(spark, folder):
     return state.opening_balance(rollups.player_days(Inputs(spark, folder).ledger()))
@@ -714,7 +733,8 @@ def badge_collector(spark, folder):
 
 @query
 def badge_veteran(spark, folder):
-    return awards.grant(awards.veteran(Inputs(spark, folder).intervals(), months=0, days=S.VETERAN_DAYS))
+    x = Inputs(spark, folder)
+    return awards.grant(awards.veteran(x.intervals(), x.active(), months=0, days=S.VETERAN_DAYS))
 
 
 @query

@@ -341,6 +341,7 @@ ORACLE: dict[str, str] = {
         AS category) FROM t_ledger"""),
     "delete_entities": _sql(f"""SELECT * FROM t_ledger WHERE player_id NOT IN (
         SELECT player_id FROM t_players WHERE team = '{S.POOL}')"""),
+    "stored_ledger_range": _sql(f"SELECT * FROM t_ledger WHERE {_WEEK}"),
     "rekey_entities": _sql("""SELECT l.* REPLACE (coalesce(new_id, player_id) AS player_id) FROM t_ledger l
         LEFT JOIN t_renames ON player_id = old_id"""),
     "rename_audit": _sql(f"""SELECT {_AS_OF} AS ts, new_id AS player_id,
@@ -451,6 +452,9 @@ ORACLE: dict[str, str] = {
     "rank_turnaround": _sql("SELECT * FROM t_turnaround", days="bottom_day top_day"),
     "latest_n_per_player": _sql("""SELECT id, player_id, points, position FROM (SELECT *, row_number() OVER (
         PARTITION BY player_id ORDER BY id DESC) AS position FROM t_ledger) WHERE position <= 50"""),
+    "latest_entries": _sql("SELECT * FROM t_ledger ORDER BY id DESC LIMIT 10"),
+    "team_running_total": _sql("""SELECT id, team, points, sum(points) OVER (
+        PARTITION BY team ORDER BY id ROWS UNBOUNDED PRECEDING) AS total FROM t_direct""", "total"),
     "opening_balance": _sql("""SELECT player_id, CAST(ts AS DATE) AS day, min_by(total - points, id) AS opening
         FROM t_run0 GROUP BY 1, 2""", "opening", "day"),
     "trailing_count": _sql(f"""SELECT player_id, count(*) AS n FROM t_recent

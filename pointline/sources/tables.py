@@ -8,6 +8,7 @@ that do not depend on order of arrival.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def stored_ledger(spark: SparkSession, folder: str, first: dt.date | None = None,
+                  last: dt.date | None = None) -> DataFrame:
+    """A ledger stored by ``sinks.write_ledger``; only the folders of the days asked for are read."""
+    ledger = spark.read.parquet(folder)
+    if first is not None:
+        ledger = ledger.where(F.col("day") >= F.lit(first))
+    if last is not None:
+        ledger = ledger.where(F.col("day") <= F.lit(last))
+    return ledger
+
+
 def as_ledger(entries: DataFrame, rules: text.CategoryRules) -> DataFrame:
     """Classify raw ``id, ts, player_id, action, points`` entries and fill the ledger's other columns."""
     return entries.select(

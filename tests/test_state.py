@@ -236,3 +236,14 @@ def test_hours_at_top(make_ledger, make_players):
     hours = snapshots.hours_at_top(
         snapshots.team_hours(ledger, players), players, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 4, 45))
     assert rows_of(hours) == [("T", 2), ("U", 2)]
+
+
+def test_many_teams_are_not_broadcast(monkeypatch, make_ledger, make_players):
+    rows, players = season(4)
+    ledger, people = make_ledger(rows), make_players(players)
+    intervals = snapshots.score_intervals(rollups.player_days(ledger), people, FIRST, LAST)
+    few = rows_of(snapshots.rank_turnaround(intervals, people))
+    assert "ResolvedHint" in rollups.team_table(people)(people)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(rollups, "FEW_TEAMS", 2)
+    assert rollups.team_table(people)(people) is people
+    assert few and rows_of(snapshots.rank_turnaround(intervals, people)) == few
