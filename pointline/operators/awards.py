@@ -272,10 +272,10 @@ def harmony(scores: DataFrame, as_of: dt.datetime, gap: int = 50, month: int = 1
     return won(spread, "harmony", cal.ntz(as_of), "team")
 
 
-def no_weak_link(intervals: DataFrame, first_day: dt.date, as_of: dt.datetime, low: int = 25, months: int = 2,
-                 days: int = 0) -> DataFrame:
+def no_weak_link(intervals: DataFrame, players: DataFrame, first_day: dt.date, as_of: dt.datetime, low: int = 25,
+                 months: int = 2, days: int = 0) -> DataFrame:
     """Every member at ``low`` or more for two months."""
-    good = snapshots.team_days_all(intervals, F.col("score") >= low, first_day, as_of.date())
+    good = snapshots.team_days_all(intervals, players, F.col("score") >= low, first_day, as_of.date())
     return won(snapshots.first_held(snapshots.sustained(good, "team", months, days), "team"), "no_weak_link", "held_on",
                "team")
 

@@ -22,18 +22,20 @@ def score_intervals(days: DataFrame, players: DataFrame, first_day: dt.date, las
     """Closing scores ``(player_id, team, from_day, to_day, score)`` that cover the days given without gaps.
 
     ``days`` is ``player_days`` up to the last day. Players start at 0. The window of a player sees one row per calendar day
-    with entries.
+    with entries. The team comes along with the starting row, which saves a join; without one, a player is left out.
     """
     last = F.lit(last_day)
-    entries = days.select("player_id", F.greatest("day", F.lit(first_day)).alias("day"), "points")
-    start = players.select("player_id", F.lit(first_day).alias("day"), F.lit(0).cast("bigint").alias("points"))
-    daily = entries.unionByName(start).groupBy("player_id", "day").agg(F.sum("points").alias("points"))
+    entries = days.select("player_id", F.lit(None).cast("string").alias("team"),
+                          F.greatest("day", F.lit(first_day)).alias("day"), "points")
+    start = players.select("player_id", "team", F.lit(first_day).alias("day"), F.lit(0).cast("bigint").alias("points"))
+    daily = entries.unionByName(start).groupBy("player_id", "day").agg(
+        F.sum("points").alias("points"), F.max("team").alias("team"))
     by_day = Window.partitionBy("player_id").orderBy("day")
-    closing = daily.select(
-        "player_id", F.col("day").alias("from_day"),
+    return daily.select(
+        "player_id", F.max("team").over(Window.partitionBy("player_id")).alias("team"), F.col("day").alias("from_day"),
         F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last).alias("to_day"),
-        F.sum("points").over(by_day.rowsBetween(Window.unboundedPreceding, 0)).alias("score"))
-    return closing.join(players.select("player_id", "team"), "player_id")
+        F.sum("points").over(by_day.rowsBetween(Window.unboundedPreceding, 0)).alias("score"),
+    ).where(F.col("team").isNotNull())
 
 
 def each_day(intervals: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def calendar_of(keys: DataFrame, first_day: dt.date, last_day: dt.date) -> DataF
     return keys.withColumn("day", F.explode(F.sequence(F.lit(first_day), F.lit(last_day))))
 
 
-def team_days_all(intervals: DataFrame, holds: Column, first_day: dt.date, last_day: dt.date) -> DataFrame:
+def team_days_all(intervals: DataFrame, players: DataFrame, holds: Column, first_day: dt.date,
+                  last_day: dt.date) -> DataFrame:
     """Days on which ``holds`` is true of the score of every member of a team.
 
     Counts the members for whom it fails: +1 on the first day of a failing interval, -1 on the day after its last.
@@ -93,7 +96,7 @@ def team_days_all(intervals: DataFrame, holds: Column, first_day: dt.date, last_
         F.struct(F.col("from_day").alias("day"), F.lit(1).alias("n")),
         F.struct(F.date_add("to_day", 1).alias("day"), F.lit(-1).alias("n")),
     )).alias("c")).groupBy("team", F.col("c.day").alias("day")).agg(F.sum("c.n").alias("n"))
-    days = calendar_of(intervals.select("team").distinct(), first_day, last_day)
+    days = calendar_of(players.select("team").distinct(), first_day, last_day)
     so_far = Window.partitionBy("team").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return days.join(changes, ["team", "day"], "left").withColumn(
         "_failing", F.sum(F.coalesce("n", F.lit(0))).over(so_far)).where(F.col("_failing") == 0).select("team", "day")

@@ -778,8 +778,9 @@ def badge_harmony(spark, folder):
 
 @query
 def badge_no_weak_link(spark, folder):
+    x = Inputs(spark, folder)
     return awards.grant(awards.no_weak_link(
-        Inputs(spark, folder).intervals(), S.FIRST_DAY, S.AS_OF, S.WEAK_LINK, 0, S.WEAK_LINK_DAYS), "team")
+        x.intervals(), x.active(), S.FIRST_DAY, S.AS_OF, S.WEAK_LINK, 0, S.WEAK_LINK_DAYS), "team")
 
 
 @query

@@ -100,10 +100,10 @@ def test_weak_link_and_triple_threat(make_ledger, make_players):
     ledger = entries(make_ledger, *[(f"2024-01-0{p}", p, "a", 30) for p in (1, 2, 3)], ("2024-01-02", 4, "a", 30),
                      ("2024-01-15", 3, "a", -10), ("2024-01-16", 3, "a", 5))
     intervals = snapshots.score_intervals(rollups.player_days(ledger), players, first, AS_OF.date())
-    earned = awards.no_weak_link(intervals, first, AS_OF, months=0, days=10)
+    earned = awards.no_weak_link(intervals, players, first, AS_OF, months=0, days=10)
     assert rows_of(earned, "team", "date_earned") == [("T", dt.datetime(2024, 1, 13))]
-    assert awards.no_weak_link(intervals, first, AS_OF, months=0, days=12).count() == 0
-    assert awards.no_weak_link(intervals, first, AS_OF).count() == 0
+    assert awards.no_weak_link(intervals, players, first, AS_OF, months=0, days=12).count() == 0
+    assert awards.no_weak_link(intervals, players, first, AS_OF).count() == 0
     best = awards.triple_threat(intervals, k=3, months=0, days=5)
     # on the 1st all idle players tie at 0 and the lower ids lead, so the three of T are on top until U's player scores
     assert rows_of(best, "team", "date_earned") == [("T", dt.datetime(2024, 1, 8))]

@@ -202,7 +202,7 @@ def test_team_days_all_against_brute_force(make_ledger, make_players):
         wanted = [(t, day) for day, scores in daily_scores(rows, players).items() for t in set(team.values())
                   if all(s >= low for p, s in scores.items() if team[p] == t)]
         from pyspark.sql import functions as F
-        found = snapshots.team_days_all(intervals, F.col("score") >= low, FIRST, LAST)
+        found = snapshots.team_days_all(intervals, make_players(players), F.col("score") >= low, FIRST, LAST)
         assert rows_of(found, "team", "day") == sorted(wanted)
 
 
