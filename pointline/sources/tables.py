@@ -25,8 +25,18 @@ ORDER_RULES = (("sport", ("urgent", "high")), ("academic", ("medium", "specified
 DOCUMENT_RULES = (("sport", ("heit", "tionoi", "ÉAU")), ("academic", ("tion", "üch", "été")))
 
 
+# Schemas of the given tables; stating them spares a pass over file footers.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def stored_ledger(spark: SparkSession, folder: str, first: dt.date | None = None,

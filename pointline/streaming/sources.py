@@ -17,9 +17,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 256 << 20) -> DataFrame:
     """A table's files as a stream; the limit per trigger bounds what a micro-batch holds of any player."""
-    schema = tables.read(spark, folder, name).schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+        spark.readStream.schema(tables.SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
         .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder))
 
 
