@@ -6,10 +6,12 @@ order of arrival. The source's limit per trigger bounds the entries of one call.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from ..functions import calendar as cal
 from ..functions import text
 from ..operators.awards import ENTRY_RULES, RULES, Rule, grant
 
+# The processors travel with the query, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COUNTERS = ("n", "score", "lowest_score", "current_streak", "max_streak", "praise_count")
 MICROS_PER_DAY = 86_400_000_000
 
