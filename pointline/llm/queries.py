@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality_net, quality_rules, secrets
+from . import bpe, links, pii, quality_net, quality_rules, secrets, sharding
 from .common import learnable, table
 
 PII_KEY = os.environ.get("PII_KEY", "a key for tests; production sets its own")
@@ -51,6 +51,11 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("_v", "x.kind <> 'model'"), 256).alias("base_sha256"), listed("_v").alias("spans"))
 
 
+@query
+def op4_links(spark: SparkSession, folder: str) -> DataFrame:
+    return links.judged(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op5_quality_net(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -73,3 +78,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality_rules.trained(docs, table(spark, folder, "labels"))
     return docs.select("doc_id", quality_rules.judge(model).alias("_v")).select("doc_id", "_v.*")
+
+
+@query
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"))
