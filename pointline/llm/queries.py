@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, links, pii, quality_net, quality_rules, secrets, sharding
+from . import bpe, decontaminate, links, pii, quality_net, quality_rules, secrets, sharding
 from .common import learnable, table
 
 PII_KEY = os.environ.get("PII_KEY", "a key for tests; production sets its own")
@@ -64,6 +64,12 @@ def op5_quality_net(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per document and benchmark item of which it holds a passage."""
+    return decontaminate.contaminations(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "documents").select("doc_id", bpe.encode(vocabulary()).alias("ids"))
