@@ -8,8 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, links, pii, quality_net, quality_rules, secrets, sharding
-from .common import learnable, table
+from . import bpe, decontaminate, links, pii, quality_net, quality_rules, repeats, secrets, sharding
+from .common import learnable, stored, table
 
 PII_KEY = os.environ.get("PII_KEY", "a key for tests; production sets its own")
 
@@ -64,6 +64,20 @@ def op5_quality_net(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without a repeat keep all words; their digests don't wait for the search."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.repeats(docs)
+    found = stored(found.select("doc_id", repeats.kept_words(F.col("repeats")).alias("_v")).select("doc_id", *digests()), "repeats")
+    whole = docs.select("doc_id", repeats.kept_words().alias("_v")).select("doc_id", *digests())
+    return found.union(whole.join(found.select("doc_id"), "doc_id", "left_anti"))
+
+
+def digests() -> list[Column]:
+    return [F.col("_v.n_words").alias("n_words"), F.col("_v.n_removed").alias("n_removed"), F.sha2(F.col("_v.text"), 256).alias("kept_sha256")]
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """A row per document and benchmark item of which it holds a passage."""
