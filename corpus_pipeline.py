@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointline.llm import bpe, pii, quality_rules
+from pointline.llm import bpe, decontaminate, near, pii, quality_rules
 from pointline.llm.common import stored, table
 from pointline.llm.queries import PII_KEY, vocabulary
 
@@ -22,6 +22,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return docs.withColumn(JUDGED, quality_rules.judge(model)).where(F.col(JUDGED).kept).drop(JUDGED)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document, the one of smallest id, of each class of near-duplicates; rows without id stay."""
+    gone = near.classes(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, folder, "benchmark"))
+
+
 def hide_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts with pseudonyms; the number of characters follows."""
     out = docs.withColumn("_hidden", pii.pseudonymised(PII_KEY)).withColumn("text", F.col("_hidden.text")).drop("_hidden")
@@ -38,6 +49,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_good),
+    ("near duplicates", one_of_each),
+    ("decontamination", without_leaks),
     ("personal data", hide_personal),
     ("tokens", to_tokens),
 ]

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, links, pii, quality_net, quality_rules, repeats, secrets, sharding
+from . import bpe, decontaminate, links, near, pii, quality_net, quality_rules, repeats, secrets, sharding
 from .common import learnable, stored, table
 
 PII_KEY = os.environ.get("PII_KEY", "a key for tests; production sets its own")
@@ -42,6 +42,11 @@ def listed(spans: str, only: str = "true") -> Column:
     return F.expr(f"array_join(transform(filter({spans}, x -> {only}), x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
+@query
+def op2_near(spark: SparkSession, folder: str) -> DataFrame:
+    return near.classes(table(spark, folder, "documents"))
+
+
 @query
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
