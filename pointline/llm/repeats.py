@@ -3,12 +3,12 @@
 A window is ``length`` consecutive words. Of its ``grams``-word shingles the one of least hash is its anchor, so equal windows have equal
 anchors at equal places. (1) Seeds: anchors of all documents are counted; those that occur once cannot lie in a repeat. (2) Extension:
 around each seed that occurs again the windows that chose it are extended to the left and right, up to ``length`` words, and
-hashed in 128 bits. (3) The first occurrence of each window content - smallest id, then smallest start - is found by a grouped minimum. (4) In each document
-the windows that are not first merge to maximal repeats. No pair of documents is ever formed, so a passage that a third of all
+hashed in 128 bits. (3) The first document of each window content is found by a grouped minimum of the ids; in it the smallest start is
+first. (4) In each document the windows that are not first merge to maximal repeats. No pair of documents is ever formed, so a passage that a third of all
 documents share costs as many rows as it has occurrences, summed up before they are shuffled.
 
 Defined results: a null or short text (under ``length`` words) has no windows. Rows without id are left as they are and count for nothing. Rows
-that share an id are one document: a word place is first if it is in any of them. An empty table gives an empty result.
+that share an id are judged each on its own against those of other ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def chosen_windows(words: Words, seeds: list, length: int, grams: int) -> tuple[
 
 
 def windows(seeded: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> DataFrame:
-    """(doc_id, start, w1, w2): the extended windows of documents with ``seeds``; w1 and w2 are two hashes of the words."""
+    """(doc_id, w1, w2): the extended windows of documents with ``seeds``, each content once; w1 and w2 are two hashes of the words."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds = batch.column("seeds")
@@ -86,26 +86,42 @@ def windows(seeded: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> Data
                 one, at = shingle_hashes(hashes, words.firsts, length)
                 two, _ = shingle_hashes(mix(hashes ^ np.uint64(0x5DEECE66D)), words.firsts, length)
                 mine = np.searchsorted(at, starts)
+                one, two = one[mine], two[mine]
+                once = np.flatnonzero(earliest(one, owner))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(pa.array(owner + first)), pa.array((starts - words.firsts[owner]).astype(np.int32)),
-                    pa.array(one[mine].view(np.int64)), pa.array(two[mine].view(np.int64))], ["doc_id", "start", "w1", "w2"])
+                    batch.column("doc_id").take(pa.array(owner[once] + first)), pa.array(one[once].view(np.int64)),
+                    pa.array(two[once].view(np.int64))], ["doc_id", "w1", "w2"])
     kind = seeded.schema["doc_id"].dataType.simpleString()
-    return seeded.select("doc_id", "text", "seeds").mapInArrow(rows, f"doc_id {kind}, start int, w1 bigint, w2 bigint")
+    return seeded.select("doc_id", "text", "seeds").mapInArrow(rows, f"doc_id {kind}, w1 bigint, w2 bigint")
+
+
+def earliest(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a window is the first of its content in its text."""
+    order = np.lexsort((hashes, owner))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    return ~again
 
 
 def maximal(seeded: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> Column:
-    """Spans of words, as (start, end), that windows other than ``firsts`` cover, for rows with text, seeds and firsts."""
+    """Spans of words, as (start, end), that windows other than first ones cover, for rows with text, seeds and the w1 of
+    the windows of which this document is the first (``firsts``)."""
     def batches(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for texts, seeds, firsts in columns:
             out = []
             for first, piece in pieces(texts):
                 words = words_of(piece)
-                starts, _, owner = chosen_windows(words, [s.values.to_numpy() for s in seeds.slice(first, len(piece))], length, grams)
+                starts, hashes, owner = chosen_windows(words, [s.values.to_numpy() for s in seeds.slice(first, len(piece))], length, grams)
+                content, at = shingle_hashes(hashes, words.firsts, length)
+                content = content[np.searchsorted(at, starts)]
+                early, content = earliest(content, owner), content.view(np.int64)
                 for t in range(len(piece)):
-                    mine = starts[np.searchsorted(owner, t):np.searchsorted(owner, t, "right")] - words.firsts[t]
+                    own = slice(np.searchsorted(owner, t), np.searchsorted(owner, t, "right"))
                     kept = firsts[first + t]
-                    mine = np.setdiff1d(mine, kept.values.to_numpy() if kept.is_valid else np.zeros(0, np.int32))
+                    mine = starts[own] - words.firsts[t]
+                    if kept.is_valid:
+                        mine = mine[~(early[own] & np.isin(content[own], kept.values.to_numpy()))]
                     cut = np.flatnonzero(np.diff(mine) > length)
                     begin, end = mine[np.append(0, cut + 1)] if len(mine) else mine, mine[np.append(cut, len(mine) - 1)] + length if len(mine) else mine
                     out.append([{"start": int(b), "end": int(e)} for b, e in zip(begin, end)])
@@ -117,12 +133,12 @@ def maximal(seeded: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> Colu
 def repeats(docs: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> DataFrame:
     """Documents that hold a seed which occurs again: doc_id, text, and their maximal repeats as spans of words (maybe none)."""
     found = stored(anchors(docs, length, grams), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # a frequent anchor is one row here; adaptive execution splits its occurrences on the other side
+    again = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
+    # a frequent anchor is one row of this table; adaptive execution splits its occurrences on the other side
     seeds = found.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("seeds"))  # within one document
     seeded = stored(docs.select("doc_id", "text").join(seeds, "doc_id"), "seeded")
-    firsts = windows(seeded, length, grams).groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = firsts.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.start").alias("firsts"))
+    firsts = windows(seeded, length, grams).groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"))
+    firsts = firsts.groupBy("doc_id").agg(F.collect_list("w1").alias("firsts"))  # within one document
     full = seeded.join(firsts, "doc_id", "left")
     return full.select("doc_id", "text", maximal(full, length, grams).alias("repeats"))
 
