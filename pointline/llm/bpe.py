@@ -34,7 +34,7 @@ LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+
 OTHER = r"[^\t-\r -~À-ɏ]"
 GAP = "Ā"
 NEVER = np.int64(1 << 40)
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 PIECE_BYTES = 1 << 20
 DECODED = 256
 
@@ -46,15 +46,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Vocabulary:
-    """Tokens, merges and special tokens of a byte-level BPE file."""
+class Tokens:
+    """The bytes of every token of a byte-level BPE file; enough to decode."""
 
     def __init__(self, path: str):
-        import ahocorasick
-        import regex
-
         with open(path, encoding="utf-8") as file:
-            read = json.load(file)
+            self.read(json.load(file))
+
+    def read(self, read: dict) -> None:
         letters, model = byte_letters(), read["model"]
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
         size = 1 + max([*model["vocab"].values(), *self.special.values()])
@@ -64,14 +63,49 @@ class Vocabulary:
                 self.bytes[i] = bytes(letters[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.size, self.id_of = size, {b: i for i, b in enumerate(self.bytes) if b and i not in set(self.special.values())}
+        self.size = size
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """Texts of the lists of ids between the edges."""
+        known = (ids >= 0) & (ids < self.size)
+        if not known.all():
+            edges = np.concatenate([[0], np.cumsum(known)])[edges]
+            ids = ids[known]
+        sizes = self.lengths[ids]
+        stop = np.cumsum(sizes)
+        out = self.flat[np.repeat(self.begins[ids] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
+        cuts = np.concatenate([[0], stop])[edges]
+        inner = cuts[cuts < len(out)]
+        raw = out.tobytes()
+        try:
+            raw.decode()
+            whole = not ((out[inner] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+        return pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
+
+
+class Vocabulary(Tokens):
+    """Also the merges, and what encoding needs."""
+
+    def read(self, read: dict) -> None:
+        import ahocorasick
+        import regex
+
+        super().read(read)
+        model, size = read["model"], self.size
+        self.id_of = {b: i for i, b in enumerate(self.bytes) if b and i not in set(self.special.values())}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         pairs = np.array([[model["vocab"][a], model["vocab"][b], model["vocab"][a + b]] for a, b in merges], np.int64)
         keys = pairs[:, 0] * size + pairs[:, 1]
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
-        self.rank_of = {(int(a), int(b)): (rank, int(c)) for rank, (a, b, c) in enumerate(pairs)}
-        self.coded = {pair: rank << 32 | new for pair, (rank, new) in self.rank_of.items()}
+        self.coded = {(a, b): rank << 32 | c for rank, (a, b, c) in enumerate(pairs.tolist())}
         self.left, self.right, self.formed = np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, -1, np.int64)
         for column, into in ((0, self.left), (1, self.right)):
             into[pairs[::-1, 2]] = pairs[::-1, column]
@@ -83,9 +117,6 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.cut, self.latin, self.other = regex.compile(PATTERN), re.compile(LATIN), re.compile(OTHER)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.begins = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.known: dict[str, bytes] = {}
 
     def _sound(self) -> np.ndarray:
@@ -145,21 +176,20 @@ class Vocabulary:
     def _merged_long(self, piece: bytes) -> list[int]:
         ids = [self.id_of[piece[i:i + 1]] for i in range(len(piece))]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*self.rank_of[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank_of]
-        heap = [(rank, i, p, new) for rank, new, i, p in heap]
+        heap = [(self.coded[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.coded]
         heapq.heapify(heap)
         while heap:
-            _, i, pair, new = heapq.heappop(heap)
+            code, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] != pair[0] or j >= len(ids) or ids[j] != pair[1]:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = code & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(ids) and (found := self.rank_of.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (found[0], left, (ids[left], ids[right]), found[1]))
+                if left >= 0 and right < len(ids) and (found := self.coded.get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (found, left, (ids[left], ids[right])))
         return [i for i in ids if i >= 0]
 
     def learn(self, new: list[str]) -> tuple[int, int]:
@@ -201,27 +231,6 @@ class Vocabulary:
             self.learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in cut]
 
-    def decode(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
-        """Texts of the lists of ids between the edges."""
-        known = (ids >= 0) & (ids < self.size)
-        if not known.all():
-            edges = np.concatenate([[0], np.cumsum(known)])[edges]
-            ids = ids[known]
-        sizes = self.lengths[ids]
-        stop = np.cumsum(sizes)
-        out = self.flat[np.repeat(self.begins[ids] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
-        cuts = np.concatenate([[0], stop])[edges]
-        inner = cuts[cuts < len(out)]
-        raw = out.tobytes()
-        try:
-            raw.decode()
-            whole = not ((out[inner] & 0xC0) == 0x80).any()
-        except UnicodeDecodeError:
-            whole = False
-        if not whole:
-            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
-        return pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
-
 
 def encode(path: str, column="text") -> Column:
     """Token ids (array<int>) of a text column."""
@@ -241,7 +250,7 @@ def encode(path: str, column="text") -> Column:
 def decode(path: str, column="ids") -> Column:
     """Text of a column of token ids; null ids give an empty text."""
     def batches(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = kept_in_worker(f"bpe {path}", lambda: Vocabulary(path))
+        own = kept_in_worker(f"tokens {path}", lambda: Tokens(path))
         for batch in lists:
             parts = [own.decode(*_lists(batch.slice(k, DECODED))) for k in range(0, len(batch), DECODED)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
