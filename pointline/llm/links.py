@@ -81,9 +81,8 @@ def judged(pages: DataFrame, rules=RULES, rounds: int = 12, damping: float = 0.8
     for verdict, name, _ in (r for r in rules if r[0] == "block" and r[2] == "/"):
         whole = whole | (F.col("host") == name) | F.col("host").endswith("." + name)
     own = rows.groupBy("host").agg(F.max(F.col("_rule.verdict").eqNullSafe("allow")).alias("trusted"))
-    own = own.select("host", (F.col("trusted") & ~whole).alias("trusted"), whole.alias("blocked"))
     linked = links.select(F.col("source").alias("host")).union(links.select("target")).distinct()
-    hosts = own.join(linked, "host", "full").select("host", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    hosts = own.join(linked, "host", "full").select("host", (F.coalesce("trusted", F.lit(False)) & ~whole).alias("trusted"), whole.alias("blocked"))
     hosts = stored(hosts, "hosts")
 
     def shared(pairs: DataFrame) -> DataFrame:
