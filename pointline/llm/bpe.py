@@ -34,7 +34,7 @@ LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+
 OTHER = r"[^\t-\r -~À-ɏ]"
 GAP = "Ā"
 NEVER = np.int64(1 << 40)
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 PIECE_BYTES = 1 << 20
 DECODED = 256
 

@@ -3,7 +3,7 @@
 A window is ``length`` consecutive words. Of its ``grams``-word shingles the one of least hash is its anchor, so equal windows have equal
 anchors at equal places. (1) Seeds: anchors of all documents are counted; those that occur once cannot lie in a repeat. (2) Extension:
 around each seed that occurs again the windows that chose it are extended to the left and right, up to ``length`` words, and
-hashed in 128 bits. (3) The first document of each window content is found by a grouped minimum of the ids; in it the smallest start is
+hashed in 96 bits. (3) The first document of each window content is found by a grouped minimum of the ids; in it the smallest start is
 first. (4) In each document the windows that are not first merge to maximal repeats. No pair of documents is ever formed, so a passage that a third of all
 documents share costs as many rows as it has occurrences, summed up before they are shuffled.
 
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, shingle_hashes, ship, stored, word_hashes, words_of
+from .common import Words, mix, pieces, removed, shingle_hashes, ship, stored, word_hashes, words_of
 
 ship(__name__)
 
-LENGTH, GRAMS = 20, 6
+LENGTH, GRAMS = 20, 10
 
 
 def anchored(hashes: np.ndarray, firsts: np.ndarray, length: int, grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,9 +90,9 @@ def windows(seeded: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> Data
                 once = np.flatnonzero(earliest(one, owner))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(pa.array(owner[once] + first)), pa.array(one[once].view(np.int64)),
-                    pa.array(two[once].view(np.int64))], ["doc_id", "w1", "w2"])
+                    pa.array((two[once] >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "w1", "w2"])
     kind = seeded.schema["doc_id"].dataType.simpleString()
-    return seeded.select("doc_id", "text", "seeds").mapInArrow(rows, f"doc_id {kind}, w1 bigint, w2 bigint")
+    return seeded.select("doc_id", "text", "seeds").mapInArrow(rows, f"doc_id {kind}, w1 bigint, w2 int")
 
 
 def earliest(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -137,6 +137,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, grams: int = GRAMS) -> DataFr
     # a frequent anchor is one row of this table; adaptive execution splits its occurrences on the other side
     seeds = found.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("seeds"))  # within one document
     seeded = stored(docs.select("doc_id", "text").join(seeds, "doc_id"), "seeded")
+    for done in (found, again):
+        removed(docs.sparkSession, done)
     firsts = windows(seeded, length, grams).groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"))
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("w1").alias("firsts"))  # within one document
     full = seeded.join(firsts, "doc_id", "left")
