@@ -86,6 +86,8 @@ def accepted_changes(requests: DataFrame, months: int = 3, classes: Sequence[str
     The rule is greedy, so it is a fold per player. It only looks at months, and within a month only the first request can
     pass: the aggregate keeps one per player and month before anything is gathered. ``classes=None`` allows any class.
     """
+    if months < 1:
+        raise ValueError("a cooldown lasts one month at least; without one every request passes")
     if classes is not None:
         requests = requests.where(F.col("player_class").isin(list(classes)))
     first = requests.withColumn("month", cal.month_index(F.col("ts"))).groupBy("player_id", "month").agg(

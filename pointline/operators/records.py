@@ -50,7 +50,7 @@ def current_records(records: DataFrame) -> DataFrame:
 
 
 def latest_records(records: DataFrame, n: int = 50) -> DataFrame:
-    return records.orderBy(F.desc("date_achieved"), "record_type").limit(n)
+    return records.orderBy(F.desc("date_achieved"), "record_type", "player_id", F.desc("score")).limit(n)
 
 
 def absolute_record(scores: DataFrame) -> DataFrame:

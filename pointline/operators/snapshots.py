@@ -89,13 +89,14 @@ def team_days_all(intervals: DataFrame, players: DataFrame, holds: Column, first
                   last_day: dt.date) -> DataFrame:
     """Days on which ``holds`` is true of the score of every member of a team.
 
-    Counts the members for whom it fails: +1 on the first day of a failing interval, -1 on the day after its last.
+    Counts the members for whom it fails: +1 on the first day of a failing interval, -1 on the day after its last. Changes before
+    ``first_day`` open the count.
     """
     failing = intervals.where(~holds)
     changes = failing.select("team", F.explode(F.array(
         F.struct(F.col("from_day").alias("day"), F.lit(1).alias("n")),
         F.struct(F.date_add("to_day", 1).alias("day"), F.lit(-1).alias("n")),
-    )).alias("c")).groupBy("team", F.col("c.day").alias("day")).agg(F.sum("c.n").alias("n"))
+    )).alias("c")).groupBy("team", F.greatest("c.day", F.lit(first_day)).alias("day")).agg(F.sum("c.n").alias("n"))
     days = calendar_of(players.select("team").distinct(), first_day, last_day)
     so_far = Window.partitionBy("team").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return days.join(changes, ["team", "day"], "left").withColumn(
@@ -169,7 +170,11 @@ def team_hours(ledger: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def hours_at_top(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
-    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led; from ``team_hours``."""
+    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led; from ``team_hours``.
+
+    What lies before ``first_hour`` opens the totals.
+    """
+    hourly = hourly.groupBy("team", F.greatest("hour", cal.ntz(first_hour)).alias("hour")).agg(F.sum("points").alias("points"))
     last_hour = as_of.replace(minute=0, second=0, microsecond=0) - dt.timedelta(hours=1)
     checks = teams.select("team").distinct().withColumn("hour", F.explode(F.sequence(
         cal.ntz(first_hour), cal.ntz(last_hour), F.expr("INTERVAL 1 HOUR"))))

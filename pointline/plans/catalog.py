@@ -942,24 +942,23 @@ def stream_player_state(spark, folder):
 @query
 def stream_week_points(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    return stream_sources.run_appending(
-        stream_windows.week_points(entries, tables.players(spark, folder)), "week-points")
+    weeks = stream_sources.run_updating(stream_windows.week_points(entries), ["player_id", "week_start"], "week-points")
+    return stream_windows.per_team(weeks, tables.players(spark, folder), "week_start")
 
 
 @query
 def stream_month_points(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    months = stream_windows.month_points(entries, tables.players(spark, folder))
-    return stream_sources.run_updating(months, ["team", "month"], "month-points")
+    months = stream_sources.run_updating(stream_windows.month_points(entries), ["player_id", "month"], "month-points")
+    return stream_windows.per_team(months, tables.players(spark, folder), "month")
 
 
 @query
 def stream_hours_at_top(spark, folder):
     """Team points per hour from a stream; the hourly checks read what it has emitted."""
     players = tables.players(spark, folder)
-    hourly = stream_sources.run_appending(
-        stream_windows.hour_points(stream_sources.event_stream(spark, folder), players), "hour-points")
-    return snapshots.hours_at_top(hourly, players, S.FIRST_HOUR, S.AS_OF)
+    hours = stream_sources.run_appending(stream_windows.hour_points(stream_sources.event_stream(spark, folder)), "hour-points")
+    return snapshots.hours_at_top(stream_windows.per_team(hours, players, "hour"), players, S.FIRST_HOUR, S.AS_OF)
 
 
 @query

@@ -606,9 +606,7 @@ ORACLE: dict[str, str] = {
         max_by(streak, id) AS current_streak, max(streak) AS max_streak, max(praise) AS praise_count FROM t_run
         GROUP BY 1""", "score lowest_score"),
     "stream_week_points": _sql("""SELECT team, date_trunc('week', ts) AS week_start, sum(points) AS points
-        FROM t_ledger JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2
-        HAVING date_trunc('week', ts) + INTERVAL 7 DAY <= (
-            SELECT max(ts) - INTERVAL 1 DAY FROM t_ledger WHERE points > 0)""", "points"),
+        FROM t_ledger JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2""", "points"),
     "stream_month_points": _sql("""SELECT team, strftime(ts, '%Y-%m') AS month, sum(points) AS points FROM t_ledger
         JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2""", "points"),
     "stream_hours_at_top": _sql(_HOURS),

@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def validate_entries(entries: DataFrame, players: DataFrame) -> DataFrame:
+PLAIN_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"
+MOST_POINTS = 10**16
+
+
+def validate_entries(entries: DataFrame, players: DataFrame, most: int = MOST_POINTS) -> DataFrame:
     """Judge raw text entries: ``status`` is ``accepted``, or names the first failed test.
 
+    Points are plain decimal numbers of at most ``most`` in size, so that sums of an entry's ledger cannot run over soon; they are
+    rounded down exactly, in decimal arithmetic.
+
     ``entries.player_id`` is text; ``players.player_id`` is matched on its text form. The one shuffle is the join to the
     players, which adaptive execution splits where a player is hot.
     """
     known = players.select(F.col("player_id").cast("string").alias("_key"), F.lit(True).alias("_known"))
     checked = entries.withColumns({
         "_key": F.trim("player_id"),
-        "_points": F.expr("try_cast(points AS double)"),
+        "_points": F.when(F.trim("points").rlike(PLAIN_NUMBER), F.expr("try_cast(trim(points) AS decimal(38,10))")),
     }).join(known, "_key", "left")
     status = (
         F.when(text.is_blank(F.col("player_id")), "blank player")
-        .when(F.col("_points").isNull() | F.isnan("_points"), "bad points")
+        .when(F.col("_points").isNull() | (F.abs("_points") > most), "bad points")
         .when(text.is_blank(F.col("action")), "blank action")
         .when(F.col("_known").isNull(), "unknown player")
         .otherwise("accepted")
     )
     return checked.select(
-        "id", "ts", F.col("_key").alias("player_id"), "action", F.floor("_points").cast("bigint").alias("points"),
+        "id", "ts", F.col("_key").alias("player_id"), "action", F.when(F.abs("_points") <= most, F.floor("_points")).cast("bigint").alias("points"),
         F.coalesce("actor", F.lit(text.DEFAULT_ACTOR)).alias("actor"), status.alias("status"),
     )
 

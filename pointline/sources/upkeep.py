@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def upsert_latest(existing: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert_latest(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """One row per key; rows of ``updates`` replace those of ``existing``.
 
-    The choice is an aggregate, so equal keys are reduced before the shuffle.
+    Of several updates of a key the last in ``order`` counts, a column of ``updates`` that is not stored; ties, and all of them without
+    ``order``, go to the greatest row, so the choice never hangs on the order of input. It is an aggregate, so
+    equal keys are reduced before the shuffle.
     """
     rest = [c for c in existing.columns if c not in keys]
-    both = existing.withColumn("_version", F.lit(0)).unionByName(updates.withColumn("_version", F.lit(1)))
-    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_version")).alias("_row"))
+    place = F.col(order) if order else F.lit(0)
+    new = updates.withColumns({"_version": F.lit(1), "_place": place})
+    if order and order not in existing.columns:
+        new = new.drop(order)
+    both = existing.withColumns({"_version": F.lit(0), "_place": F.lit(None)}).unionByName(new)
+    latest = both.groupBy(*keys).agg(F.max(F.struct("_version", "_place", *rest)).alias("_row"))
     return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def insert_if_absent(existing: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``existing`` plus the candidates whose key it lacks."""
-    new = candidates.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def insert_if_absent(existing: DataFrame, candidates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """``existing`` plus the candidates whose key it lacks; of several the first in ``order``, a column that is not stored, ties
+    going to the smallest row."""
+    rest = [c for c in existing.columns if c not in keys]
+    place = F.col(order) if order else F.lit(0)
+    first = candidates.groupBy(*keys).agg(F.min(F.struct(place.alias("_place"), *rest)).alias("_row"))
+    new = first.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).join(existing.select(*keys), list(keys), "left_anti")
     return existing.unionByName(new)
 
 

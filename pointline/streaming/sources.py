@@ -16,10 +16,15 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 256 << 20) -> DataFrame:
-    """A table's files as a stream; the limit per trigger bounds what a micro-batch holds of any player."""
-    return (
-        spark.readStream.schema(tables.SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder))
+    """A table, one file or a folder of them, as a stream; the limit per trigger bounds what a micro-batch holds of any player.
+
+    The path is a pattern that only the table's own name fits, since a stream takes a pattern for either layout.
+    """
+    pattern = f"{folder}/{name}.parque[t]"
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        raise FileNotFoundError(f"no table {name} in {folder}")
+    return spark.readStream.schema(tables.SCHEMAS[name]).option("maxBytesPerTrigger", bytes_per_trigger).parquet(pattern)
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:

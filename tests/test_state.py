@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pointline.operators import curves, records, rollups, snapshots, state
 
 from .conftest import rows_of
@@ -247,3 +249,17 @@ def test_many_teams_are_not_broadcast(monkeypatch, make_ledger, make_players):
     monkeypatch.setattr(rollups, "FEW_TEAMS", 2)
     assert rollups.team_table(people)(people) is people
     assert few and rows_of(snapshots.rank_turnaround(intervals, people)) == few
+
+
+def test_hours_at_top_open_with_what_came_before(make_ledger, make_players):
+    ledger = make_ledger([(1, "2024-01-01 10:00:00", 1, "x", 100), (2, "2024-01-02 05:00:00", 2, "x", 5)])
+    players = make_players([(1, "a", "A"), (2, "b", "B")])
+    hours = snapshots.hours_at_top(snapshots.team_hours(ledger, players), players, dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3))
+    assert rows_of(hours, "team", "hours") == [("A", 24), ("B", 0)]
+
+
+def test_cooldown_needs_a_month(make_ledger):
+    from pointline.operators import corrections
+
+    with pytest.raises(ValueError):
+        corrections.accepted_changes(make_ledger([]), months=0)

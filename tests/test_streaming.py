@@ -80,7 +80,7 @@ def test_awards_are_given_once(spark, entries, ledger):
 
 
 def test_weeks_are_emitted_when_over(spark, entries, ledger, players):
-    stream = sources.run_appending(windows.week_points(entries, players), "weeks").withColumn(
+    stream = windows.per_team(sources.run_appending(windows.week_points(entries), "weeks"), players, "week_start").withColumn(
         "period_start", F.to_date("week_start"))
     batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("week",))
     found, wanted = rows_of(stream, "team", "period_start", "points"), rows_of(batch, "team", "period_start", "points")
@@ -92,7 +92,7 @@ def test_weeks_are_emitted_when_over(spark, entries, ledger, players):
 
 
 def test_months_grow(spark, entries, ledger, players):
-    stream = sources.run_updating(windows.month_points(entries, players), ["team", "month"], "months")
+    stream = windows.per_team(sources.run_updating(windows.month_points(entries), ["player_id", "month"], "months"), players, "month")
     batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("month",)).withColumn(
         "month", F.date_format("period_start", "yyyy-MM"))
     columns = ("team", "month", "points")
@@ -128,3 +128,22 @@ def test_shared_folder_follows_the_setting():
     assert os.path.isdir(os.path.dirname(shared_folder(session("local[2]"), "z")))
     with pytest.raises(ValueError):
         shared_folder(session("yarn"), "z")
+
+
+def test_weeks_so_far(entries, ledger, players):
+    stream = windows.per_team(sources.run_updating(windows.week_points(entries), ["player_id", "week_start"], "weeks"), players, "week_start")
+    batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("week",))
+    found = rows_of(stream.withColumn("period_start", F.to_date("week_start")), "team", "period_start", "points")
+    assert found == rows_of(batch, "team", "period_start", "points")
+
+
+def test_stream_reads_a_file_a_folder_and_no_neighbour(spark, tmp_path):
+    rows = spark.range(10).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder/events.parquet"))
+    rows.coalesce(1).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    rows.write.parquet(str(tmp_path / "folder/events_old.parquet"))
+    for place in (tmp_path / "folder", tmp_path):
+        assert sources.run_appending(sources.stream_table(spark, str(place), "events"), "copy").count() == 10
+    with pytest.raises(FileNotFoundError):
+        sources.stream_table(spark, str(tmp_path / "none"), "events")

@@ -21,15 +21,16 @@ def test_entries_are_judged_in_order(spark, make_players):
     raw = spark.createDataFrame([
         (1, "1", "ok", "5", "me"), (2, "  ", "ok", "x", None), (3, "1", "ok", "x", None), (4, "1", " ", "1", None),
         (5, "9", "ok", "1", None), (6, None, "ok", "1", None), (7, "2", None, "1", None), (8, "2", "ok", "-2.5", None),
-        (9, "2", "ok", "NaN", None), (10, "2", "ok", None, None)],
+        (9, "2", "ok", "NaN", None), (10, "2", "ok", None, None), (11, "2", "ok", "Infinity", None), (12, "2", "ok", "1e300", None),
+        (13, "2", "ok", "10d", None), (14, "2", "ok", " 9007199254740993", None), (15, "2", "ok", "10000000000000001", None)],
         "id bigint, player_id string, action string, points string, actor string").withColumn("ts", F.lit("t"))
     judged = ingest.validate_entries(raw, make_players([(1, "a", "T"), (2, "b", "T")]))
     assert [s for _, s in rows_of(judged, "id", "status")] == [
         "accepted", "blank player", "bad points", "blank action", "unknown player", "blank player", "blank action",
-        "accepted", "bad points", "bad points"]
+        "accepted", "bad points", "bad points", "bad points", "bad points", "bad points", "accepted", "bad points"]
     good, bad = ingest.split_accepted(judged)
-    assert rows_of(good, "id", "points", "actor") == [(1, 5, "me"), (8, -3, text.DEFAULT_ACTOR)]
-    assert bad.count() == 8 and "reason" in bad.columns
+    assert rows_of(good, "id", "points", "actor") == [(1, 5, "me"), (8, -3, text.DEFAULT_ACTOR), (14, 9007199254740993, text.DEFAULT_ACTOR)]
+    assert bad.count() == 12 and "reason" in bad.columns
 
 
 def test_new_players(spark):
@@ -53,6 +54,10 @@ def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k bigint, v string, n bigint")
     new = spark.createDataFrame([(2, "c", 3), (3, "d", 4)], "k bigint, v string, n bigint")
     assert rows_of(upkeep.upsert_latest(old, new, ["k"])) == [(1, "a", 1), (2, "c", 3), (3, "d", 4)]
+    twice = spark.createDataFrame([(2, "y", 9, 1), (2, "c", 3, 2), (3, "d", 4, 1)], "k bigint, v string, n bigint, seq int")
+    for rows in (twice, twice.orderBy("seq"), twice.orderBy(F.desc("seq"))):
+        assert rows_of(upkeep.upsert_latest(old, rows, ["k"], "seq")) == [(1, "a", 1), (2, "c", 3), (3, "d", 4)]
+        assert rows_of(upkeep.insert_if_absent(old.where("k = 1"), rows, ["k"], "seq")) == [(1, "a", 1), (2, "y", 9), (3, "d", 4)]
     once = upkeep.insert_if_absent(old, new.unionByName(new), ["k"])
     assert rows_of(once) == [(1, "a", 1), (2, "b", 2), (3, "d", 4)]
     assert rows_of(upkeep.insert_if_absent(once, new, ["k"])) == rows_of(once)
