@@ -41,10 +41,9 @@ def hide_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def to_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each text and how many; ``round_trip`` tells whether decoding them gives the text again."""
-    ids = docs.select("doc_id", "text", bpe.encode(vocabulary()).alias("ids"))
-    both = ids.select("doc_id", "text", "ids", bpe.decode(vocabulary()).alias("_decoded"))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                       F.col("_decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = docs.select("doc_id", "text", bpe.round_trip(vocabulary()).alias("_both"))
+    return both.select("doc_id", F.col("_both.ids").alias("ids"), F.size("_both.ids").cast("long").alias("n_tokens"),
+                       F.col("_both.text").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [

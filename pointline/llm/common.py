@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -127,7 +127,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges: equal bytes have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(21, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     held = sys.__dict__.setdefault("_pointline_llm", {})
     if len(held.get("powers", [[]])[0]) < size:
         held["powers"] = _powers(size)

@@ -207,7 +207,7 @@ def leaks(index: Index, column="text") -> Column:
         table = np.zeros(1 << TABLE_BITS, bool)
         table[(index.codes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         for batch in texts:
-            yield pa.array([x for _, p in pieces(batch, 1 << 20) for x in leaks_of(index, p, table)], kind)
+            yield pa.array([x for _, p in pieces(batch) for x in leaks_of(index, p, table)], kind)
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, LEAKS).asNondeterministic()(F.col(column))
 

@@ -146,7 +146,7 @@ def score(model: Model | None, column="text") -> Column:
     """Probability of label 1."""
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            out = [model.scores(p) if model else np.full(len(p), 0.5) for _, p in pieces(batch, 1 << 20)]
+            out = [model.scores(p) if model else np.full(len(p), 0.5) for _, p in pieces(batch)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "double").asNondeterministic()(F.col(column))

@@ -91,11 +91,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ids = table(spark, folder, "documents").select("doc_id", bpe.encode(vocabulary()).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(vocabulary()).alias("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    both = table(spark, folder, "documents").select("doc_id", bpe.round_trip(vocabulary()).alias("_v"))
+    return both.select("doc_id", F.size("_v.ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("_v.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("_v.text"), 256).alias("decoded_sha256"))
 
 
 @query
