@@ -30,6 +30,9 @@ DEFAULT_ACTOR = "Anonyme"
 SYSTEM_ACTOR = "Système"
 BONUS_ACTION = "Badge débloqué: "
 UNDO_ACTION = "Annulation: "
+SENT_BACK = "Renvoyé"
+TO_POOL = " vers la réserve"
+DRAFTED_TO = "Drafté vers "
 
 DEFAULT_RULES: CategoryRules = (("sport", SPORT_KEYWORDS), ("academic", ACADEMIC_KEYWORDS))
 

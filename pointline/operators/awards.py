@@ -181,8 +181,7 @@ def game_changer(intervals: DataFrame, players: DataFrame) -> DataFrame:
 
 def veteran(intervals: DataFrame, players: DataFrame, top: int = 3, months: int = 2, days: int = 0) -> DataFrame:
     """Among the first three of the team for two months."""
-    hint = rollups.team_table(players)
-    ranked = snapshots.daily_best(intervals, top, ["team"], hint=hint).select("player_id", "day")
+    ranked = snapshots.daily_best(intervals, top, ["team"]).select("player_id", "day")
     runs = snapshots.sustained(ranked, "player_id", months, days)
     return won(snapshots.first_held(runs, "player_id"), "veteran", "held_on")
 
@@ -193,7 +192,7 @@ def team_player(days: DataFrame, players: DataFrame, as_of: dt.datetime, direct:
         F.date_add("period_start", 7) <= F.lit(as_of.date()))
     best = top_per_group(weeks, ["period_start"], [F.desc("points"), F.col("team")], 1)
     first = best.groupBy("team").agg(F.date_add(F.min("period_start"), 7).alias("day"))
-    members = players.select("player_id", "team").join(rollups.team_table(players)(first), "team")
+    members = players.select("player_id", "team").join(first, "team")
     return won(members, "team_player", "day")
 
 
@@ -202,7 +201,6 @@ def collector(player_badges: DataFrame, team_badges: DataFrame, players: DataFra
     """Enough badges of one's own and of the team."""
     mine = badge_counts(player_badges, "player_id").where(F.col("n") >= own).select("player_id")
     teams = badge_counts(team_badges, "team").where(F.col("n") >= team).select("team")
-    teams = rollups.team_table(players)(teams)
     both = players.select("player_id", "team").join(teams, "team", "left_semi").join(mine, "player_id", "left_semi")
     return won(both, "collectionneur", cal.ntz(as_of))
 

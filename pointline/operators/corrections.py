@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import text
+from .ordered import CHUNK_BITS, with_chunks
 
 
 # The classes a player may choose.
@@ -70,12 +71,30 @@ def apply_transfers(players: DataFrame, requests: DataFrame, teams: Sequence[str
         "is_drafted", F.col("team") != pool).drop("_target")
 
 
-def transfer_audit(requests: DataFrame, teams: Sequence[str], pool: str = "POOL") -> DataFrame:
-    """One zero-point system entry per valid request."""
+def transfer_origins(players: DataFrame, requests: DataFrame, teams: Sequence[str], pool: str = "POOL",
+                     bits: int = CHUNK_BITS) -> DataFrame:
+    """Valid requests with ``origin``: the target of the player's one before, else the team of the dimension.
+
+    Requests are looked back at within ranges of the id; the last target of each range is carried to the next.
+    """
+    rows = with_chunks(valid_transfers(requests, teams, pool), bits)
+    last = rows.groupBy("player_id", "_chunk").agg(F.max_by("target", "id").alias("_last"))
+    carried = last.select("player_id", "_chunk", F.lag("_last").over(Window.partitionBy("player_id").orderBy("_chunk")).alias("_carried"))
+    starts = carried.join(players.select("player_id", F.col("team").alias("_team")), "player_id", "left").select(
+        "player_id", "_chunk", F.coalesce("_carried", "_team").alias("_start"))
+    before = F.lag("target").over(Window.partitionBy("player_id", "_chunk").orderBy("id"))
+    return rows.withColumn("_before", before).join(starts, ["player_id", "_chunk"]).select(
+        *requests.columns, F.coalesce("_before", "_start").alias("origin"))
+
+
+def transfer_audit(players: DataFrame, requests: DataFrame, teams: Sequence[str], pool: str = "POOL") -> DataFrame:
+    """One zero-point system entry per valid request; sending back to the pool names the team of origin (none for a player unknown)."""
     into_pool = F.col("target") == pool
-    return valid_transfers(requests, teams, pool).select(
+    origin = F.coalesce(F.concat(F.lit(" de "), "origin"), F.lit(""))
+    sent_back = F.concat(F.lit(text.SENT_BACK), origin, F.lit(text.TO_POOL))
+    return transfer_origins(players, requests, teams, pool).select(
         "id", "ts", "player_id",
-        F.when(into_pool, "Renvoyé vers la réserve").otherwise(F.concat(F.lit("Drafté vers "), "target")).alias("action"),
+        F.when(into_pool, sent_back).otherwise(F.concat(F.lit(text.DRAFTED_TO), "target")).alias("action"),
         F.when(into_pool, "undraft").otherwise("draft").alias("category"), F.lit(0).cast("bigint").alias("points"),
         F.lit(text.SYSTEM_ACTOR).alias("actor"), F.lit("system").alias("kind"))
 

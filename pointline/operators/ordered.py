@@ -1,9 +1,9 @@
 """Ordered computations that no single key can overload.
 
-A window over ``partitionBy(player).orderBy(id)`` puts all rows of a player into one task. Here the rows of a *hot* player
-are cut into chunks of the id range first. Ids are unique, so a chunk never holds more than ``2**CHUNK_BITS`` rows; windows run
-inside chunks, and a summary with one row per chunk carries the totals from chunk to chunk. All other players keep
-one chunk, for which the summary has no rows, so the ordinary case costs one shuffle of the ledger as before.
+A window over ``partitionBy(player).orderBy(id)`` puts all rows of a player into one task. Here every player's rows are cut into
+chunks of the id range. Ids are unique, so a chunk never holds more than ``2**CHUNK_BITS`` rows; windows run inside
+chunks, and a summary with one row per player and chunk carries the totals from chunk to chunk. The plan is the same for every
+player and size: rows are shuffled once, by player and chunk, and the join with the summary reuses that.
 """
 
 from __future__ import annotations
@@ -14,29 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
-HOT_ROWS = 4_000_000
-MAX_HOT = 100_000
-WHOLE = -1  # chunk number of players that are not cut
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/MAX_HOT of all rows.
-
-    The second test bounds the list at MAX_HOT keys (a few megabytes) whatever the size of the data, so it may be broadcast.
-    Counting reads one column and combines before the shuffle.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    share = rows.agg(F.count(F.lit(1)) / MAX_HOT).scalar()
-    return counts.where((F.col("_n") > hot_rows) & (F.col("_n") > share)).select(key)
-
-
-def with_chunks(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT_ROWS,
-                bits: int = CHUNK_BITS) -> DataFrame:
-    """Adds ``_chunk``: the id range of a hot player's row, WHOLE for the others."""
-    hot = hot_keys(ledger, key, hot_rows).withColumn("_hot", F.lit(True))
-    return ledger.join(F.broadcast(hot), key, "left").withColumn(
-        "_chunk", F.when(F.col("_hot"), F.shiftright("id", bits)).otherwise(F.lit(WHOLE))
-    ).drop("_hot")
+def with_chunks(ledger: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+    """Adds ``_chunk``, the id range of the row."""
+    return ledger.withColumn("_chunk", F.shiftright("id", bits))
 
 
 def _before(key: str) -> Window:
@@ -47,11 +29,10 @@ def _so_far(key: str) -> Window:
     return Window.partitionBy(key, "_chunk").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_total(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT_ROWS,
-                  bits: int = CHUNK_BITS) -> DataFrame:
+def running_total(ledger: DataFrame, key: str = "player_id", bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``total`` (the key's total after each entry) and ``prev_total`` (before it)."""
-    rows = with_chunks(ledger, key, hot_rows, bits)
-    sums = rows.where(F.col("_chunk") != WHOLE).groupBy(key, "_chunk").agg(F.sum("points").alias("_s"))
+    rows = with_chunks(ledger, bits)
+    sums = rows.groupBy(key, "_chunk").agg(F.sum("points").alias("_s"))
     opening = sums.select(key, "_chunk", F.coalesce(F.sum("_s").over(_before(key)), F.lit(0)).alias("_open"))
     inside = rows.withColumn("_sum", F.sum("points").over(_so_far(key)))
     total = F.col("_sum") + F.coalesce("_open", F.lit(0))
@@ -59,8 +40,7 @@ def running_total(ledger: DataFrame, key: str = "player_id", hot_rows: int = HOT
         *ledger.columns, total.alias("total"), (total - F.col("points")).alias("prev_total"))
 
 
-def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None, hot_rows: int = HOT_ROWS,
-                  bits: int = CHUNK_BITS) -> DataFrame:
+def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds each player's state after every entry.
 
     ``total``, ``lowest`` (least total so far, at most 0), ``streak`` (positive entries since the last entry of zero or
@@ -75,10 +55,10 @@ def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None,
     reset = action & (F.col("points") <= 0)
     tests = {"pos": action & (F.col("points") > 0), **{name: action & test for name, test in counters.items()}}
     sums = {"total": F.col("points"), **{name: F.when(test, 1).otherwise(0) for name, test in tests.items()}}
-    rows = with_chunks(ledger, key, hot_rows, bits)
+    rows = with_chunks(ledger, bits)
     inside = rows.withColumns({f"_{n}": F.sum(e).over(_so_far(key)) for n, e in sums.items()})
 
-    per_chunk = inside.where(F.col("_chunk") != WHOLE).groupBy(key, "_chunk").agg(
+    per_chunk = inside.groupBy(key, "_chunk").agg(
         *[F.max_by(f"_{n}", "id").alias(f"s_{n}") for n in sums],
         F.min(F.when(action, F.col("_total"))).alias("low"), F.max(F.when(reset, F.col("_pos"))).alias("at_reset"),
     )
@@ -135,12 +115,12 @@ def ranked(rows: DataFrame, score: str, tiebreak: str, groups: Sequence[str] = (
 
     A group can be a third of all rows, so it is cut: at score quantiles, with a bucket of its own for a score that is itself a
     quantile, cut further by ``tiebreak``. Rank = rows in better buckets + row number in the bucket. The quantiles come
-    from one row in ``sample`` chosen by hash; they only steer the balance, the ranks are exact with any of them.
+    from one row in ``sample`` chosen by hash and are approximate, in bounded memory; they only steer the balance, the ranks are exact with any of them.
     """
     groups = list(groups)
     points = [i / buckets for i in range(1, buckets)]
     cuts = rows.where(F.pmod(F.xxhash64(tiebreak), F.lit(sample)) == 0).agg(
-        F.array_distinct(F.percentile(score, points)).alias("c")).scalar()
+        F.array_distinct(F.percentile_approx(score, points, 4096)).alias("c")).scalar()
     cut = rows.withColumn("_cuts", cuts)
     below = F.size(F.filter("_cuts", lambda c: c < F.col(score)))
     at_cut = F.exists("_cuts", lambda c: c == F.col(score))

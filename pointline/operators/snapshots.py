@@ -8,14 +8,13 @@ among the best on some day of a month; team conditions add up the changes per da
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from .ordered import top_per_group
-from .rollups import team_table
 
 
 def score_intervals(days: DataFrame, players: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFrame:
@@ -42,13 +41,12 @@ def each_day(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("day", F.explode(F.sequence("from_day", "to_day"))).drop("from_day", "to_day")
 
 
-def daily_best(intervals: DataFrame, k: int, groups: Sequence[str] = (), worst: bool = False,
-               hint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def daily_best(intervals: DataFrame, k: int, groups: Sequence[str] = (), worst: bool = False) -> DataFrame:
     """The ``k`` best (or worst) players of every day, per group, ranked by score, then player; exact.
 
     Within a month, the k-th best of all players' monthly minima bounds the daily top k from below: on any day at least ``k``
     players have that score or more. Players whose monthly maximum is under it are left out before days are expanded.
-    ``hint`` (see ``rollups.team_table``) says how to join that bar where it is per team.
+    That bar is broadcast where it has one row per calendar month; per team, Spark decides by the size it turns out to have.
     """
     groups = list(groups)
     sign = -1 if worst else 1
@@ -68,9 +66,7 @@ def daily_best(intervals: DataFrame, k: int, groups: Sequence[str] = (), worst:
     bar = top_per_group(lows, place, [F.desc("_low"), F.col("_id")], k).where(F.col("position") == k).select(
         *place, F.col("_low").alias("_bar"), F.col("_id").alias("_bar_id"))
     if not groups:
-        hint = F.broadcast  # one row per calendar month
-    if hint is not None:
-        bar = hint(bar)
+        bar = F.broadcast(bar)  # one row per calendar month
     reaches = (
         F.col("_bar").isNull() | (F.col("_high") > F.col("_bar"))
         | ((F.col("_high") == F.col("_bar")) & (F.col("_id") <= F.col("_bar_id"))))
@@ -123,11 +119,10 @@ def first_held(runs: DataFrame, entity: str) -> DataFrame:
 def rank_turnaround(intervals: DataFrame, players: DataFrame, top: int = 3, bottom: int = 2,
                     min_team: int = 3) -> DataFrame:
     """Players who were among the last ``bottom`` of their team and on a later day among its first ``top``."""
-    hint = team_table(players)
     big = players.groupBy("team").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_team).select("team")
-    low = daily_best(intervals, bottom, ["team"], worst=True, hint=hint).groupBy("player_id", "team").agg(
-        F.min("day").alias("bottom_day")).join(hint(big), "team", "left_semi")
-    high = daily_best(intervals, top, ["team"], hint=hint).select("player_id", F.col("day").alias("top_day"))
+    low = daily_best(intervals, bottom, ["team"], worst=True).groupBy("player_id", "team").agg(
+        F.min("day").alias("bottom_day")).join(big, "team", "left_semi")
+    high = daily_best(intervals, top, ["team"]).select("player_id", F.col("day").alias("top_day"))
     return low.join(high, "player_id").where(F.col("top_day") > F.col("bottom_day")).groupBy(
         "player_id", "team", "bottom_day").agg(F.min("top_day").alias("top_day"))
 

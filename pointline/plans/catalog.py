@@ -825,7 +825,7 @@ def apply_transfers(spark, folder):
 
 @query
 def transfer_audit(spark, folder):
-    return corrections.transfer_audit(tables.transfer_requests(spark, folder), S.TEAMS)
+    return corrections.transfer_audit(Inputs(spark, folder).players(), tables.transfer_requests(spark, folder), S.TEAMS)
 
 
 @query

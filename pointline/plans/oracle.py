@@ -558,10 +558,12 @@ ORACLE: dict[str, str] = {
         coalesce(target, team) <> 'POOL' AS is_drafted FROM t_players LEFT JOIN (
         SELECT player_id, max_by(target, id) AS target FROM t_requests WHERE target IN {_in((*S.TEAMS, 'POOL'))} GROUP BY 1)
         USING (player_id)"""),
-    "transfer_audit": _sql(f"""SELECT id, ts, player_id, CASE WHEN target = 'POOL' THEN 'Renvoyé vers la réserve'
+    "transfer_audit": _sql(f"""SELECT id, ts, player_id, CASE WHEN target = 'POOL'
+        THEN 'Renvoyé' || coalesce(' de ' || coalesce(before, team), '') || ' vers la réserve'
         ELSE 'Drafté vers ' || target END AS action, CASE WHEN target = 'POOL' THEN 'undraft' ELSE 'draft' END AS category,
-        CAST(0 AS BIGINT) AS points, '{text.SYSTEM_ACTOR}' AS actor, 'system' AS kind FROM t_requests
-        WHERE target IN {_in((*S.TEAMS, 'POOL'))}"""),
+        CAST(0 AS BIGINT) AS points, '{text.SYSTEM_ACTOR}' AS actor, 'system' AS kind FROM (
+        SELECT *, lag(target) OVER (PARTITION BY player_id ORDER BY id) AS before FROM t_requests
+        WHERE target IN {_in((*S.TEAMS, 'POOL'))}) LEFT JOIN t_players USING (player_id)"""),
     "team_undo_compensate": _sql(f"""SELECT (SELECT max(id) FROM t_accepted) + (n - 1) * count(*) OVER (PARTITION BY n)
         + row_number() OVER (PARTITION BY n ORDER BY team) AS id, {_AS_OF} AS ts, team,
         '{text.UNDO_ACTION}' || action AS action, -points AS points, actor, id AS reverses_id FROM (

@@ -38,17 +38,16 @@ def expected_states(entries):
     return out
 
 
-# hot_rows 10**9: nobody is cut; 100: only the hot player; 20: most players
-@pytest.mark.parametrize("hot_rows, bits", [(10**9, 20), (100, 7), (20, 4), (20, 0)])
-def test_running_state(make_ledger, entries, hot_rows, bits):
-    state = ordered.running_state(
-        make_ledger(entries), {"good": F.col("action") == "good"}, hot_rows=hot_rows, bits=bits)
+# bits 20: one chunk holds all ids; 0: each entry is a chunk of its own
+@pytest.mark.parametrize("bits", [20, 7, 4, 0])
+def test_running_state(make_ledger, entries, bits):
+    state = ordered.running_state(make_ledger(entries), {"good": F.col("action") == "good"}, bits=bits)
     assert rows_of(state, "id", "total", "lowest", "streak", "good") == expected_states(entries)
 
 
-@pytest.mark.parametrize("hot_rows, bits", [(10**9, 20), (100, 6)])
-def test_running_total_and_record(make_ledger, entries, hot_rows, bits):
-    totals = ordered.running_total(make_ledger(entries), hot_rows=hot_rows, bits=bits)
+@pytest.mark.parametrize("bits", [20, 6, 0])
+def test_running_total_and_record(make_ledger, entries, bits):
+    totals = ordered.running_total(make_ledger(entries), bits=bits)
     wanted = [(i, total) for i, total, *_ in expected_states(entries)]
     assert rows_of(totals, "id", "total") == wanted
     assert totals.where(F.col("prev_total") + F.col("points") != F.col("total")).count() == 0
@@ -69,8 +68,9 @@ def test_first_entry_is_a_record_even_below_zero(make_ledger):
     assert rows_of(records, "id", "is_current") == [(1, False), (3, True)]
 
 
-def test_hot_keys(make_ledger, entries):
-    assert rows_of(ordered.hot_keys(make_ledger(entries), "player_id", 500)) == [(0,)]
+def test_no_chunk_of_a_hot_player_is_over_its_bound(make_ledger, entries):
+    chunks = ordered.with_chunks(make_ledger(entries), bits=4).groupBy("player_id", "_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 2**4
 
 
 @pytest.mark.parametrize("buckets, sample, bits", [(256, 1024, 20), (8, 1, 3), (4, 2, 5)])

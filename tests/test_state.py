@@ -240,15 +240,18 @@ def test_hours_at_top(make_ledger, make_players):
     assert rows_of(hours) == [("T", 2), ("U", 2)]
 
 
-def test_many_teams_are_not_broadcast(monkeypatch, make_ledger, make_players):
+def test_team_joins_carry_no_hint(spark, make_ledger, make_players):
     rows, players = season(4)
     ledger, people = make_ledger(rows), make_players(players)
     intervals = snapshots.score_intervals(rollups.player_days(ledger), people, FIRST, LAST)
-    few = rows_of(snapshots.rank_turnaround(intervals, people))
-    assert "ResolvedHint" in rollups.team_table(people)(people)._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(rollups, "FEW_TEAMS", 2)
-    assert rollups.team_table(people)(people) is people
-    assert few and rows_of(snapshots.rank_turnaround(intervals, people)) == few
+    found = snapshots.rank_turnaround(intervals, people)
+    assert "ResolvedHint" not in found._jdf.queryExecution().analyzed().toString()
+    small = rows_of(found)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert small and rows_of(snapshots.rank_turnaround(intervals, people)) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_hours_at_top_open_with_what_came_before(make_ledger, make_players):

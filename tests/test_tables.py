@@ -173,8 +173,13 @@ def test_last_valid_transfer_wins(spark, make_players):
                                      "id bigint, player_id bigint, target string").withColumn("ts", F.lit("t"))
     assert rows_of(corrections.apply_transfers(players, requests, TEAMS), "player_id", "team", "is_drafted") == [
         (1, "POOL", False), (2, TEAMS[3], True), (3, TEAMS[0], True)]
-    audit = corrections.transfer_audit(requests, TEAMS)
-    assert rows_of(audit, "id", "category") == [(1, "draft"), (2, "undraft"), (4, "draft"), (5, "draft")]
+    audit = corrections.transfer_audit(players, requests, TEAMS)
+    assert rows_of(audit, "id", "category", "action") == [
+        (1, "draft", f"Drafté vers {TEAMS[1]}"), (2, "undraft", f"Renvoyé de {TEAMS[1]} vers la réserve"),
+        (4, "draft", f"Drafté vers {TEAMS[2]}"), (5, "draft", f"Drafté vers {TEAMS[3]}")]
+    for bits in (0, 20):
+        origins = corrections.transfer_origins(players, requests, TEAMS, bits=bits)
+        assert rows_of(origins, "id", "origin") == [(1, TEAMS[0]), (2, TEAMS[1]), (4, TEAMS[0]), (5, TEAMS[2])]
 
 
 def changes(spark, *moments):
