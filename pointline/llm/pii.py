@@ -7,13 +7,19 @@ the map is a permutation of the valid values: equal values get equal pseudonyms
 ones, and the key's holder can turn them back. Case, separators and padding stay; check digits are made anew, so a pseudonym of
 a card or an IBAN is valid again. Numbers that fail validation are left alone.
 
+At a place every length that the format allows is tried, and cards and IBANs may start and end at any group, so that an expiry, a security code, a
+BIC or a number beside a value doesn't hide it. What then validates by chance with its neighbours (a tenth of such digit groups for cards) is taken too.
+
 Defined results: a null text stays null with no spans; an empty one stays empty. Spans are code points of the input text, end
-exclusive, and don't overlap: of overlapping finds the one that starts first stays, then the one named first above. Rows are
-treated each on its own; other columns are passed through.
+exclusive, and don't overlap. Of overlapping finds IBANs come first, then cards in a usual grouping, other cards (each the longest first, but
+none within an e-mail address), then of the others the one that starts first, the one named first above, the longest; an international phone
+number ends before a value that it would cut. Rows are treated each on its own; other columns are passed through. A pseudonym may by chance validate with unusual neighbours where the value did not;
+``spans`` as given with the text tells where to turn back, without it they are searched anew.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -34,15 +40,23 @@ KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 RUN = re.compile(r"[0-9][0-9 ().\-/]{4,}[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+IBAN_CHARS = 43
+PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}")
+PHONE_CHARS = 34
+GROUPS = re.compile("[0-9]+")
+#: Sizes of the groups in which cards are written; one group of any allowed length is usual too.
+USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 NUMBERS = {
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])"),
-    "card": re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-                        r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?!\w)"),
-    "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4})(?![\w-])(?![./][0-9])"),
+    "phone": re.compile(r"(?<![\w+])(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?!\w)"),
+    "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?:(?<=-[0-9][0-9])(?=T[0-9]{2})|(?![\w-]))(?![./][0-9])"),
 }
+#: The values whose pseudonym can have another length.
+SHAPES = {"ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
+          "date": re.compile(r"[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4}")}
 
 
 class Feistel:
@@ -232,8 +246,40 @@ VALID: dict[str, Callable[[str], bool]] = {"ip": is_ip, "card": is_card, "ssn":
 MOVE = {"email": email, "ip": ip, "card": card, "iban": iban, "ssn": ssn, "phone": phone, "date": date}
 
 
+def part_of_word(text: str, at: int) -> bool:
+    return at < len(text) and (text[at].isalnum() or text[at] == "_")
+
+
+def cards_in(text: str, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(rank, start, end) of the valid cards of a run of digits: from each group as many groups as a card can have; the usual groupings have rank 1."""
+    groups = [m.span() for m in GROUPS.finditer(text, begin, end)]
+    for i, (first, _) in enumerate(groups):
+        if first and (text[first - 1] == "." or part_of_word(text, first - 1)):
+            continue
+        digits, signs = 0, ""
+        for k in range(i, len(groups)):
+            if k > i:
+                sign = text[groups[k - 1][1]:groups[k][0]]
+                if sign not in (" ", "-"):
+                    break
+                signs += sign
+            digits += groups[k][1] - groups[k][0]
+            if digits > 19:
+                break
+            if digits >= 13 and not part_of_word(text, groups[k][1]) and is_card(text[first:groups[k][1]]):
+                usual = k == i or len(set(signs)) == 1 and tuple(b - a for a, b in groups[i:k + 1]) in USUAL
+                yield 1 if usual else 2, first, groups[k][1]
+
+
+def longer_to_shorter(pattern: re.Pattern, text: str, begin: int, most: int) -> Iterator[int]:
+    """Ends of all matches of the pattern at a place that don't end within a word, the longest first."""
+    for end in range(min(len(text), begin + most), begin, -1):
+        if text[end - 1].isalnum() and not part_of_word(text, end) and pattern.fullmatch(text, begin, end):
+            yield end
+
+
 def spans_of(text: str) -> list[tuple[int, int, str]]:
-    found = []
+    mails, checked, found = [], [], []
     at = text.find("@")
     while at >= 0:
         begin = at
@@ -242,29 +288,63 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
         while begin < at and text[begin] in ".-%+":
             begin += 1
         if begin < at and (m := DOMAIN.match(text, at)):
-            found.append((begin, 0, m.end(), "email"))
+            mails.append((begin, m.end()))
+            found.append((begin, 0, -m.end(), "email"))
         at = text.find("@", at + 1)
     for run in RUN.finditer(text):
         low = max(0, run.start() - 6)
-        part = text[low:run.end() + 2]
+        part = text[low:run.end() + 4]
         for kind, pattern in NUMBERS.items():
             for m in pattern.finditer(part):
                 if m.start() + low >= run.end() or low and not m.start():
                     continue
                 if VALID[kind](m[0]):
-                    found.append((low + m.start(), KINDS.index(kind), low + m.end(), kind))
-    found += [(m.start(), KINDS.index("iban"), m.end(), "iban") for m in IBAN.finditer(text) if is_iban(m[0])]
-    out, done = [], 0
+                    found.append((low + m.start(), KINDS.index(kind), -low - m.end(), kind))
+        checked += [(rank, begin - end, begin, end, "card") for rank, begin, end in cards_in(text, run.start(), run.end())]
+    others = sorted((begin, -end) for begin, _, end, _ in found)
+    at = text.find("+")
+    while at >= 0:
+        if not (at and (text[at - 1] == "+" or part_of_word(text, at - 1))):
+            for end in longer_to_shorter(PHONE, text, at, PHONE_CHARS):
+                within = others[bisect.bisect(others, (at, 0)):bisect.bisect(others, (end - 1, len(text) + 1))]
+                if is_phone(text[at:end]) and all(e <= end for _, e in within):
+                    found.append((at, KINDS.index("phone"), -end, "phone"))
+        at = text.find("+", at + 1)
+    for m in IBAN_START.finditer(text):
+        checked += [(0, m.start() - end, m.start(), end, "iban") for end in longer_to_shorter(IBAN, text, m.start(), IBAN_CHARS) if is_iban(text[m.start():end])]
+    out: list[tuple[int, int, str]] = []
+
+    def take(begin: int, end: int, kind: str) -> None:
+        at = bisect.bisect(out, (begin, end, kind))
+        if (not at or out[at - 1][1] <= begin) and (at == len(out) or out[at][0] >= end):
+            out.insert(at, (begin, end, kind))
+    for _, _, begin, end, kind in sorted(set(checked)):
+        at = bisect.bisect(mails, (begin, len(text) + 1)) - 1
+        if at < 0 or mails[at][1] < end:
+            take(begin, end, kind)
     for begin, _, end, kind in sorted(set(found)):
-        if begin >= done:
-            out.append((begin, end, kind))
-            done = end
+        take(begin, -end, kind)
     return out
 
 
-def moved(text: str, key: bytes, step: str = "forth") -> tuple[str, list[dict]]:
-    """The text with every value replaced, and the spans of the values in the text given."""
-    spans = spans_of(text)
+def moved_spans(text: str, spans: list[dict]) -> list[tuple[int, int, str]]:
+    """Where the values of the spans of a text stand in its pseudonymised form; only dates and IPv4 addresses change their length."""
+    out, shift = [], 0
+    for s in spans:
+        begin, end = s["start"] + shift, s["end"] + shift
+        if s["kind"] in SHAPES:
+            end = SHAPES[s["kind"]].match(text, begin).end()
+            shift += end - begin - (s["end"] - s["start"])
+        out.append((begin, end, s["kind"]))
+    return out
+
+
+def moved(text: str, key: bytes, step: str = "forth", given: list[dict] | None = None) -> tuple[str, list[dict]]:
+    """The text with every value replaced, and the spans of the values in the text given.
+
+    ``given`` are the spans that came with a pseudonymised text.
+    """
+    spans = spans_of(text) if given is None else moved_spans(text, given)
     if not spans:
         return text, []
     parts, done = [], 0
@@ -274,19 +354,29 @@ def moved(text: str, key: bytes, step: str = "forth") -> tuple[str, list[dict]]:
     return "".join([*parts, text[done:]]), [{"kind": k, "start": b, "end": e} for b, e, k in spans]
 
 
-def pseudonymised(key: str, column="text", step: str = "forth") -> Column:
-    """``text`` with pseudonyms, and ``spans``. ``step="back"`` turns pseudonyms back."""
+def pseudonymised(key: str, column="text", step: str = "forth", spans: str | None = None) -> Column:
+    """``text`` with pseudonyms, and ``spans``. ``step="back"`` turns pseudonyms back; column ``spans`` has those that came with the text."""
     secret = hashlib.sha256(key.encode()).digest()
 
-    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def result(pairs) -> pa.StructArray:
         kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+        out, found = [], []
+        for one, given in pairs:
+            one = one.as_py()
+            new, spans = (None, []) if one is None else moved(one, secret, step, given)
+            out.append(new)
+            found.append(spans)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(found, kind[1].type)], ["text", "spans"])
+
+    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            out, spans = [], []
-            for one in batch:
-                one = one.as_py()
-                new, found = (None, []) if one is None else moved(one, secret, step)
-                out.append(new)
-                spans.append(found)
-            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(spans, kind[1].type)], ["text", "spans"])
+            yield result((one, None) for one in batch)
+
+    def batches_back(both: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, given in both:
+            yield result((one, g.as_py() or []) for one, g in zip(batch, given))
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    batches_back.__annotations__ = {"both": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    if spans is not None:
+        return F.arrow_udf(batches_back, RESULT).asNondeterministic()(F.col(column), F.col(spans))
     return F.arrow_udf(batches, RESULT).asNondeterministic()(F.col(column))

@@ -8,6 +8,7 @@ import zlib
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointline.llm import bpe, decontaminate, links, near, pii, quality_rules, secrets, sharding
@@ -221,6 +222,27 @@ def test_pii(spark, folder):
         assert sorted(map(net.forth, range(size))) == list(range(size)) and all(net.back(net.forth(x)) == x for x in range(size))
 
 
+@pytest.mark.parametrize("text, values", [
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 123", ["4111111111111111"]), ("no 7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("no 7 4111-1111-1111-1111 12 27 123 9", ["4111-1111-1111-1111"]), ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ("2024-02-29 4111 1111 1111 1111", ["2024-02-29", "4111 1111 1111 1111"]), ("BE68 5390 0754 7034 BIC", ["BE68 5390 0754 7034"]),
+    ("IBAN BE68539007547034 BIC GEBABEBB", ["BE68539007547034"]), ("AB13 BE68 5390 0754 7034 7", ["BE68 5390 0754 7034"]),
+    ("+49 30 1234 5678 4111 1111 1111 1111", ["+49 30 1234 5678", "4111 1111 1111 1111"]), ("+1 017 555 7713 4111 1111 1111 1111", ["+1 017 555 7713", "4111 1111 1111 1111"]),
+    ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]), ("at 2024-01-05T10:00:00Z", ["2024-01-05"]), ("on 2024/01/05, 7", ["2024/01/05"]), ("/2024/01/05/ 2024-01-05Tea 2024/13/05", []),
+    ("4111111111111111@site.org", ["4111111111111111@site.org"])])
+def test_pii_beside_other_numbers(text, values):
+    said, key = f"é {text} z", b"k" * 32
+    assert [said[b:e] for b, e, _ in pii.spans_of(said)] == values
+    new, spans = pii.moved(said, key)
+    assert not any(v in new for v in values) and pii.moved(new, key, "back", spans)[0] == said
+
+
+def test_pii_turns_back_at_the_spans_given(spark):
+    rows = [(f"{n} 4{n % 9}11 1111 1111 {n:04} 2{n % 7}/10/2024 {n % 9}.0.0.1 {n % 89}", ) for n in range(1000, 1300)] + [(None,), ("",)]
+    there = spark.createDataFrame(rows, "text string").select(F.col("text").alias("was"), pii.pseudonymised("k").alias("v")).select("was", "v.*")
+    assert all(r.was == r.v.text for r in there.select("was", pii.pseudonymised("k", step="back", spans="spans").alias("v")).collect())
+
+
 def test_bpe(spark, folder):
     from tokenizers import Tokenizer
 
