@@ -2,9 +2,11 @@
 
 Nodes are hosts, edges the links between different hosts in the pages' ``href`` attributes (http, https or protocol-relative), counted once
 per pair of hosts and weighted evenly over a host's targets. Distrust starts at the hosts that a rule blocks as a whole (path ``/``), trust
-at the others of which a rule allows a page. Trust is personalised PageRank from its seeds; distrust is the same on reversed
-edges, so that it reaches those that link to blocked hosts. A host is blocked if its distrust is over ``margin`` times its trust plus ``floor``. What a host without links
-passes on is lost. Each round reads and writes one table of hosts in the shared folder.
+at the others of which a rule allows a page; each seed has 1, however many there are. Trust is personalised PageRank from its seeds: a host passes
+it on to its targets. Distrust goes the other way: a host takes the mean of its targets' (damped), however many others link to them. So a
+verdict depends on the host's surroundings only, not on how many hosts there are. A host is blocked if its distrust is over ``margin`` times its
+trust plus ``floor``; a host without trust that links to blocked seeds is, if more than ``floor`` / 0.1275 of its links go there. What a host without links
+passes on is lost. Rounds end when what all later ones could add is under ``rest``; every ``cut`` rounds write one table of hosts to the shared folder.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, no rule, and the method's verdict for the empty
 host, which no link reaches: allow. Repeated pages and other columns are passed over or judged alike. Without seeds there is no
@@ -53,25 +55,26 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.where("source <> '' and target <> '' and source <> target").distinct()
 
 
-def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int, damping: float, cut: int) -> DataFrame:
-    """(host, score): personalised PageRank from the hosts where column ``seed`` is true, along (source, target) pairs.
+def spread(hosts: DataFrame, links: DataFrame, seed: str, together, rest: float, damping: float, cut: int) -> DataFrame:
+    """(host, score): ``1 - damping`` at the hosts where column ``seed`` is true, and what flows along (source, target) pairs, damped.
 
-    ``links`` carries each pair's share of the source's score as ``share``. Lineage is cut every ``cut`` rounds.
+    ``links`` carries each pair's share of the source's score as ``share``. Scores only grow from round to round, and by ``damping`` less each time in the
+    norm ``together`` (F.sum where a source's shares add up to 1, F.max where a target's do), which bounds what is still to come. Lineage is cut
+    every ``cut`` rounds.
     """
-    n_seeds = hosts.where(seed).count()
-    base = F.when(F.col(seed), F.lit(1.0 / n_seeds)).otherwise(0.0) if n_seeds else F.lit(0.0)
-    start = hosts.select("host", base.alias("base"))
-    score = start.withColumn("score", F.col("base"))
-    for k in range(rounds if n_seeds else 0):
-        flow = links.join(score, links.source == score.host).groupBy("target").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        score = start.join(flow, start.host == flow.target, "left").select("host", "base", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-        score = score.select("host", "base", (F.lit(damping) * F.col("flow") + (1 - damping) * F.col("base")).alias("score"))
-        if k % cut == cut - 1:
-            score = stored(score, "rank")
+    score = hosts.select("host", F.when(F.col(seed), F.lit(1 - damping)).otherwise(0.0).alias("score")).withColumn("growth", F.col("score"))
+    grown = score.agg(together("growth")).first()[0] or 0.0
+    while grown * damping / (1 - damping) > rest:
+        for _ in range(cut):
+            flow = links.join(score, links.source == score.host).groupBy("target").agg(F.sum(F.col("growth") * F.col("share")).alias("flow"))
+            score = score.join(flow, score.host == flow.target, "left").withColumn("growth", F.lit(damping) * F.coalesce("flow", F.lit(0.0)))
+            score = score.select("host", (F.col("score") + F.col("growth")).alias("score"), "growth")
+        score = stored(score, "rank")
+        grown = score.agg(together("growth")).first()[0] or 0.0
     return score.select("host", "score")
 
 
-def judged(pages: DataFrame, rules=RULES, rounds: int = 12, damping: float = 0.85, margin: float = 1.0, floor: float = 1e-4, cut: int = 3) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, rest: float = 1e-5, damping: float = 0.85, margin: float = 1.0, floor: float = 1e-4, cut: int = 3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust for each row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -85,11 +88,10 @@ def judged(pages: DataFrame, rules=RULES, rounds: int = 12, damping: float = 0.8
     hosts = own.join(linked, "host", "full").select("host", (F.coalesce("trusted", F.lit(False)) & ~whole).alias("trusted"), whole.alias("blocked"))
     hosts = stored(hosts, "hosts")
 
-    def shared(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("source").agg((1.0 / F.count("*")).alias("share")), "source")
-    trust = spread(hosts, shared(links), "trusted", rounds, damping, cut).withColumnRenamed("score", "trust")
-    turned = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    distrust = spread(hosts, shared(turned), "blocked", rounds, damping, cut).withColumnRenamed("score", "distrust")
+    shares = stored(links.join(links.groupBy("source").agg((1.0 / F.count("*")).alias("share")), "source"), "shares")
+    trust = spread(hosts, shares, "trusted", F.sum, rest, damping, cut).withColumnRenamed("score", "trust")
+    turned = shares.select(F.col("target").alias("source"), F.col("source").alias("target"), "share")
+    distrust = spread(hosts, turned, "blocked", F.max, rest, damping, cut).withColumnRenamed("score", "distrust")
     scores = stored(trust.join(distrust, "host"), "scores")
     # a host with a third of all pages is no hot key: adaptive execution splits its side of this join, and the other has one row per host
     rows = rows.join(scores, "host", "left")

@@ -160,6 +160,22 @@ def test_links(spark, folder):
     assert len(got[11]) == 2
 
 
+def test_links_do_not_depend_on_size(spark):
+    """The same graph alone and among thousands of further seeds, a blocked host with thousands of linkers, and a way of 20 hops."""
+    link = "<a href='http://{}/'>".format
+    small = [(0, "http://bad.net", ""), (1, "http://linker.org/", link("bad.net")), (2, "http://mixed.org/", link("bad.net") + link("good.org")),
+             (3, "http://good.org/", ""), (4, "http://trusted.org/fr/1", link("good.org") + link("liked.org")), (5, "http://liked.org/", link("bad.net") + link("good.org") * 2)]
+    small += [(10 + k, f"http://hop{k}.org/", link(f"hop{k - 1}.org" if k else "bad.net")) for k in range(20)]
+    more = [(1000 + k, f"http://other{k}.net", "") for k in range(4000)] + [(10000 + k, f"http://fine{k}.org/fr/", "") for k in range(4000)]
+    more += [(20000 + k, f"http://fan{k}.org/", link("bad.net")) for k in range(2000)]
+    schema = "page_id long, url string, html string"
+    alone, among = ({r.page_id: (r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in links.judged(spark.createDataFrame(rows, schema)).collect()} for rows in (small, small + more))
+    assert {k: among[k] for k in alone} == alone
+    assert [alone[k][0] for k in range(6)] == ["block", "block", "block", "allow", "allow", "allow"]
+    assert all(alone[10 + k][0] == "block" for k in range(20))
+    assert all(among[k][0] == ("allow" if 10000 <= k < 20000 else "block") for k in among if k >= 1000)
+
+
 def test_quality_net(spark, folder):
     got = rows_by_id(QUERIES["op5_quality_net"](spark, folder))
     for d, rs in got.items():
