@@ -1,8 +1,11 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
 Texts are compared as bytes after folding case (ASCII and the Latin letters of U+00C0-U+00DE) and making each run of white space one
-space. Items are cut into overlapping segments of ``length`` bytes; a passage of 1.5 times that length holds a whole segment. A
-segment with at most k edits in a document keeps at least ``length - q + 1 - k * q`` of its q-grams, and all on neighbouring diagonals (document
+space. Items are cut into overlapping segments of ``length`` bytes, and into short ones of two thirds of that from each word's start (and every ``STRIDE`` bytes
+within long words) with a budget in proportion. A whole segment is a passage by itself; short ones are first lengthened as far as the bytes are equal and
+joined where they follow each other in item and document, at most ``length`` bytes apart on diagonals at most half of that apart. Together they must
+hold ``length`` bytes of the item. So each verbatim run of ``length`` bytes is found wherever it starts, and a passage with single words replaced if runs of
+short segments are left between these. A segment with at most k edits in a document keeps at least ``length - q + 1 - k * q`` of its q-grams, and all on neighbouring diagonals (document
 place less segment place), k apart at most. So hits of an index of the segments' q-grams are counted in diagonal bands of
 2(k+1) that overlap by half; bands that reach the bound are verified by alignment within the band, and a segment counts if its edit distance
 to some part of the region is at most k.
@@ -30,6 +33,7 @@ ship(__name__)
 
 LEAKS = "array<struct<item_id:bigint,n_found:int,n_segments:int,start:int,end:int>>"
 TABLE_BITS = 22
+STRIDE = 10
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,7 +69,10 @@ class Index:
     step: int
     length: int
     items: np.ndarray
+    item_bytes: list[np.ndarray]
     segment_item: np.ndarray
+    segment_start: np.ndarray
+    whole: np.ndarray
     bytes: np.ndarray
     sizes: np.ndarray
     budgets: np.ndarray
@@ -76,19 +83,37 @@ class Index:
     offsets: np.ndarray
 
 
+def short_starts(data: np.ndarray, size: int) -> list[int]:
+    """Starts of words, and others so that they are at most ``STRIDE`` apart, up to the last segment of ``size`` bytes."""
+    last = len(data) - size
+    words = np.flatnonzero((data[1:] != 32) & (data[:-1] == 32)) + 1
+    out = [0]
+    for s in [*words[words < last].tolist(), last]:
+        out += range(out[-1] + STRIDE, s, STRIDE)
+        out.append(s)
+    return out
+
+
 def index_of(rows: list[tuple[int, str]], length: int, edits: int, q: int) -> Index | None:
-    segments, owner = [], []
+    segments, owner, places, whole, folds = [], [], [], [], []
+    short = length * 2 // 3
     for at, (_, text) in enumerate(rows):
         raw = np.frombuffer((text or "").strip().encode(), np.uint8)
         data = folded(raw, np.array([0, len(raw)]))[0]
+        folds.append(data)
         if len(data) < q:
             continue
         starts = list(range(0, max(1, len(data) - length + 1), length // 2))
         if len(data) > length and starts[-1] != len(data) - length:
             starts.append(len(data) - length)
-        for s in starts:
-            segments.append(data[s:s + length])
+        cuts = [(s, length) for s in starts]
+        if len(data) > length and short >= q:
+            cuts += [(s, short) for s in short_starts(data, short)]
+        for s, size in cuts:
+            segments.append(data[s:s + size])
             owner.append(at)
+            places.append(s)
+            whole.append(size == length)
     if not segments:
         return None
     sizes = np.array([len(s) for s in segments])
@@ -99,12 +124,12 @@ def index_of(rows: list[tuple[int, str]], length: int, edits: int, q: int) -> In
         padded[i, :len(s)] = s
         c = gram_codes(s, q)
         codes.append(c)
-        where.append(np.full(len(c), i))
-        offsets.append(np.arange(len(c)))
+        where.append(np.full(len(c), i, np.int32))
+        offsets.append(np.arange(len(c), dtype=np.int32))
     codes, where, offsets = map(np.concatenate, (codes, where, offsets))
     order = np.argsort(codes, kind="stable")
     unique, first = np.unique(codes[order], return_index=True)
-    return Index(q, edits + 1, length, np.array([i for i, _ in rows], np.int64), np.array(owner), padded, sizes, budgets, sizes - q + 1 - budgets * q,
+    return Index(q, edits + 1, length, np.array([i for i, _ in rows], np.int64), folds, np.array(owner), np.array(places), np.array(whole), padded, sizes, budgets, sizes - q + 1 - budgets * q,
                  unique, np.append(first, len(order)), where[order], offsets[order])
 
 
@@ -177,8 +202,46 @@ def found_in(index: Index, data: np.ndarray, edges: np.ndarray, table: np.ndarra
     return text, segment, np.maximum(begin, edges[text]), np.minimum(end, edges[text + 1])
 
 
+def equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading bytes of both are equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def passage(index: Index, data: np.ndarray, item: np.ndarray, segments: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[int, int, int] | None:
+    """How many of an item's verified segments in a text (``data``) are part of a passage, and the first and last place of these; None without any."""
+    chains, open_ones, reach = [], [], {}
+    for k in np.lexsort((segments, begins)).tolist():
+        segment, begin, end = int(segments[k]), int(begins[k]), int(ends[k])
+        low = int(index.segment_start[segment])
+        high = low + int(index.sizes[segment])
+        if end <= reach.get((begin - low, end - high), (0, None))[0]:  # within what an earlier one was lengthened to
+            chain = reach[begin - low, end - high][1]
+        else:
+            before = equal_run(item[:low][::-1], data[max(0, begin - low):begin][::-1])
+            after = equal_run(item[high:], data[end:end + len(item) - high])
+            low, high, begin, end = low - before, high + after, begin - before, end + after
+            open_ones = [c for c in open_ones if begin - c["end"] <= index.length]
+            near = [c for c in open_ones if low - c["high"] <= index.length and abs(begin - low - c["diagonal"]) <= index.length // 2]
+            if near:
+                chain = min(near, key=lambda c: abs(begin - low - c["diagonal"]))
+            else:
+                chain = {"begin": begin, "end": end, "high": low, "covered": 0, "whole": False, "segments": set()}
+                chains.append(chain)
+                open_ones.append(chain)
+            chain["covered"] += max(0, high - max(low, chain["high"]))
+            chain["high"], chain["end"], chain["diagonal"] = max(high, chain["high"]), max(end, chain["end"]), end - high
+            chain["begin"] = min(begin, chain["begin"])
+            reach[begin - low, end - high] = end, chain
+        chain["whole"] |= bool(index.whole[segment])
+        chain["segments"].add(segment)
+    good = [c for c in chains if c["whole"] or c["covered"] >= index.length]
+    return (len(set().union(*(c["segments"] for c in good))), min(c["begin"] for c in good), max(c["end"] for c in good)) if good else None
+
+
 def leaks_of(index: Index, texts: pa.Array, table: np.ndarray) -> list[list[dict]]:
-    """Per text a row for each item with a verified segment. ``texts`` is a slice that ``pieces`` gave."""
+    """Per text a row for each item with a passage. ``texts`` is a slice that ``pieces`` gave."""
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     raw = np.frombuffer(raw, np.uint8)[edges[0]:edges[-1]] if raw is not None else np.zeros(0, np.uint8)
@@ -192,16 +255,20 @@ def leaks_of(index: Index, texts: pa.Array, table: np.ndarray) -> list[list[dict
     place = np.append(place, len(raw))
     total = np.bincount(index.segment_item, minlength=len(index.items))
     pairs, back = np.unique(text * len(index.items) + index.segment_item[segment], return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    stops = np.searchsorted(back[order], np.arange(len(pairs) + 1))
     for p, pair in enumerate(pairs):
-        mine, t, item = back == p, int(pair // len(index.items)), int(pair % len(index.items))
-        low, high = place[begin[mine].min()], place[end[mine].max() - 1] + 1
-        out[t].append({"item_id": int(index.items[item]), "n_found": len(set(segment[mine].tolist())), "n_segments": int(total[item]),
-                       "start": int(point[low] - point[edges[t]]), "end": int(point[high] - point[edges[t]])})
+        mine, t, item = order[stops[p]:stops[p + 1]], int(pair // len(index.items)), int(pair % len(index.items))
+        held = passage(index, data[cuts[t]:cuts[t + 1]], index.item_bytes[item], segment[mine], begin[mine] - cuts[t], end[mine] - cuts[t])
+        if held:
+            low, high = place[cuts[t] + held[1]], place[cuts[t] + held[2] - 1] + 1
+            out[t].append({"item_id": int(index.items[item]), "n_found": held[0], "n_segments": int(total[item]),
+                           "start": int(point[low] - point[edges[t]]), "end": int(point[high] - point[edges[t]])})
     return out
 
 
 def leaks(index: Index, column="text") -> Column:
-    """The items with at least one segment in a text: how many of its segments, and the first and last place of these."""
+    """The items with at least one passage in a text: how many of its segments, and the first and last place of these."""
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_found", pa.int32()), ("n_segments", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         table = np.zeros(1 << TABLE_BITS, bool)

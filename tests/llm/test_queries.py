@@ -238,6 +238,38 @@ def test_pii(spark, folder):
         assert sorted(map(net.forth, range(size))) == list(range(size)) and all(net.back(net.forth(x)) == x for x in range(size))
 
 
+def leaks_in(item: str, texts: list[str]) -> list[list[dict]]:
+    import numpy as np
+
+    index = decontaminate.index_of([(5, item)], 60, 4, 10)
+    table = np.zeros(1 << decontaminate.TABLE_BITS, bool)
+    table[(index.codes >> np.uint64(64 - decontaminate.TABLE_BITS)).astype(np.int64)] = True
+    return decontaminate.leaks_of(index, pa.array(texts, pa.large_string()), table)
+
+
+@pytest.mark.parametrize("size", [60, 67, 76, 89])
+def test_verbatim_part_at_every_offset(size):
+    for item in (prose(77, 40), ITEM, "日本語" * 3 + "".join(chr(0x4E00 + k * 37) for k in range(90))):
+        raw = item.encode()
+        parts = [raw[k:k + size].decode("ascii" if item.isascii() else "utf8", "ignore") for k in range(len(raw) - size + 1)]
+        found = leaks_in(item, [f"{prose(4, 30)} x{p}x {prose(5, 30)}" for p in parts if len(p.encode()) >= 60])
+        assert found and all(len(f) == 1 for f in found)
+
+
+@pytest.mark.parametrize("every", [9, 10, 12])
+def test_replaced_words(every):
+    words = prose(77, 60).split()
+    texts = [" ".join("another" if k % every == phase else w for k, w in enumerate(words)) for phase in range(every)]
+    assert all(len(f) == 1 for f in leaks_in(" ".join(words), [f"{prose(4, 30)} {t} {prose(5, 30)}" for t in texts]))
+    words = (ITEM + " Does the answer change when one of the sides is made twice as long as all of the others put together?").split()
+    texts = [" ".join("another" if k % every == phase else w for k, w in enumerate(words)) for phase in range(every)]
+    assert all(len(f) == 1 for f in leaks_in(" ".join(words), texts))
+
+
+def test_one_short_phrase_is_no_passage():
+    assert leaks_in(ITEM, [f"{prose(4, 30)} {ITEM[20:65]} {prose(5, 30)} {ITEM[70:112]} {prose(6, 9)}"]) == [[]]
+
+
 @pytest.mark.parametrize("text, values", [
     ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 123", ["4111111111111111"]), ("no 7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
     ("no 7 4111-1111-1111-1111 12 27 123 9", ["4111-1111-1111-1111"]), ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
