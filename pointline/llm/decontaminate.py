@@ -10,8 +10,8 @@ place less segment place), k apart at most. So hits of an index of the segments'
 2(k+1) that overlap by half; bands that reach the bound are verified by alignment within the band, and a segment counts if its edit distance
 to some part of the region is at most k.
 
-The benchmark is indexed in blocks of about ``block`` bytes, one at a time; each is a stated query set that meets all documents in one
-scan without a shuffle. A document is in one task only, whole.
+The benchmark is indexed in blocks of about half of ``block`` bytes. Each meets all documents in one scan without a shuffle, and its findings are written
+before the next is collected, so the driver holds one block at a time; a single block stays in the caller's plan. A document is in one task only, whole.
 
 Defined results: null and empty texts hold and are nothing; items of under ``q`` bytes after folding are not searched for, items shorter
 than a segment are one segment with a proportionally smaller k. Equal items are found each. Spans are code points of the text given.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import pieces, ship, stored
 
 ship(__name__)
 
@@ -279,11 +279,15 @@ def leaks(index: Index, column="text") -> Column:
     return F.arrow_udf(batches, LEAKS).asNondeterministic()(F.col(column))
 
 
-def indexes(benchmark: DataFrame, block: int, length: int, edits: int, q: int) -> Iterator[Index]:
-    """One index per block of items; the driver holds one block at a time."""
+def blocks_of(benchmark: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """The items that can be searched for, and in how many blocks."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size * 2 // block
+    return items, 1 + size * 2 // block
+
+
+def indexes(items: DataFrame, blocks: int, length: int, edits: int, q: int) -> Iterator[Index]:
+    """One index per block of items, collected when it is asked for."""
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         if found := index_of(sorted((r.item_id, r.text) for r in mine), length, edits, q):
@@ -293,13 +297,23 @@ def indexes(benchmark: DataFrame, block: int, length: int, edits: int, q: int) -
 def contaminations(docs: DataFrame, benchmark: DataFrame, block: int = 1 << 20, length: int = 60, edits: int = 4, q: int = 10) -> DataFrame:
     """A row for each document and item of which it holds a passage: doc_id, item_id, n_found, n_segments, start, end."""
     out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint, n_found int, n_segments int, start int, end int")
-    for index in indexes(benchmark, block, length, edits, q):
-        out = out.union(docs.select("doc_id", F.explode(leaks(index)).alias("_leak")).select("doc_id", "_leak.*"))
+    items, blocks = blocks_of(benchmark, block)
+    for index in indexes(items, blocks, length, edits, q):
+        found = docs.select("doc_id", F.explode(leaks(index)).alias("_leak")).select("doc_id", "_leak.*")
+        out = out.union(found if blocks == 1 else stored(found, "leaks"))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = 1 << 20, length: int = 60, edits: int = 4, q: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    for index in indexes(benchmark, block, length, edits, q):
-        docs = docs.withColumn("_leaks", leaks(index)).where(F.size("_leaks") == 0).drop("_leaks")
-    return docs
+    items, blocks = blocks_of(benchmark, block)
+    gone = None
+    for index in indexes(items, blocks, length, edits, q):
+        if blocks == 1:
+            return docs.withColumn("_leaks", leaks(index)).where(F.size("_leaks") == 0).drop("_leaks")
+        found = docs.select(F.sha2("text", 256).alias("_text"), leaks(index).alias("_leaks")).where(F.size("_leaks") > 0).select("_text")
+        found = stored(found, "leaks")
+        gone = found if gone is None else gone.union(found)
+    if gone is None:
+        return docs
+    return docs.withColumn("_text", F.sha2("text", 256)).join(gone.distinct(), "_text", "left_anti").select(*docs.columns)

@@ -270,6 +270,19 @@ def test_one_short_phrase_is_no_passage():
     assert leaks_in(ITEM, [f"{prose(4, 30)} {ITEM[20:65]} {prose(5, 30)} {ITEM[70:112]} {prose(6, 9)}"]) == [[]]
 
 
+def test_blocks_of_the_benchmark(spark):
+    items = [(k, prose(300 + k, 30)) for k in range(8)]
+    docs = [(k, f"{prose(400 + k, 20)} {items[k][1]}") for k in range(8)] + [(8, items[0][1] + " " + items[5][1]), (9, None), (None, prose(7, 30)), (None, prose(7, 30)), (10, "")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminations(docs, benchmark, block=500)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted([(k, k) for k in range(8)] + [(8, 0), (8, 5)])
+    left = decontaminate.clean(docs, benchmark, block=500)
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(9, ""), (-1, prose(7, 30)), (-1, prose(7, 30)), (10, "")])
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (got, left)]
+    assert not any("ArrowEvalPython" in p or "batches" in p for p in plans)  # every block's findings are written, none waits in the plan
+
+
 @pytest.mark.parametrize("text, values", [
     ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 123", ["4111111111111111"]), ("no 7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
     ("no 7 4111-1111-1111-1111 12 27 123 9", ["4111-1111-1111-1111"]), ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
