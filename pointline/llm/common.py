@@ -7,6 +7,7 @@ whole texts; ``pieces`` only bounds how many texts are in memory at once.
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -167,23 +168,51 @@ def learnable(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 != 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> list[tuple[str, int]]:
-    """Whole texts with their quality label: the first rows in the order of a hash of the id, ``rows`` of them or ``size`` bytes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> tuple[list[tuple[str, int]], int, int]:
+    """Whole texts with their quality label, in the order of a hash of the id, until ``rows`` of them or ``size`` bytes are full; how many ids had
+    a label, and how many of them only longer texts.
 
-    This bound is a parameter of the classifiers that learn from it. Rows without id, label or text are passed over.
+    These bounds are parameters of the classifiers that learn from it. A text of over a twentieth of ``size`` is passed over. Of several rows of an
+    id the shortest text counts. Rows without id, label or text are passed over.
     """
+    most, order = size // 20, [F.col("_place"), F.col("doc_id")]
     ids = (labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(learnable())
-           .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
-    found = found.withColumn("_place", F.xxhash64("doc_id"))
-    last, total = None, 0
-    for place, n in sorted(found.select("_place", F.octet_length("text")).collect()):
-        total += n
-        if last is not None and total > size and place > last:
+           .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("_place", F.xxhash64("doc_id")))
+    texts = docs.select("doc_id", "text").where("text is not null")
+
+    def shortest(some: DataFrame) -> DataFrame:
+        row = F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("hash"))
+        return texts.join(some, "doc_id").groupBy("_place", "doc_id", "quality").agg(F.min(row).alias("_row"))
+    head = ids.orderBy(*order).limit(rows)
+    labelled, last = head.agg(F.count("*"), F.max(F.struct(*order))).first()
+    seen = sorted(shortest(F.broadcast(head)).collect())  # at most ``rows`` ids
+    got = [r for r in seen if r["_row"].n <= most]
+    long = len(seen) - len(got)
+    if labelled == rows and len(got) < rows and sum(r["_row"].n for r in got) < size:  # the first ids had too few texts
+        rest = ids.where((order[0] > last["_place"]) | (order[0] == last["_place"]) & (order[1] > last["doc_id"]))
+        got += sorted(shortest(rest).where(F.col("_row.n") <= most).orderBy(*order).limit(rows - len(got)).collect())
+    total, chosen = 0, []
+    for r in got:
+        total += r["_row"].n
+        if total > size:
             break
-        last = place
-    if last is None:
-        return []
-    got = found.where(F.col("_place") <= last).select("_place", "doc_id", "text", "quality").collect()
-    return [(r.text, int(r.quality)) for r in sorted(got)]
+        chosen.append((r["doc_id"], r["_place"], r["quality"], r["_row"].n, r["_row"].hash))
+    if not chosen:
+        return [], labelled, long
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, _place bigint, quality int, _n int, _hash bigint")
+    found = texts.join(F.broadcast(chosen), "doc_id").where((F.octet_length("text") == F.col("_n")) & (F.xxhash64("text") == F.col("_hash")))
+    found = found.groupBy("_place", "doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return [(r.text, int(r.quality)) for r in sorted(found)], labelled, long
+
+
+def fitted(fit, docs: DataFrame, labels: DataFrame, rows: int, size: int):
+    """What ``fit`` makes of the labelled sample. None only without usable labels, with a warning if there are any; an error if texts were too long."""
+    sample, labelled, long = labelled_sample(docs, labels, rows, size)
+    model = fit(sample)
+    if model is None and labelled:
+        said = f"{fit.__module__}: no model could be fitted from {len(sample)} texts; of {labelled} labelled ids looked at first, {long} have only texts of over {size // 20} bytes"
+        if long:
+            raise ValueError(said)
+        warnings.warn(said, RuntimeWarning, stacklevel=2)
+    return model

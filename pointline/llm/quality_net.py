@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, labelled_sample, mix, pieces, ship, span_hashes, words_of
+from .common import Words, fitted, mix, pieces, ship, span_hashes, words_of
 
 ship(__name__)
 
@@ -153,4 +153,4 @@ def score(model: Model | None, column="text") -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6 << 20) -> Model | None:
-    return fit(labelled_sample(docs, labels, rows, size))
+    return fitted(fit, docs, labels, rows, size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, mix, per_text, pieces, shingle_hashes, ship, span_hashes, word_hashes, words_of
+from .common import fitted, mix, per_text, pieces, shingle_hashes, ship, span_hashes, word_hashes, words_of
 
 ship(__name__)
 
@@ -188,4 +188,4 @@ def judge(model: Model | None, least_words: int = 10, repeat_percent: int = 20,
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6 << 20) -> Model | None:
-    return fit(labelled_sample(docs, labels, rows, size))
+    return fitted(fit, docs, labels, rows, size)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, per_text, pieces, ship
+from .common import fitted, per_text, pieces, ship
 
 ship(__name__)
 
@@ -135,4 +135,4 @@ def found(model: Model | None, least: int = LONG, ratio: float = 12.0, mean: flo
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = 1000, size: int = 4 << 20) -> Model | None:
-    return fit(labelled_sample(docs, labels, rows, size))
+    return fitted(fit, docs, labels, rows, size)
