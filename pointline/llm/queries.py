@@ -8,13 +8,13 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, links, near, pii, quality_net, quality_rules, repeats, secrets, sharding
+from . import bpe, decontaminate, links, merkle, near, pii, quality_net, quality_rules, repeats, secrets, sharding
+from .oracle import ORACLE  # noqa: F401
 from .common import learnable, stored, table
 
 PII_KEY = os.environ.get("PII_KEY", "a key for tests; production sets its own")
 
 QUERIES = {}
-ORACLE = {}
 
 
 def query(fn):
@@ -107,3 +107,13 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The claimed text of a third of the documents has its A-Z lower-cased: only what had none of these verifies."""
+    docs = table(spark, folder, "documents").select(*merkle.FIELDS)
+    lower = F.translate("text", merkle.UPPER, merkle.LOWER)
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower).otherwise(F.col("text"))
+    out = merkle.manifest(docs, claimed={"text": claimed})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
