@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, links, merkle, near, pii, quality_net, quality_rules, repeats, secrets, sharding
+from . import bpe, decontaminate, links, merkle, near, pii, quality_net, quality_rules, repeats, secrets, sentence_pieces, sharding
 from .oracle import ORACLE  # noqa: F401
 from .common import learnable, stored, table
 
@@ -30,6 +30,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def model() -> str:
+    """The file of the SentencePiece model, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its text with pseudonyms, how many values were replaced, and where (kind:start:end)."""
@@ -109,6 +117,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    both = table(spark, folder, "documents").select("doc_id", sentence_pieces.round_trip(model()).alias("_v"))
+    return both.select("doc_id", F.size("_v.ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("_v.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("_v.text"), 256).alias("decoded_sha256"))
+
+
 @query
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """The claimed text of a third of the documents has its A-Z lower-cased: only what had none of these verifies."""
