@@ -56,3 +56,23 @@ SELECT l.doc_id, l.leaf, t.subroot, w.root, coalesce(p.proof_sha256, sha256(''))
 FROM leaves l JOIN tops t USING (tree) CROSS JOIN whole w JOIN folded f ON f.tree = l.tree AND f.leaf_pos = l.pos
 LEFT JOIN proofs p ON p.tree = l.tree AND p.leaf_pos = l.pos
 """
+
+TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+ORACLE["op11_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS place, doc_id, text FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+posted AS (SELECT place, term, count(*) AS tf FROM (SELECT place, {TERMS} FROM docs) GROUP BY ALL),
+sizes AS (SELECT place, sum(tf)::BIGINT AS n FROM posted GROUP BY place),
+whole AS (SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * max(w.documents) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM posted CROSS JOIN whole w GROUP BY term),
+asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, {TERMS} FROM items) GROUP BY ALL),
+norms AS (SELECT place, 25 + (75 * n * w.documents) // w.length AS m FROM sizes CROSS JOIN whole w),
+scored AS (
+    SELECT item, place, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN posted USING (term) JOIN weights USING (term) JOIN norms USING (place) GROUP BY ALL
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+    FROM scored JOIN docs USING (place) JOIN items USING (item) WHERE score > 0
+) SELECT * FROM ranked WHERE rank <= 10
+"""

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, links, merkle, near, pii, quality_net, quality_rules, repeats, secrets, sentence_pieces, sharding
+from . import bpe, decontaminate, links, merkle, near, pii, quality_net, quality_rules, repeats, search, secrets, sentence_pieces, sharding
 from .oracle import ORACLE  # noqa: F401
 from .common import learnable, stored, table
 
@@ -117,6 +117,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 @query
 def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "documents").select("doc_id", sentence_pieces.round_trip(model()).alias("_v"))
