@@ -37,6 +37,7 @@ COORDINATES = 1 << 16
 KEPT_TERMS = 1 << 20
 BLOCK_TERMS, BLOCK_QUERIES = 1 << 13, 1 << 9
 LOOKED_UP = 256
+SALTS = 64
 BROADCAST_ROWS = 1 << 17
 SLACK = 1.001  # bounds are sums in single precision
 SKETCHES = "doc_id {kind}, text_hash bigint, n bigint, sketch binary, term bigint, df bigint"
@@ -242,7 +243,11 @@ def bounded(sketches: DataFrame, block: Block, least: np.ndarray | None, most: i
 
 
 def first_of(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k)
+    """The first ``k`` rows of each key. Each task gives on ``k`` at most; those meet in ``SALTS`` groups before they meet as one."""
+    for keys in ([*by, "_salt"], by):
+        rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))) if "_salt" in keys else rows.drop("_salt", "_rank")
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k)
+    return rows
 
 
 def scored(docs: DataFrame, candidates: DataFrame, block: Block) -> DataFrame:
