@@ -17,6 +17,7 @@ from ..session import shared_folder
 from ..sources import ingest, sinks, tables, upkeep
 from ..streaming import players as stream_players
 from ..streaming import sources as stream_sources
+from ..streaming import teams as stream_teams
 from ..streaming import windows as stream_windows
 from . import settings as S
 
@@ -971,3 +972,15 @@ def stream_award_once(spark, folder):
 def stream_sustained(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
     return stream_sources.run_appending(stream_players.sustained(entries, S.LEVEL, S.LEVEL_DAYS), "sustained")
+
+
+@query
+def stream_no_weak_link(spark, folder):
+    """The award of ``badge_no_weak_link`` from a stream of the entries up to ``AS_OF``, whose day is then closed."""
+    clock = stream_sources.Clock(spark)
+    entries = stream_sources.event_stream(spark, folder).where(F.col("ts") <= cal.as_instant(cal.ntz(S.AS_OF)))
+    runs = stream_teams.all_members_sustained(
+        clock.with_entries(entries), tables.active_players(spark, folder), S.WEAK_LINK, S.FIRST_DAY, days=S.WEAK_LINK_DAYS)
+    end = dt.datetime.combine(S.AS_OF.date() + dt.timedelta(days=1), dt.time(0, 0, 1))
+    runs = stream_sources.run_appending(runs, "no-weak-link", clock, end)
+    return awards.grant(awards.won(snapshots.first_held(runs, "team"), "no_weak_link", "held_on", "team"), "team")

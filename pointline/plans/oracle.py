@@ -614,6 +614,8 @@ ORACLE: dict[str, str] = {
     "stream_hours_at_top": _sql(_HOURS),
     "stream_award_once": _sql(
         _FIRST_BADGE + "('hot_streak', 'tsunami', 'unstoppable', 'phoenix', 'showtime')", "points"),
+    "stream_no_weak_link": _sql(_award(f"""SELECT team, min(from_day + {S.WEAK_LINK_DAYS}) AS date_earned FROM t_strong_runs
+        WHERE to_day >= from_day + {S.WEAK_LINK_DAYS} GROUP BY 1""", "no_weak_link", "team"), "points"),
     "stream_sustained": _sql(f"""SELECT player_id, from_ts, from_ts + INTERVAL {S.LEVEL_DAYS} DAY AS held_ts FROM (
         SELECT player_id, min(ts) AS from_ts, coalesce(max(next_ts) FILTER (NOT next_ok), greatest(max(ts), (
             SELECT max(ts) - INTERVAL 1 DAY FROM t_ledger))) AS to_ts FROM (

@@ -30,8 +30,8 @@ UNITED_DAYS = 10
 BALANCE = (450, 2700)
 HARMONY_GAP = 2300
 HARMONY_MONTH = 1
-WEAK_LINK = 300
-WEAK_LINK_DAYS = 7
+WEAK_LINK = 20
+WEAK_LINK_DAYS = 18
 TOP_DAYS = 3
 VETERAN_DAYS = 5
 COURAGE_COUNT = 2

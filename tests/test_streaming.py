@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointline.functions import calendar as cal
-from pointline.operators import awards, rollups, state
+from pointline.operators import awards, rollups, snapshots, state
 from pointline.session import shared_folder
 from pointline.sources import tables
 from pointline.streaming import players as stream_players
-from pointline.streaming import sources, windows
+from pointline.streaming import sources, teams, windows
 
 from .conftest import rows_of
 
@@ -147,3 +147,22 @@ def test_stream_reads_a_file_a_folder_and_no_neighbour(spark, tmp_path):
         assert sources.run_appending(sources.stream_table(spark, str(place), "events"), "copy").count() == 10
     with pytest.raises(FileNotFoundError):
         sources.stream_table(spark, str(tmp_path / "none"), "events")
+
+
+@pytest.mark.parametrize("files, level, months, days", [(7, 40, 0, 4), (1, -1000, 0, 5), (7, 0, 1, 2)])
+def test_all_members_sustained(spark, folder, ledger, players, files, level, months, days):
+    """Equal to the batch operator however many files a micro-batch has; players without entries, an empty team, the last day."""
+    end = ledger.agg(F.max("ts")).first()[0]
+    schema = spark.read.parquet(os.path.join(folder, "events0.parquet")).schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(folder))
+    entries = events.select(F.col("event_id").alias("id"), cal.as_instant(F.col("ts")).alias("ts"), F.col("user_id").alias("player_id"),
+                            tables.event_points().alias("points"))
+    members = players.where("player_id < 13").unionByName(spark.createDataFrame([(99, "idle", "V")], players.schema))
+    first = dt.date(2024, 2, 2)
+    clock = sources.Clock(spark)
+    runs = teams.all_members_sustained(clock.with_entries(entries), members, level, first, months, days)
+    runs = sources.run_appending(runs, "all-members", clock, dt.datetime.combine(end.date() + dt.timedelta(days=1), dt.time(0, 0, 1)))
+    intervals = snapshots.score_intervals(rollups.player_days(ledger), members, first, end.date())
+    good = snapshots.team_days_all(intervals, members, F.col("score") >= level, first, end.date())
+    wanted = rows_of(snapshots.sustained(good, "team", months, days), "team", "from_day", "held_on")
+    assert wanted and rows_of(runs) == wanted
