@@ -33,6 +33,7 @@ UNDO_ACTION = "Annulation: "
 SENT_BACK = "Renvoyé"
 TO_POOL = " vers la réserve"
 DRAFTED_TO = "Drafté vers "
+RENAMED = ('Nom changé de "', '" vers "', '"')
 
 DEFAULT_RULES: CategoryRules = (("sport", SPORT_KEYWORDS), ("academic", ACADEMIC_KEYWORDS))
 
@@ -80,3 +81,9 @@ def one_decimal(value: Column) -> Column:
 def share_pct(part: Column, whole: Column) -> Column:
     """Percentage to one decimal; 0 for a zero denominator."""
     return F.round(F.when(whole == 0, F.lit(0.0)).otherwise(part * 100.0 / whole), 1)
+
+
+def renamed(old: Column, new: Column) -> Column:
+    """What the ledger says of a rename."""
+    before, between, after = map(F.lit, RENAMED)
+    return F.concat(before, old, between, new, after)

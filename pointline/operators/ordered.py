@@ -86,25 +86,39 @@ def running_state(ledger: DataFrame, counters: dict[str, Column] | None = None,
     )
 
 
+def staircase(ledger: DataFrame, key: str = "player_id", bits: int = CHUNK_BITS) -> DataFrame:
+    """``id, key, ts, total, prev_total`` of the entries that lift the key's total above all it had before within their chunk.
+
+    An entry that is no step of its own key's chunk cannot be a record of the whole ledger, nor the first to reach a milestone. The
+    ledger is read and shuffled once; sums, steps and openings all come from that exchange.
+    """
+    rows = with_chunks(ledger, bits).select("id", key, "ts", "points", "_chunk").repartition(key, "_chunk")
+    before = Window.partitionBy(key, "_chunk").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_sum", F.sum("points").over(_so_far(key))).withColumn("_high", F.max("_sum").over(before))
+    steps = inside.where(F.col("_high").isNull() | (F.col("_sum") > F.col("_high")))
+    opening = rows.groupBy(key, "_chunk").agg(F.sum("points").alias("_s")).select(
+        key, "_chunk", F.coalesce(F.sum("_s").over(_before(key)), F.lit(0)).alias("_open"))
+    total = F.col("_sum") + F.col("_open")
+    return steps.join(opening, [key, "_chunk"]).select("id", key, "ts", total.alias("total"), (total - F.col("points")).alias("prev_total"))
+
+
 def running_record(totals: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Rows of ``totals`` whose ``total`` beats every earlier one in the whole ledger, with ``is_current``.
 
-    The order is global, so the id range is cut for everyone. The summary has one row per chunk (a millionth of the ledger)
-    and tells which chunks can hold a record at all; only their rows are shuffled.
+    The order is global, so the id range is cut for everyone. The summary has one row per chunk (a millionth of the ledger) and gives
+    what a chunk's rows have to beat; only those that do are shuffled. ``totals`` is read twice and should be a stored table, of the
+    steps of ``staircase`` or of all entries.
     """
     chunk = F.shiftright("id", bits)
     best = totals.groupBy(chunk.alias("_chunk")).agg(F.max("total").alias("_best"))
     order = Window.orderBy("_chunk")
-    best = best.withColumns({
-        "_prev_best": F.max("_best").over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "_top": F.max("_best").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
+    best = best.select("_chunk", F.max("_best").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_best"),
+                       F.max("_best").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"))
     # NULL: nothing came before, so the first entry is a record whatever its size
-    hopeful = best.where(F.col("_prev_best").isNull() | (F.col("_best") > F.col("_prev_best")))
+    rows = totals.withColumn("_chunk", chunk).join(best, "_chunk").where(
+        F.col("_prev_best").isNull() | (F.col("total") > F.col("_prev_best")))
     before = Window.partitionBy("_chunk").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = totals.withColumn("_chunk", chunk).join(hopeful.drop("_best"), "_chunk")
-    beaten = F.greatest("_prev_best", F.max("total").over(before))
-    return rows.withColumn("_beaten", beaten).where(
+    return rows.withColumn("_beaten", F.max("total").over(before)).where(
         F.col("_beaten").isNull() | (F.col("total") > F.col("_beaten"))
     ).select(*totals.columns, (F.col("total") == F.col("_top")).alias("is_current"))
 

@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from .ordered import CHUNK_BITS, running_record, running_total, top_per_group
+from ..session import shared_folder
+from ..sources.sinks import reload_table
+from .ordered import CHUNK_BITS, running_record, staircase, top_per_group
 
 MILESTONES = (50, 100, 150, 200, 250)  # fixed values
 MVP_METRICS = {"academic": "academic_points", "sport": "sport_points", "progression": "total_points"}
 
 
 def first_to_milestone(totals: DataFrame, milestones: Sequence[int] = MILESTONES) -> DataFrame:
-    """The first entry in the ledger to lift a total to each milestone.
+    """The first entry in the ledger to lift a total to each milestone; from running totals or their steps alone.
 
     An entry yields the milestones it crosses, mostly none; the minimum per milestone combines before the shuffle.
     """
+    if min(milestones) <= 0:
+        raise ValueError("players start at 0, so milestones are positive")
     steps = F.array(*[F.lit(m).cast("bigint") for m in milestones])
     crossed = F.filter(steps, lambda m: (F.col("prev_total") < m) & (F.col("total") >= m))
     entry = F.struct("player_id", F.col("total").alias("score"), F.col("ts").alias("date_achieved"))
@@ -27,6 +31,11 @@ def first_to_milestone(totals: DataFrame, milestones: Sequence[int] = MILESTONES
         F.min_by(entry, F.col("id")).alias("e")).select("milestone", "e.*")
 
 
+def stored_steps(ledger: DataFrame, **chunking) -> DataFrame:
+    """``ordered.staircase`` written once, as records and milestones read it several times."""
+    return reload_table(staircase(ledger, **chunking), shared_folder(ledger.sparkSession, "steps"))
+
+
 def record_progression(totals: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Every entry that set a new highest total, in the whole ledger; the last one is current."""
     return running_record(totals, bits).select(
@@ -34,8 +43,8 @@ def record_progression(totals: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
 
 
 def hall_of_fame(ledger: DataFrame, players: DataFrame, milestones: Sequence[int] = MILESTONES, **chunking) -> DataFrame:
-    """Milestones and records in one table, with the player's team."""
-    totals = running_total(ledger, **chunking)
+    """Milestones and records in one table, with the player's team. The ledger is read once and its running total computed once."""
+    totals = stored_steps(ledger, **chunking)
     firsts = first_to_milestone(totals, milestones).select(
         F.concat(F.lit("first_"), F.col("milestone").cast("string")).alias("record_type"),
         "player_id", "score", "date_achieved", F.lit(True).alias("is_current"))

@@ -1,8 +1,8 @@
 """States that last: scores as intervals of days, daily ranks, conditions sustained over time.
 
 A daily snapshot of all players would have players x days rows. A score only changes on days with entries, so it is kept
-as one row per player and change with the days from which to which it holds. Daily ranks expand only the players that can be
-among the best on some day of a month; team conditions add up the changes per day and never expand players at all.
+as one row per player and change with the days from which to which it holds. Daily ranks cut these intervals into dyadic spans, of
+which each keeps its best rows alone; team conditions add up the changes per day. Neither expands players to days.
 """
 
 from __future__ import annotations
@@ -41,38 +41,37 @@ def each_day(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("day", F.explode(F.sequence("from_day", "to_day"))).drop("from_day", "to_day")
 
 
+def dyadic_spans(intervals: DataFrame) -> DataFrame:
+    """Each interval cut into spans of ``2 ** level`` days that begin at multiples of their length since 1970: ``_level, _span``.
+
+    At most two spans of a length are needed, of lengths up to the interval's own; one of a day or two stays as it is.
+    """
+    days = intervals.withColumns({"_begin": F.unix_date("from_day"), "_end": F.unix_date(F.date_add("to_day", 1))})
+    levels = F.expr("sequence(0, cast(log2(_end - _begin) + 0.01 as int))")  # one level too many does no harm
+    inner = days.where("_begin < _end").withColumn("_level", F.explode(levels)).withColumns({
+        "_first": F.expr("shiftright(_begin + shiftleft(1, _level) - 1, _level)"), "_past": F.expr("shiftright(_end, _level)")})
+    ends = F.expr("array(if(_first < _past and _first & 1 = 1, _first, null), if(_first < _past and _past & 1 = 1, _past - 1, null))")
+    return inner.withColumn("_span", F.explode(ends)).where("_span is not null").drop("_begin", "_end", "_first", "_past")
+
+
+def best_spans(intervals: DataFrame, k: int, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The spans that can hold one of the ``k`` first of a day: whoever is not among the ``k`` first of the rows that cover a whole span
+    has ``k`` others before them on each of its days. Every task gives on ``k`` rows a group and span at most."""
+    return top_per_group(dyadic_spans(intervals), [*groups, "_level", "_span"], order, k).drop("position")
+
+
 def daily_best(intervals: DataFrame, k: int, groups: Sequence[str] = (), worst: bool = False) -> DataFrame:
     """The ``k`` best (or worst) players of every day, per group, ranked by score, then player; exact.
 
-    Within a month, the k-th best of all players' monthly minima bounds the daily top k from below: on any day at least ``k``
-    players have that score or more. Players whose monthly maximum is under it are left out before days are expanded.
-    That bar is broadcast where it has one row per calendar month; per team, Spark decides by the size it turns out to have.
+    A day lies in one span of each length, so at most ``k`` rows per day and length are left to be ranked, however many players there
+    are and wherever their scores began.
     """
-    groups = list(groups)
     sign = -1 if worst else 1
-    month = F.explode(F.sequence(F.trunc("from_day", "month"), F.col("to_day"), F.expr("INTERVAL 1 MONTH")))
-    pieces = intervals.select(
-        "player_id", "team", "from_day", "to_day", (F.col("score") * sign).alias("_score"),
-        (F.col("player_id") * sign).alias("_id"), month.alias("_month"),
-    ).withColumns({
-        "from_day": F.greatest("from_day", "_month"),
-        "to_day": F.least("to_day", F.last_day("_month")),
-    })
-    in_month = Window.partitionBy("player_id", "_month")
-    pieces = pieces.withColumns({
-        "_low": F.min("_score").over(in_month), "_high": F.max("_score").over(in_month)})
-    place = [*groups, "_month"]
-    lows = pieces.groupBy("player_id", *place).agg(F.min("_low").alias("_low"), F.first("_id").alias("_id"))
-    bar = top_per_group(lows, place, [F.desc("_low"), F.col("_id")], k).where(F.col("position") == k).select(
-        *place, F.col("_low").alias("_bar"), F.col("_id").alias("_bar_id"))
-    if not groups:
-        bar = F.broadcast(bar)  # one row per calendar month
-    reaches = (
-        F.col("_bar").isNull() | (F.col("_high") > F.col("_bar"))
-        | ((F.col("_high") == F.col("_bar")) & (F.col("_id") <= F.col("_bar_id"))))
-    hopeful = pieces.join(bar, place, "left").where(reaches).select(
-        "player_id", "team", "from_day", "to_day", "_score", "_id")
-    best = top_per_group(each_day(hopeful), [*groups, "day"], [F.desc("_score"), F.col("_id")], k)
+    signed = intervals.select("player_id", "team", "from_day", "to_day", (F.col("score") * sign).alias("_score"), (F.col("player_id") * sign).alias("_id"))
+    order = [F.desc("_score"), F.col("_id")]
+    spans = best_spans(signed, k, groups, order).withColumns({
+        "from_day": F.expr("date_from_unix_date(shiftleft(_span, _level))"), "to_day": F.expr("date_from_unix_date(shiftleft(_span + 1, _level) - 1)")})
+    best = top_per_group(each_day(spans), [*groups, "day"], order, k)
     return best.select("day", "player_id", "team", (F.col("_score") * sign).alias("score"), "position")
 
 

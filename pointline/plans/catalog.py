@@ -14,7 +14,7 @@ from ..functions import arrays, text
 from ..functions import calendar as cal
 from ..operators import awards, corrections, curves, ordered, records, reports, rollups, snapshots, state
 from ..session import shared_folder
-from ..sources import ingest, sinks, tables, upkeep
+from ..sources import ingest, sinks, store, tables, upkeep
 from ..streaming import players as stream_players
 from ..streaming import sources as stream_sources
 from ..streaming import teams as stream_teams
@@ -256,13 +256,17 @@ def stored_ledger_range(spark, folder):
     return tables.stored_ledger(spark, where, *cal.period_range(S.AS_OF, "week")).select(*tables.LEDGER_COLUMNS)
 
 
-def _renames(x: Inputs) -> DataFrame:
+def _wanted_renames(x: Inputs) -> DataFrame:
     """Ids of one team move up; another team wants ids that are taken."""
     moved = x.players().where(F.col("team") == "BUILDING").select(
         F.col("player_id").alias("old_id"), (F.col("player_id") + S.RENAME_OFFSET).alias("new_id"))
     refused = x.players().where(F.col("team") == "FURNITURE").select(
         F.col("player_id").alias("old_id"), (F.col("player_id") * 0 + 1).alias("new_id"))
-    return upkeep.checked_renames(moved.unionByName(refused), x.players())
+    return moved.unionByName(refused)
+
+
+def _renames(x: Inputs) -> DataFrame:
+    return upkeep.checked_renames(_wanted_renames(x), x.players())
 
 
 @query
@@ -276,6 +280,64 @@ def rename_audit(spark, folder):
     return upkeep.rename_audit(_renames(Inputs(spark, folder)), cal.ntz(S.AS_OF)).drop("id")
 
 
+@query
+def upsert_stored(spark, folder):
+    """``upsert_latest`` into a stored table of daily points, done twice to the same effect, and read back."""
+    daily = Inputs(spark, folder).ledger().withColumn("day", F.to_date("ts"))
+    turn, end = F.lit(dt.date(2024, 1, 15)), F.lit(dt.date(2024, 1, 20))
+    points = F.sum("points").alias("points")
+    held = store.Store(spark, shared_folder(spark, "daily-points"))
+    held.create("daily", daily.where(F.col("day") <= end).groupBy("player_id", "day").agg(points), "day", ["player_id", "day"])
+    updates = daily.where((F.col("day") >= turn) & (F.col("points") > 0)).groupBy("player_id", "day").agg(points)
+    for _ in range(2):
+        held.upsert("daily", updates)
+    held.clean()
+    return held.read("daily")
+
+
+def _stored_tables(x: Inputs) -> store.Store:
+    """Ledger, dimension, badges and roll-ups in one store."""
+    held = store.Store(x.spark, shared_folder(x.spark, "store"))
+    held.create("ledger", x.ledger().withColumn("day", F.to_date("ts")), "day", ["day", "id"])
+    held.create("players", x.players(), None, ["player_id"])
+    held.create("badges", x.badges(), None, ["player_id", "badge_id"])
+    held.create("period_stats", rollups.period_stats(x.ledger()), "period_type", ["player_id", "period_type", "period_start"])
+    return held
+
+
+def _store_summary(held: store.Store) -> DataFrame:
+    """What each table of the store says of each player."""
+    worth = {"ledger": "points", "players": "0", "badges": "points", "period_stats": "total_points"}
+    result = None
+    for name, points in worth.items():
+        part = held.read(name).groupBy("player_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(points)).cast("bigint").alias("points"))
+        part = part.select(F.lit(name).alias("stored"), "player_id", "n", "points")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query
+def rename_everywhere(spark, folder):
+    """Renames in all tables of a store; the same ones again are refused, as the old ids are gone."""
+    x = Inputs(spark, folder)
+    held = _stored_tables(x)
+    wanted = _wanted_renames(x)
+    for _ in range(2):
+        upkeep.rename_everywhere(held, wanted, cal.ntz(S.AS_OF))
+    held.clean()
+    return _store_summary(held)
+
+
+@query
+def delete_everywhere(spark, folder):
+    """The pool's players removed from all tables of a store."""
+    x = Inputs(spark, folder)
+    held = _stored_tables(x)
+    upkeep.delete_everywhere(held, x.players().where(F.col("team") == S.POOL))
+    held.clean()
+    return _store_summary(held)
+
+
 # filters and projections ---------------------------------------------------------------------------------------------
 
 @query
@@ -508,12 +570,12 @@ def lowest_score(spark, folder):
 
 @query
 def first_to_milestone(spark, folder):
-    return records.first_to_milestone(ordered.running_total(Inputs(spark, folder).ledger()), S.MILESTONES)
+    return records.first_to_milestone(ordered.staircase(Inputs(spark, folder).ledger()), S.MILESTONES)
 
 
 @query
 def record_progression(spark, folder):
-    return records.record_progression(ordered.running_total(Inputs(spark, folder).ledger()))
+    return records.record_progression(records.stored_steps(Inputs(spark, folder).ledger()))
 
 
 @query

@@ -290,6 +290,18 @@ _HOURS = f"""SELECT team, count(*) FILTER (place = 1) AS hours FROM (
 _PARIS = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris'"
 _WEEK_START = "CAST(date_trunc('week', ts) AS DATE)"
 
+def _stored(new_id: str, kept: str, renamed: str) -> str:
+    """What each table of the store says of each player, under new ids, of the players kept, with the entries of renames."""
+    term = _TERM["start"]
+    return f"""SELECT stored, {new_id} AS player_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(points) AS BIGINT) AS points FROM (
+        SELECT 'ledger' AS stored, player_id, count(*) AS n, sum(points) AS points FROM t_ledger GROUP BY ALL
+        UNION ALL SELECT 'players', player_id, 1, 0 FROM t_players
+        UNION ALL SELECT 'badges', player_id, count(*), sum(points) FROM t_badges GROUP BY ALL
+        UNION ALL SELECT 'period_stats', player_id, count(DISTINCT date_trunc('week', ts)) + count(DISTINCT date_trunc('month', ts))
+            + count(DISTINCT {term}), 3 * sum(points) FROM t_ledger GROUP BY ALL
+        {renamed}) LEFT JOIN t_renames ON player_id = old_id WHERE {kept} GROUP BY ALL"""
+
+
 ORACLE: dict[str, str] = {
     # sources and upkeep
     "scan_ledger": _sql("SELECT * FROM t_ledger"),
@@ -335,6 +347,14 @@ ORACLE: dict[str, str] = {
         GROUP BY 1, 2) e FULL JOIN (
         SELECT player_id, CAST(ts AS DATE) AS day, sum(points) AS points FROM t_ledger
         WHERE ts >= DATE '2024-01-15' AND points > 0 GROUP BY 1, 2) u USING (player_id, day)""", "points", "day"),
+    "upsert_stored": _sql("""SELECT player_id, day, coalesce(u.points, e.points) AS points FROM (
+        SELECT player_id, CAST(ts AS DATE) AS day, sum(points) AS points FROM t_ledger WHERE ts < DATE '2024-01-21'
+        GROUP BY 1, 2) e FULL JOIN (
+        SELECT player_id, CAST(ts AS DATE) AS day, sum(points) AS points FROM t_ledger
+        WHERE ts >= DATE '2024-01-15' AND points > 0 GROUP BY 1, 2) u USING (player_id, day)""", "points", "day"),
+    "rename_everywhere": _sql(_stored("coalesce(new_id, player_id)", "true",
+        "UNION ALL SELECT 'ledger', old_id, 1, 0 FROM t_renames"), "n points"),
+    "delete_everywhere": _sql(_stored("player_id", f"player_id NOT IN (SELECT player_id FROM t_players WHERE team = '{S.POOL}')", ""), "n points"),
     "insert_if_absent": _sql("""SELECT player_id, name, CASE WHEN player_id IN (SELECT player_id FROM t_active)
         THEN 'kept' ELSE 'new' END AS origin FROM t_players"""),
     "schema_evolve": _sql("""SELECT * REPLACE (CASE WHEN ts < DATE '2024-01-15' THEN 'unknown' ELSE category END

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ordered import ranked
 
 
 def upsert_latest(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
@@ -69,10 +70,31 @@ def rekey(table: DataFrame, renames: DataFrame, key: str = "player_id") -> DataF
         *table.columns)
 
 
+def delete_everywhere(store, gone: DataFrame, key: str = "player_id") -> dict[str, list[str]]:
+    """Removes the listed entities from all tables of a store at once; names the partitions that were written anew."""
+    return store.change_rows(key, gone, lambda rows: delete_entities(rows, gone, key))
+
+
+def rename_everywhere(store, renames: DataFrame, at, dimension: str = "players", ledger: str = "ledger") -> dict[str, list[str]]:
+    """Applies renames ``(old_id, new_id)`` to all tables of a store at once, with a system entry for each.
+
+    All are judged against the same snapshot: a new id that is anybody's present one is refused, so neither chains nor cycles nor
+    merged entities come about. Entries get the next free ids, in the order of the new ids.
+    """
+    asked = checked_renames(renames, store.read(dimension)).persist()
+    last = F.lit(store.read(ledger).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    audit = ranked(rename_audit(asked, at), "points", "player_id", name="_n").withColumn("id", last + F.col("_n")).drop("_n")
+    schema = store.read(ledger).schema
+    extra = [c for c in schema.names if c not in audit.columns]  # such as the day a ledger is stored by
+    audit = audit.withColumns({c: (F.to_date("ts") if c == "day" else F.lit(None)).cast(schema[c].dataType) for c in extra}).select(*schema.names)
+    touched = store.change_rows("player_id", asked.select(F.col("old_id").alias("player_id")), lambda rows: rekey(rows, asked), {ledger: audit})
+    asked.unpersist()
+    return touched
+
+
 def rename_audit(renames: DataFrame, at) -> DataFrame:
     """One zero-point system row per rename; a ``NULL`` id is given out by whoever appends the rows."""
-    label = F.concat(F.lit('Nom changé de "'), F.col("old_id").cast("string"), F.lit('" vers "'),
-                     F.col("new_id").cast("string"), F.lit('"'))
+    label = text.renamed(F.col("old_id").cast("string"), F.col("new_id").cast("string"))
     return renames.select(
         F.lit(None).cast("bigint").alias("id"), at.alias("ts"), F.col("new_id").alias("player_id"),
         label.alias("action"), F.lit("unknown").alias("category"), F.lit(0).cast("bigint").alias("points"),

@@ -61,6 +61,10 @@ def test_running_total_and_record(make_ledger, entries, bits):
     assert [(i, t) for i, t, _ in found] == records
     assert [i for i, _, current in found if current] == [records[-1][0]]
 
+    steps = ordered.staircase(make_ledger(entries), bits=bits)
+    assert set(rows_of(steps, "id", "total")) <= set(wanted)
+    assert rows_of(ordered.running_record(steps, bits), "id", "total", "is_current") == found
+
 
 def test_first_entry_is_a_record_even_below_zero(make_ledger):
     ledger = make_ledger([(1, "2024-01-01", 1, "a", -5), (2, "2024-01-02", 2, "a", -7), (3, "2024-01-03", 2, "a", 5)])

@@ -196,6 +196,26 @@ def test_daily_best_against_brute_force(make_ledger, make_players):
             assert rows_of(found, "day", "player_id", "score", "position") == sorted(wanted)
 
 
+def test_daily_best_expands_no_players(spark, make_players):
+    """2000 players over 64 days who all start at 0: under a twentieth of players x days is expanded, and the ranks are exact."""
+    from pyspark.sql import functions as F
+
+    n, first, last = 2000, dt.date(2024, 1, 1), dt.date(2024, 3, 4)
+    players = make_players([(p, str(p), "AB"[p % 2]) for p in range(n)])
+    days = spark.range(n * 12).select((F.col("id") % n).alias("player_id"), F.date_add(F.lit(first), F.pmod(F.hash("id"), F.lit(64))).alias("day"),
+                                      (F.pmod(F.xxhash64("id"), F.lit(60)) - 15).alias("points")).groupBy("player_id", "day").agg(F.sum("points").alias("points"))
+    intervals = snapshots.score_intervals(days, players, first, last).cache()
+    signed = intervals.select("*", F.col("score").alias("_score"), F.col("player_id").alias("_id"))
+    spans = snapshots.best_spans(signed, 10, (), [F.desc("_score"), F.col("_id")])
+    assert spans.agg(F.sum(F.expr("shiftleft(1, _level)"))).first()[0] < 0.05 * n * 64
+    every = snapshots.each_day(intervals)
+    whole = snapshots.top_per_group(every, ["day"], [F.desc("score"), F.col("player_id")], 10)
+    columns = ("day", "player_id", "score", "position")
+    assert rows_of(snapshots.daily_best(intervals, 10), *columns) == rows_of(whole, *columns)
+    cut = snapshots.dyadic_spans(intervals)
+    assert cut.agg(F.sum(F.expr("shiftleft(1, _level)"))).first()[0] == n * 64  # every day of every player in one span
+
+
 def test_team_days_all_against_brute_force(make_ledger, make_players):
     rows, players = season(3)
     team = {p: t for p, _, t in players}
