@@ -163,8 +163,8 @@ def team_hours(ledger: DataFrame, players: DataFrame) -> DataFrame:
         F.sum("points").alias("points"))
 
 
-def hours_at_top(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
-    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led; from ``team_hours``.
+def hourly_positions(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
+    """Total and place of every team at the end of each full hour up to ``as_of``; from ``team_hours``.
 
     What lies before ``first_hour`` opens the totals.
     """
@@ -175,5 +175,10 @@ def hours_at_top(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, a
     so_far = Window.partitionBy("team").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     totals = checks.join(hourly, ["team", "hour"], "left").select(
         "team", "hour", F.sum(F.coalesce("points", F.lit(0))).over(so_far).alias("total"))
-    return team_positions(totals, "hour").groupBy("team").agg(
+    return team_positions(totals, "hour")
+
+
+def hours_at_top(hourly: DataFrame, teams: DataFrame, first_hour: dt.datetime, as_of: dt.datetime) -> DataFrame:
+    """In how many hourly checks, each at the end of a full hour up to ``as_of``, a team led."""
+    return hourly_positions(hourly, teams, first_hour, as_of).groupBy("team").agg(
         F.count_if(F.col("position") == 1).alias("hours"))

@@ -215,6 +215,27 @@ def export_team_badges(spark, folder):
     return reports.team_badge_sheet(Inputs(spark, folder).store().team_badges())
 
 
+SHEETS = ("players", "teams", "team_badges")
+
+
+def _export(spark, folder) -> dict[str, DataFrame]:
+    return dict(zip(SHEETS, (export_players(spark, folder), export_teams(spark, folder), export_team_badges(spark, folder))))
+
+
+@query
+def export_csv(spark, folder):
+    """The three sheets written as one export, read back with their types: a row per cell."""
+    sheets, where, result = _export(spark, folder), shared_folder(spark, "export"), None
+    sinks.write_sheets(sheets, where)
+    for name, sheet in sheets.items():
+        entity = "name" if name == "players" else "team"
+        back = sinks.read_sheet(spark, where, name, sheet.schema)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in back.columns if c != entity]))
+        part = back.select(F.lit(name).alias("sheet"), F.col(entity).alias("entity"), cells.alias("c")).select("sheet", "entity", "c.*")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 @query
 def upsert_latest(spark, folder):
     """Daily points up to the 20th, of which the days from the 15th on are replaced by positive points only."""
@@ -1005,14 +1026,14 @@ def stream_player_state(spark, folder):
 @query
 def stream_week_points(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    weeks = stream_sources.run_updating(stream_windows.week_points(entries), ["player_id", "week_start"], "week-points")
+    weeks = stream_sources.run_updating(stream_windows.week_points(entries), ["player_id", "week_start"], "week-points", "week_start")
     return stream_windows.per_team(weeks, tables.players(spark, folder), "week_start")
 
 
 @query
 def stream_month_points(spark, folder):
     entries = stream_sources.event_stream(spark, folder)
-    months = stream_sources.run_updating(stream_windows.month_points(entries), ["player_id", "month"], "month-points")
+    months = stream_sources.run_updating(stream_windows.month_points(entries), ["player_id", "month"], "month-points", "month")
     return stream_windows.per_team(months, tables.players(spark, folder), "month")
 
 
@@ -1024,6 +1045,19 @@ def stream_hours_at_top(spark, folder):
     return snapshots.hours_at_top(stream_windows.per_team(hours, players, "hour"), players, S.FIRST_HOUR, S.AS_OF)
 
 
+@query
+def stream_standings(spark, folder):
+    """The hourly checks up to ``NOW``, within the last day of the stream, from hours so far; those the watermark has not closed yet
+    are provisional."""
+    players, entries = tables.players(spark, folder), stream_sources.event_stream(spark, folder)
+    hours = stream_sources.run_updating(stream_windows.hour_points(entries), ["player_id", "hour", "day"], "standings", "day")
+    places = snapshots.hourly_positions(stream_windows.per_team(hours, players, "hour"), players, S.FIRST_HOUR, S.NOW)
+    closed = Inputs(spark, folder).ledger().agg(F.max("ts") - F.expr(f"INTERVAL {stream_windows.LATENESS}")).scalar()
+    provisional = F.col("hour") + F.expr("INTERVAL 1 HOUR") > closed
+    led = F.col("position") == 1
+    return places.groupBy("team").agg(F.count_if(led).alias("hours"), F.count_if(led & provisional).alias("provisional_hours"))
+
+
 @query
 def stream_award_once(spark, folder):
     entries = stream_sources.event_stream(spark, folder)

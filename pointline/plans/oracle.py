@@ -287,6 +287,14 @@ _HOURS = f"""SELECT team, count(*) FILTER (place = 1) AS hours FROM (
             {_AS_OF} - INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS g(hour) LEFT JOIN (
         SELECT team, date_trunc('hour', ts) AS hour, sum(points) AS points FROM t_ledger
         JOIN t_players USING (player_id) WHERE ts < {_AS_OF} GROUP BY 1, 2) USING (team, hour))) GROUP BY 1"""
+_STANDINGS = f"""SELECT team, count(*) FILTER (place = 1) AS hours, count(*) FILTER (place = 1 AND hour + INTERVAL 1 HOUR > (
+        SELECT max(ts) - INTERVAL 1 DAY FROM t_ledger)) AS provisional_hours FROM (
+        SELECT team, hour, row_number() OVER (PARTITION BY hour ORDER BY total DESC, team) AS place FROM (
+        SELECT team, hour, sum(coalesce(points, 0)) OVER (PARTITION BY team ORDER BY hour) AS total
+        FROM (SELECT DISTINCT team FROM t_players) CROSS JOIN generate_series(TIMESTAMP '{S.FIRST_DAY}',
+            date_trunc('hour', TIMESTAMP '{S.NOW}') - INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS g(hour) LEFT JOIN (
+        SELECT team, date_trunc('hour', ts) AS hour, sum(points) AS points FROM t_ledger
+        JOIN t_players USING (player_id) GROUP BY 1, 2) USING (team, hour))) GROUP BY 1"""
 _PARIS = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris'"
 _WEEK_START = "CAST(date_trunc('week', ts) AS DATE)"
 
@@ -632,6 +640,7 @@ ORACLE: dict[str, str] = {
     "stream_month_points": _sql("""SELECT team, strftime(ts, '%Y-%m') AS month, sum(points) AS points FROM t_ledger
         JOIN t_players USING (player_id) WHERE points > 0 GROUP BY 1, 2""", "points"),
     "stream_hours_at_top": _sql(_HOURS),
+    "stream_standings": _sql(_STANDINGS),
     "stream_award_once": _sql(
         _FIRST_BADGE + "('hot_streak', 'tsunami', 'unstoppable', 'phoenix', 'showtime')", "points"),
     "stream_no_weak_link": _sql(_award(f"""SELECT team, min(from_day + {S.WEAK_LINK_DAYS}) AS date_earned FROM t_strong_runs
@@ -645,3 +654,14 @@ ORACLE: dict[str, str] = {
             WINDOW w AS (PARTITION BY player_id ORDER BY id ROWS UNBOUNDED PRECEDING))
         WHERE ok GROUP BY player_id, run) WHERE to_ts >= from_ts + INTERVAL {S.LEVEL_DAYS} DAY"""),
 }
+
+
+def _cells(sheet: str, entity: str, fields: str) -> str:
+    values = ", ".join(f"('{f}', CAST({f} AS VARCHAR))" for f in fields.split())
+    return f"SELECT '{sheet}' AS sheet, {entity} AS entity, field, value FROM ({ORACLE['export_' + sheet]}) s, LATERAL (VALUES {values}) AS v(field, value)"
+
+
+ORACLE["export_csv"] = " UNION ALL ".join((
+    _cells("players", "name", "team score sport_points academic_points current_streak max_streak badge_count"),
+    _cells("teams", "team", "total_score n_players avg_score best_score worst_score"),
+    _cells("team_badges", "team", "n_badges badge_points")))

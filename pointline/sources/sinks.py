@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: How sheets are written and read: quotes inside values doubled, nothing between separators for a missing value.
+CSV = {"sep": ";", "header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "encoding": "UTF-8"}
 
 
 def write_sheets(sheets: Mapping[str, DataFrame], folder: str) -> None:
-    """One ``;``-separated CSV folder with header per sheet."""
+    """One ``;``-separated CSV folder with header per sheet. All sheets are written beside ``folder``, which is then replaced by
+    renaming: a reader finds the sheets of one export. A repeated export replaces the last one."""
+    if not sheets:
+        return
+    spark = next(iter(sheets.values())).sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged, final = hadoop.Path(f"{folder.rstrip('/')}.{uuid.uuid4().hex}"), hadoop.Path(folder)
     for name, sheet in sheets.items():
-        sheet.write.mode("overwrite").option("sep", ";").option("header", True).csv(os.path.join(folder, name))
+        sheet.write.options(**CSV).csv(f"{staged}/{name}")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(final, True)
+    if not files.rename(staged, final):
+        raise OSError(f"could not publish {staged} as {final}")
+
+
+def read_sheet(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """A sheet with its types. Values may hold separators, quotes and line ends; a row that does not fit the schema is an error.
+
+    CSV does not tell an empty text from a missing one: both come back as missing."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True, mode="FAILFAST").csv(os.path.join(folder, name))
 
 
 def reload_table(table: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..session import STATE_STORE, shared_folder
 from ..sources import tables
+from ..sources.store import Store
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -85,22 +86,22 @@ def run_appending(stream: DataFrame, purpose: str, clock: Clock | None = None, u
     return spark.read.schema(stream.schema).parquet(os.path.join(folder, "rows"))
 
 
-def run_updating(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
-    """The same for update mode: every micro-batch writes its changed rows, and the last one of a key counts.
-
-    A repeated micro-batch overwrites its own folder.
+def run_updating(stream: DataFrame, keys: list[str], purpose: str, part: str) -> DataFrame:
+    """The same for update mode, into a kept table with the last row of each key: every micro-batch is merged into the partitions
+    that it touches, ``part`` being one of the keys. The table is readable, and as of the last micro-batch, at any time; a
+    repeated micro-batch changes nothing.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, purpose)
-    rows = os.path.join(folder, "rows")
+    held = Store(spark, os.path.join(folder, "table"))
+    held.create("rows", spark.createDataFrame([], stream.schema), part, keys)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(rows, f"batch={number}"))
+    def merge(batch: DataFrame, number: int) -> None:
+        Store(batch.sparkSession, held.folder).upsert("rows", batch)
 
     with rocksdb_state(spark):
-        stream.writeStream.outputMode("update").foreachBatch(write).option(
+        stream.writeStream.outputMode("update").foreachBatch(merge).option(
             "checkpointLocation", os.path.join(folder, "checkpoint")
         ).trigger(availableNow=True).start().awaitTermination()
-    rest = [c for c in stream.columns if c not in keys]
-    return spark.read.parquet(rows).groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(*keys, "r.*")
+    held.clean()
+    return held.read("rows")

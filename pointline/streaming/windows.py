@@ -22,9 +22,10 @@ def week_points(entries: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def hour_points(entries: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Signed points per player and hour, emitted once the hour is over by the watermark."""
+    """Signed points per player and hour: in append mode once the hour is over by the watermark, in update mode so far."""
+    hour = cal.as_wall_clock(F.col("w.start"))
     return entries.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour").alias("w"), "player_id").agg(
-        F.sum("points").alias("points")).select("player_id", cal.as_wall_clock(F.col("w.start")).alias("hour"), "points")
+        F.sum("points").alias("points")).select("player_id", hour.alias("hour"), F.to_date(hour).alias("day"), "points")
 
 
 def month_points(entries: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def test_weeks_are_emitted_when_over(spark, entries, ledger, players):
 
 
 def test_months_grow(spark, entries, ledger, players):
-    stream = windows.per_team(sources.run_updating(windows.month_points(entries), ["player_id", "month"], "months"), players, "month")
+    stream = windows.per_team(sources.run_updating(windows.month_points(entries), ["player_id", "month"], "months", "month"), players, "month")
     batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("month",)).withColumn(
         "month", F.date_format("period_start", "yyyy-MM"))
     columns = ("team", "month", "points")
@@ -131,12 +131,21 @@ def test_shared_folder_follows_the_setting():
 
 
 def test_weeks_so_far(entries, ledger, players):
-    stream = windows.per_team(sources.run_updating(windows.week_points(entries), ["player_id", "week_start"], "weeks"), players, "week_start")
+    stream = windows.per_team(sources.run_updating(windows.week_points(entries), ["player_id", "week_start"], "weeks", "week_start"), players, "week_start")
     batch = rollups.team_period_points(rollups.player_days(ledger), players, period_types=("week",))
     found = rows_of(stream.withColumn("period_start", F.to_date("week_start")), "team", "period_start", "points")
     assert found == rows_of(batch, "team", "period_start", "points")
 
 
+def test_hours_so_far_are_kept_by_key(entries, ledger, players):
+    """One row per player and hour, the last day's hours among them, from seven micro-batches."""
+    kept = sources.run_updating(windows.hour_points(entries), ["player_id", "hour", "day"], "hours", "day")
+    assert kept.count() == kept.select("player_id", "hour").distinct().count()
+    found = rows_of(windows.per_team(kept, players, "hour"), "team", "hour", "points")
+    assert found == rows_of(snapshots.team_hours(ledger, players), "team", "hour", "points")
+    assert max(h for _, h, _ in found) == ledger.agg(F.max("ts")).first()[0].replace(minute=0)
+
+
 def test_stream_reads_a_file_a_folder_and_no_neighbour(spark, tmp_path):
     rows = spark.range(10).selectExpr(
         "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")

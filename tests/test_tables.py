@@ -128,6 +128,19 @@ def test_csv_sheets(spark, make_ledger, make_players):
     assert rows_of(teams, "team", "avg_score") == [("T", "3.5"), ("U", "0")]
 
 
+def test_sheets_are_read_back_as_they_were(spark):
+    odd = spark.createDataFrame([("a;b", 'say "x"', 1, 2.5), ("two\nlines", "", 2, None), (None, "é", None, 0.1), ('"', "\\", 3, 1.0), ("", "end\\", 4, None)],
+                                "a string, b string, n int, x double")
+    folder = shared_folder(spark, "odd-sheets")
+    for rows in (odd.limit(1), odd):  # the second export replaces the first as a whole
+        sinks.write_sheets({"odd": rows, "more": rows.select("n")}, folder)
+    wanted = odd.replace("", None, ["a", "b"])
+    assert sorted(map(str, sinks.read_sheet(spark, folder, "odd", odd.schema).collect())) == sorted(map(str, wanted.collect()))
+    assert sinks.read_sheet(spark, folder, "more", odd.select("n").schema).where("n IS NOT NULL").count() == 4
+    sinks.write_sheets({"odd": odd}, folder)
+    assert not os.path.exists(os.path.join(folder.removeprefix("file://"), "more"))
+
+
 # corrections ---------------------------------------------------------------------------------------------------------
 
 def test_undo_then_replay_restores_state(make_ledger):
