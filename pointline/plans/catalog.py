@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +103,20 @@ class Inputs:
     def summary(self) -> DataFrame:
         return awards.entry_summary(self.recent(), S.PRAISE)
 
+    @once
+    def keyworded(self) -> DataFrame:
+        """The entries that a keyword rule can look at, for all such rules in one pass."""
+        return self.recent().where(text.contains_any(F.col("action"), (*S.HARD, *S.VOLUNTEER)))
+
     def store(self) -> Inputs:
-        """Writes days and entry summary to tables and works on with these, for queries that use them in many places."""
-        for name in ("days", "summary"):
-            self.frames[name] = sinks.reload_table(getattr(self, name)(), shared_folder(self.spark, name))
+        """Writes what many rules share to tables and works on with these; what doesn't build on each other is written at a time."""
+        def write(name: str, frame: DataFrame) -> None:
+            self.frames[name] = sinks.reload_table(frame, shared_folder(self.spark, name))
+        for names in (("days", "summary", "keyworded"), ("active_scores", "team_gains")):
+            frames = [getattr(self, name)() for name in names]
+            with ThreadPoolExecutor(len(names)) as pool:
+                list(pool.map(write, names, frames))
+        self.frames["active"] = self.active_scores().select("player_id", "name", "team")
         return self
 
     @once
@@ -114,7 +125,7 @@ class Inputs:
 
     @once
     def badges(self) -> DataFrame:
-        return awards.first_time_awards(self.recent(), self.summary(), self.days(), S.HARD)
+        return awards.first_time_awards(self.keyworded(), self.summary(), self.days(), S.HARD)
 
     @once
     def team_gains(self) -> DataFrame:
@@ -122,7 +133,7 @@ class Inputs:
 
     @once
     def team_badges(self) -> DataFrame:
-        ledger, players, days = self.recent(), self.active(), self.days()
+        players, days = self.active(), self.days()
         scores = self.active_scores()
         parts = [
             awards.rocket_launch(self.team_gains(), S.WEEK_POINTS),
@@ -132,7 +143,7 @@ class Inputs:
             awards.united(scores, state.team_last_negative(self.summary(), players), S.AS_OF, S.UNITED_DAYS),
             awards.perfect_balance(scores, S.AS_OF, *S.BALANCE),
             awards.harmony(scores, S.AS_OF, S.HARMONY_GAP, S.HARMONY_MONTH),
-            awards.mutual_support(ledger, players, S.AS_OF, S.VOLUNTEER),
+            awards.mutual_support(self.keyworded(), players, S.AS_OF, S.VOLUNTEER),
         ]
         result = parts[0]
         for part in parts[1:]:
