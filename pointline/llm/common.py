@@ -6,6 +6,8 @@ whole texts; ``pieces`` only bounds how many texts are in memory at once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import warnings
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 PIECE_BYTES = 1 << 19
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -44,10 +47,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
-    """Writes to a new folder below ``spark.checkpoint.dir`` and reads it again: cuts lineage, survives lost executors."""
-    path = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Writes to a new folder below ``spark.checkpoint.dir`` and reads it again: cuts lineage, survives lost executors.
+
+    Batches for Python workers hold ``BATCH_BYTES`` at most meanwhile, as both sides keep a copy of each.
+    """
+    spark, path = frame.sparkSession, shared_folder(frame.sparkSession, purpose)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Returns to the system what a worker has freed, before it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def removed(spark: SparkSession, frame: DataFrame) -> None:

@@ -3,14 +3,14 @@
 A document's set are its distinct shingles of five words (A-Z lower-cased). Two documents are linked if the intersection has at least 75
 hundredths of the union. Classes are what links reach.
 
-1. Equal sets become one node, named by their smallest id. Each node has 320 MinHash samples: 64 bands of 5, and an odd sketch, a bitmap of 1024 parities
+1. Equal sets become one node, named by a hash of the set. Each node has 320 MinHash samples: 64 bands of 5, and an odd sketch, a bitmap of 1024 parities
    over the samples (a pair at the bound shares no band with probability 3e-8).
 2. In each bucket of a band the node that shares most buckets in all is the hub; every other node makes a pair with it only. The share of
    differing samples follows from the odd sketches' XOR population count; pairs that it puts far below the bound (six standard
    deviations) are dropped, the others confirmed on full sets. Links give classes.
 3. Buckets whose nodes are in different classes are left. A node can be linked across classes only through shingles that another
    class has too; where even all of these would not reach the bound, the node is settled. What remains is compared
-   pairwise, in blocks of a bounded number of nodes, on full sets. So no link between different texts is lost, and a large group of copies costs
+   pairwise, in blocks of a bounded number of nodes and shingles, on full sets. So no link between different texts is lost, and a large group of copies costs
    one pair per node and bucket.
 
 Defined results: a text with fewer than five words has its whole sequence as the one shingle; an empty or null one has an empty set, is linked
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, shingle_hashes, ship, stored, word_hashes, words_of
+from .common import give_back, mix, pieces, removed, shingle_hashes, ship, stored, word_hashes, words_of
 
 ship(__name__)
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS, BITS = 64, 5, 1024
 SAMPLES = BANDS * ROWS
-BLOCK = 192
+BLOCK, BLOCK_SHINGLES = 192, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -84,8 +84,13 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def named(shingles: np.ndarray) -> int:
+    """A number for a set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, bands, sketch of every row; the last three are null for empty sets."""
+    """doc_id, n_shingles, node, bands, sketch of every row; the last three are null for empty sets. ``node`` names the set."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, mask = _families()
         for batch in batches:
@@ -95,29 +100,43 @@ def signed(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     if len(s):
                         sample = samples(s, factor, mask)
-                        names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                        names.append(named(s))
                         bands.append(band_keys(sample))
                         sketches.append(odd_sketch(sample))
                     else:
                         for column in (names, bands, sketches):
                             column.append(None)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(first, len(piece)), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                    batch.column("doc_id").slice(first, len(piece)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+                    ["doc_id", "n_shingles", "node", "bands", "sketch"])
+        give_back()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles bigint, set_id binary, bands array<bigint>, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted set."""
+    """node and sorted set of every row that has a set."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, piece in pieces(batch.column("text")):
-                sets = [s.view(np.int64) for s in shingle_sets(piece)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(piece)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, set array<bigint>")
+            for _, piece in pieces(batch.column("text")):
+                sets = [s for s in shingle_sets(piece) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(named, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "set"])
+        give_back()
+    return docs.select("text").mapInArrow(rows, "node bigint, set array<bigint>")
+
+
+def sets_of(docs: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and set, once, of each of ``nodes`` (node, doc_id: one of the documents that have it). ``full`` has a row per document with a set.
+
+    Nearly all ids stand in one row; of the others all rows are looked at.
+    """
+    often = full.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    chosen = nodes.select("node", "doc_id")
+    once = full_sets(docs.join(chosen.join(often, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi"))
+    shared = chosen.join(often, "doc_id", "left_semi")
+    more = full_sets(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi")).join(shared.select("node"), "node", "left_semi")
+    return once.union(more.groupBy("node").agg(F.first("set").alias("set")))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -132,6 +151,7 @@ def shared_size(a: str, b: str) -> Column:
     def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in columns:
             yield pa.array([len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), True)) for x, y in zip(left, right)], pa.int64())
+        give_back()
     batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "bigint").asNondeterministic()(F.col(a), F.col(b))
 
@@ -141,16 +161,18 @@ def components(links: DataFrame) -> DataFrame:
     their labels' labels, until nothing changes; every round is a written table."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    before = None
+    before, spark = None, links.sparkSession
     while True:
         total = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before or total is None:
+            removed(spark, both)
             return label
         before = total
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("near"))
         new = label.join(near, label.node == near.a, "left").select("node", F.least("label", "near").alias("label"))
         ends = label.select(F.col("node").alias("_end"), F.col("label").alias("_jump"))
-        label = stored(new.join(ends, new.label == ends._end, "left").select("node", F.least("label", "_jump").alias("label")), "labels")
+        label, last = stored(new.join(ends, new.label == ends._end, "left").select("node", F.least("label", "_jump").alias("label")), "labels"), label
+        removed(spark, last)
 
 
 def linked_in_block(percent: int):
@@ -182,13 +204,15 @@ def linked_in_block(percent: int):
                 if label[i] != label[j] and (side[i] == 2 or side[i] != side[j]):
                     a.append(node[i])
                     b.append(node[j])
-        return pa.table({"a": pa.array(a, group["node"].type), "b": pa.array(b, group["node"].type)})
+        del sets
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return links
 
 
 def rest(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): the links between nodes of different classes that a bucket brings together. ``shared`` has node, key and size."""
-    kind = shared.schema["node"].dataType.simpleString()
+    spark = shared.sparkSession
     known = shared.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
 
     def mixed(rows: DataFrame, *more) -> DataFrame:
@@ -202,55 +226,69 @@ def rest(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     # with r shingles that another class has too, and a partner of n words at least: r / (size + n - r) is the most there can be
     partner = F.greatest("least", F.ceil(F.col("size") * percent / 100))
     able = (100 + percent) * F.col("reach") >= percent * (F.col("size") + partner)
-    left = stored(mixed(open_rows.join(reach, "node").where(able).select("key", "node", "label")), "left")
+    left = stored(mixed(open_rows.join(reach, "node").where(able).select("key", "node", "label", "size")), "left")
+    removed(spark, open_rows)
 
     stars = left.join(left.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
     clusters = components(stars).withColumnRenamed("label", "cluster")
-    nodes = left.select("node", "label").distinct().join(clusters, "node")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    nodes = left.select("node", "label", "size").distinct().join(clusters, "node")
+    # a block has BLOCK nodes and BLOCK_SHINGLES shingles on average, or a single larger set
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = nodes.groupBy("cluster").agg(blocks.alias("blocks"))
+    nodes = stored(nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    removed(spark, left)
+    small = nodes.where("blocks = 1").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    packs = 1 + max(small.n // BLOCK, small["size"] // BLOCK_SHINGLES)
     # every pair of blocks is a group; small clusters share groups
     nodes = nodes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     nodes = nodes.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     nodes = nodes.withColumn("side", F.when(F.col("low") == F.col("high"), 2).otherwise((F.col("block") == F.col("high")).cast("int")))
-    small = nodes.where("blocks = 1").count() // BLOCK + 1
-    nodes = nodes.withColumn("pack", F.when(F.col("blocks") > 1, F.col("cluster").cast("string")).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("cluster"), F.lit(small)).cast("string"))))
+    nodes = nodes.withColumn("pack", F.when(F.col("blocks") > 1, F.col("cluster").cast("string")).otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string"))))
     rows = nodes.join(sets, "node").select("pack", "low", "high", "cluster", "side", "node", "label", "set")
-    return rows.groupBy("pack", "low", "high").applyInArrow(linked_in_block(percent), f"a {kind}, b {kind}")
+    return rows.groupBy("pack", "low", "high").applyInArrow(linked_in_block(percent), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, margin: float = 0.17) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     signs = stored(signed(docs), "signs")
     full = signs.where("n_shingles > 0 and doc_id is not null")
-    nodes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"),
-                                              F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"),
+                                            F.first("sketch").alias("sketch")), "nodes")
     buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
     filled = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(buckets.join(filled, "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
-    pairs = shared.join(hubs.select("key", (-F.col("hub.node")).alias("hub")), "key").where("node <> hub").select(
+    hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("hub"))).alias("_hub"))
+    pairs = shared.join(hubs.select("key", "_hub.hub"), "key").where("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    sketches = nodes.select("node", "size", "sketch").join(weight.select("node"), "node", "left_semi")
+    met = nodes.join(weight.select("node"), "node", "left_semi")
     for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = pairs.join(met.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = stored(pairs.where(likeness("sketch_a", "sketch_b") >= percent / 100 - margin).select("a", "b", "size_a", "size_b"), "pairs")
 
-    sets = docs.join(weight.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(full_sets(sets).withColumnRenamed("doc_id", "node"), "sets")
+    sets = stored(sets_of(docs, full, met), "sets")
     both = pairs
     for side in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = both.withColumn("shared", shared_size("set_a", "set_b")).select("a", "b", "size_a", "size_b", "shared")
     links = stored(both.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"), "links")
-    more = stored(rest(shared, sets, components(links), percent), "rest")
-    label = components(links.union(more))
-
-    named = full.select("doc_id", "set_id").join(nodes.select("set_id", "node"), "set_id").join(label, "node", "left")
-    own = named.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
+    label = components(links)
+    more = stored(rest(shared, sets, label, percent), "rest")
+    for done in (pairs, shared, sets, label):
+        removed(spark, done)
+    # rows of one id are one document, whatever sets they have
+    ids = full.select("doc_id", "node").distinct()
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_high")).where("a < _high").select("doc_id", "a")
+    same = ids.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+    label = components(links.union(more).union(same))
+    for done in (links, more):
+        removed(spark, done)
+
+    classed = ids.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    first = classed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    own = classed.distinct().join(first, "label").select("doc_id", "component_id")
     out = signs.select("doc_id", "n_shingles").join(own, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

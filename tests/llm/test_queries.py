@@ -131,6 +131,45 @@ def test_near_group_without_a_common_hub(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(label))
 
 
+def linked_by_hand(rows):
+    """Classes of documents whose sets are compared pair by pair; rows of one id are one document."""
+    sets = []
+    for d, t in rows:
+        w = t.lower().split()
+        sets.append((d, {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}))
+    label = {d: d for d, _ in sets}
+    for _ in rows:
+        for a, x in sets:
+            for b, y in sets:
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    return sorted(label.items())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_rows_of_one_id_keep_their_own_sets(spark, kind):
+    """An id with a short text (10 shingles) and a long one (310): what is like the short one is linked, what is like neither is not."""
+    words = [f"w{i}" for i in range(400)]
+    x, y = words[:14], words[50:364]
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (9, " ".join([*x[:13], "z"])), (9, " ".join([*x[:13], "z"])), (7, " ".join(words[364:400])), (5, " ".join(x)),
+            (3, " ".join([*x[2:], "q", "r"])), (4, " ".join([*y[:300], *(f"v{i}" for i in range(14))]))]
+    make = int if kind == "long" else str
+    got = near.classes(spark.createDataFrame([(make(d), t) for d, t in rows], f"doc_id {kind}, text string")).select("doc_id", "component_id").distinct().collect()
+    assert sorted((int(a), int(b)) for a, b in got) == linked_by_hand(rows)
+
+
+def test_near_blocks_by_size(spark, monkeypatch):
+    """Blocks of a few shingles or nodes give the classes of one block."""
+    monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 500)
+    words, rows = prose(50, 120).split(), []
+    for k in range(24):
+        rows.append((k, " ".join(words)))
+        words[k * 37 % 120], words[(k * 53 + 11) % 120] = f"new{k}", f"more{k}"
+    got = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == linked_by_hand(rows)
+
+
 def test_secrets(spark, folder):
     got = rows_by_id(QUERIES["op3_secrets"](spark, folder))
     for d, t in TEXTS:
