@@ -10,6 +10,10 @@ place less segment place), k apart at most. So hits of an index of the segments'
 2(k+1) that overlap by half; bands that reach the bound are verified by alignment within the band, and a segment counts if its edit distance
 to some part of the region is at most k.
 
+Equal segments are searched for once. Documents are looked at in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, which is more than any
+two joined segments take; equal windows are searched once, and hits are counted in pieces of a bounded number. So memory does not grow with a document
+or with how often it repeats what an item repeats, such as separator lines.
+
 The benchmark is indexed in blocks of about half of ``block`` bytes. Each meets all documents in one scan without a shuffle, and its findings are written
 before the next is collected, so the driver holds one block at a time; a single block stays in the caller's plan. A document is in one task only, whole.
 
@@ -27,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, stored
+from .common import give_back, pieces, ship, span_hashes, stored
 
 ship(__name__)
 
-LEAKS = "array<struct<item_id:bigint,n_found:int,n_segments:int,start:int,end:int>>"
+LEAKS = "array<struct<item_id:{},n_found:int,n_segments:int,start:int,end:int>>"
 TABLE_BITS = 22
 STRIDE = 10
+WINDOW, OVERLAP = 4096, 512
+HITS = 1 << 20
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -63,16 +69,18 @@ def gram_codes(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of benchmark items, and where each q-gram stands in them, ordered by code."""
+    """Different segments of benchmark items (bytes to offsets), where each q-gram stands in them, ordered by code, and the places that a
+    segment has in items, ordered by segment."""
 
     q: int
     step: int
     length: int
-    items: np.ndarray
+    items: list
     item_bytes: list[np.ndarray]
-    segment_item: np.ndarray
-    segment_start: np.ndarray
+    place_item: np.ndarray
+    place_start: np.ndarray
     whole: np.ndarray
+    places: np.ndarray
     bytes: np.ndarray
     sizes: np.ndarray
     budgets: np.ndarray
@@ -94,8 +102,8 @@ def short_starts(data: np.ndarray, size: int) -> list[int]:
     return out
 
 
-def index_of(rows: list[tuple[int, str]], length: int, edits: int, q: int) -> Index | None:
-    segments, owner, places, whole, folds = [], [], [], [], []
+def index_of(rows: list[tuple], length: int, edits: int, q: int) -> Index | None:
+    number, segment, owner, starts_at, whole, folds = {}, [], [], [], [], []
     short = length * 2 // 3
     for at, (_, text) in enumerate(rows):
         raw = np.frombuffer((text or "").strip().encode(), np.uint8)
@@ -110,26 +118,28 @@ def index_of(rows: list[tuple[int, str]], length: int, edits: int, q: int) -> In
         if len(data) > length and short >= q:
             cuts += [(s, short) for s in short_starts(data, short)]
         for s, size in cuts:
-            segments.append(data[s:s + size])
+            segment.append(number.setdefault(data[s:s + size].tobytes(), len(number)))
             owner.append(at)
-            places.append(s)
+            starts_at.append(s)
             whole.append(size == length)
-    if not segments:
+    if not number:
         return None
-    sizes = np.array([len(s) for s in segments])
+    sizes = np.array([len(s) for s in number])
     budgets = np.minimum(sizes * edits // length, np.maximum(0, (sizes - q) // q))
-    padded = np.zeros((len(segments), length), np.uint8)
+    padded = np.zeros((len(number), length), np.uint8)
     codes, where, offsets = [], [], []
-    for i, s in enumerate(segments):
-        padded[i, :len(s)] = s
-        c = gram_codes(s, q)
+    for s, i in number.items():
+        padded[i, :len(s)] = np.frombuffer(s, np.uint8)
+        c = gram_codes(padded[i, :len(s)], q)
         codes.append(c)
         where.append(np.full(len(c), i, np.int32))
         offsets.append(np.arange(len(c), dtype=np.int32))
     codes, where, offsets = map(np.concatenate, (codes, where, offsets))
     order = np.argsort(codes, kind="stable")
     unique, first = np.unique(codes[order], return_index=True)
-    return Index(q, edits + 1, length, np.array([i for i, _ in rows], np.int64), folds, np.array(owner), np.array(places), np.array(whole), padded, sizes, budgets, sizes - q + 1 - budgets * q,
+    placed = np.argsort(segment, kind="stable")
+    return Index(q, edits + 1, length, [i for i, _ in rows], folds, np.array(owner)[placed], np.array(starts_at)[placed], np.array(whole)[placed],
+                 np.searchsorted(np.array(segment)[placed], np.arange(len(number) + 1)), padded, sizes, budgets, sizes - q + 1 - budgets * q,
                  unique, np.append(first, len(order)), where[order], offsets[order])
 
 
@@ -173,14 +183,21 @@ def found_in(index: Index, data: np.ndarray, edges: np.ndarray, table: np.ndarra
     at, slot, text = at[inside], slot[inside], text[inside]
     if not len(at):
         return none
+    bands = (np.diff(edges).max() + index.length) // index.step + 2
     times = index.begins[slot + 1] - index.begins[slot]
     stop = np.cumsum(times)
-    hit = np.arange(stop[-1]) + np.repeat(index.begins[slot] - (stop - times), times)
-    text, segment = np.repeat(text, times), index.segments[hit]
-    diagonal = np.repeat(at, times) - edges[text] - index.offsets[hit] + index.length  # 0 or more
-    bands = (np.diff(edges).max() + index.length) // index.step + 2
-    key = (text * len(index.sizes) + segment) * bands + diagonal // index.step + 1
-    keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+    held, cut = [], 0
+    while cut < len(at):  # a bounded number of hits at a time; one place at least
+        end = max(cut + 1, int(np.searchsorted(stop, (stop[cut - 1] if cut else 0) + HITS, "right")))
+        n, base = times[cut:end], stop[cut - 1] if cut else 0
+        hit = np.arange(stop[end - 1] - base) + np.repeat(index.begins[slot[cut:end]] - (stop[cut:end] - n - base), n)
+        owner = np.repeat(text[cut:end], n)
+        diagonal = np.repeat(at[cut:end], n) - edges[owner] - index.offsets[hit] + index.length  # 0 or more
+        key = (owner * len(index.sizes) + index.segments[hit]) * bands + diagonal // index.step + 1
+        held.append(np.unique(np.concatenate([key, key - 1]), return_counts=True))
+        cut = end
+    keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([c for _, c in held]), len(keys))
     segment = keys // bands % len(index.sizes)
     good = counts >= index.bounds[segment]
     keys, segment = keys[good], segment[good]
@@ -209,13 +226,14 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def passage(index: Index, data: np.ndarray, item: np.ndarray, segments: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[int, int, int] | None:
-    """How many of an item's verified segments in a text (``data``) are part of a passage, and the first and last place of these; None without any."""
+def passage(index: Index, data: np.ndarray, item: np.ndarray, places: np.ndarray, sizes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[set[int], int, int] | None:
+    """Which of an item's verified segments in a text (``data``) are part of a passage, by their places in the index, and the first and last
+    byte of these; None without any."""
     chains, open_ones, reach = [], [], {}
-    for k in np.lexsort((segments, begins)).tolist():
-        segment, begin, end = int(segments[k]), int(begins[k]), int(ends[k])
-        low = int(index.segment_start[segment])
-        high = low + int(index.sizes[segment])
+    for k in np.lexsort((places, begins)).tolist():
+        segment, begin, end = int(places[k]), int(begins[k]), int(ends[k])
+        low = int(index.place_start[segment])
+        high = low + int(sizes[k])
         if end <= reach.get((begin - low, end - high), (0, None))[0]:  # within what an earlier one was lengthened to
             chain = reach[begin - low, end - high][1]
         else:
@@ -237,7 +255,36 @@ def passage(index: Index, data: np.ndarray, item: np.ndarray, segments: np.ndarr
         chain["whole"] |= bool(index.whole[segment])
         chain["segments"].add(segment)
     good = [c for c in chains if c["whole"] or c["covered"] >= index.length]
-    return (len(set().union(*(c["segments"] for c in good))), min(c["begin"] for c in good), max(c["end"] for c in good)) if good else None
+    return (set().union(*(c["segments"] for c in good)), min(c["begin"] for c in good), max(c["end"] for c in good)) if good else None
+
+
+def windows(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the windows of some texts, and the text of each."""
+    n = 1 + np.maximum(0, np.diff(cuts) - OVERLAP - 1) // (WINDOW - OVERLAP)
+    text = np.repeat(np.arange(len(n)), n)
+    begin = cuts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW - OVERLAP)
+    return begin, np.minimum(begin + WINDOW, cuts[text + 1]), text
+
+
+def passages_in(index: Index, data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> dict[int, list[tuple[int, set[int], int, int]]]:
+    """By window (item, places of its segments, begin, end in the window) of what is found in it."""
+    text, segment, begin, end = found_in(index, data, edges, table)
+    out: dict[int, list[tuple[int, set[int], int, int]]] = {}
+    if not len(text):
+        return out
+    times = index.places[segment + 1] - index.places[segment]
+    row = np.repeat(np.arange(len(text)), times)
+    place = np.arange(len(row)) + np.repeat(index.places[segment] - (np.cumsum(times) - times), times)
+    pairs, back = np.unique(text[row] * len(index.items) + index.place_item[place], return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    stops = np.searchsorted(back[order], np.arange(len(pairs) + 1))
+    for p, pair in enumerate(pairs.tolist()):
+        mine, (t, item) = order[stops[p]:stops[p + 1]], divmod(pair, len(index.items))
+        r = row[mine]
+        held = passage(index, data[edges[t]:edges[t + 1]], index.item_bytes[item], place[mine], index.sizes[segment[r]], begin[r] - edges[t], end[r] - edges[t])
+        if held:
+            out.setdefault(t, []).append((item, *held))
+    return out
 
 
 def leaks_of(index: Index, texts: pa.Array, table: np.ndarray) -> list[list[dict]]:
@@ -248,35 +295,40 @@ def leaks_of(index: Index, texts: pa.Array, table: np.ndarray) -> list[list[dict
     edges = edges - edges[0]
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     data, cuts, place = folded(raw, edges)
-    text, segment, begin, end = found_in(index, data, cuts, table)
-    if not len(text):
+    low, high, text = windows(data, cuts)
+    _, first, like = np.unique(span_hashes(data, low, high), return_index=True, return_inverse=True)
+    inside = np.arange((high[first] - low[first]).sum())
+    sizes = high[first] - low[first]
+    ends = np.cumsum(sizes)
+    found = passages_in(index, data[inside + np.repeat(low[first] - (ends - sizes), sizes)], np.append(0, ends), table)
+    if not found:
         return out
+    merged: dict[tuple[int, int], list] = {}
+    for w in np.flatnonzero(np.isin(like, list(found))).tolist():
+        for item, segments, begin, end in found[int(like[w])]:
+            begin, end = begin + int(low[w]), end + int(low[w])
+            held = merged.setdefault((int(text[w]), item), [set(), begin, end])
+            held[0] |= segments
+            held[1], held[2] = min(held[1], begin), max(held[2], end)
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    place = np.append(place, len(raw))
-    total = np.bincount(index.segment_item, minlength=len(index.items))
-    pairs, back = np.unique(text * len(index.items) + index.segment_item[segment], return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    stops = np.searchsorted(back[order], np.arange(len(pairs) + 1))
-    for p, pair in enumerate(pairs):
-        mine, t, item = order[stops[p]:stops[p + 1]], int(pair // len(index.items)), int(pair % len(index.items))
-        held = passage(index, data[cuts[t]:cuts[t + 1]], index.item_bytes[item], segment[mine], begin[mine] - cuts[t], end[mine] - cuts[t])
-        if held:
-            low, high = place[cuts[t] + held[1]], place[cuts[t] + held[2] - 1] + 1
-            out[t].append({"item_id": int(index.items[item]), "n_found": held[0], "n_segments": int(total[item]),
-                           "start": int(point[low] - point[edges[t]]), "end": int(point[high] - point[edges[t]])})
+    total = np.bincount(index.place_item, minlength=len(index.items))
+    for (t, item), (segments, begin, end) in sorted(merged.items(), key=lambda m: m[0]):
+        out[t].append({"item_id": index.items[item], "n_found": len(segments), "n_segments": int(total[item]),
+                       "start": int(point[place[begin]] - point[edges[t]]), "end": int(point[place[end - 1] + 1] - point[edges[t]])})
     return out
 
 
-def leaks(index: Index, column="text") -> Column:
+def leaks(index: Index, kind: str = "bigint", column="text") -> Column:
     """The items with at least one passage in a text: how many of its segments, and the first and last place of these."""
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_found", pa.int32()), ("n_segments", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+        rows = pa.list_(pa.struct([("item_id", pa.string() if kind == "string" else pa.int64()), ("n_found", pa.int32()), ("n_segments", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         table = np.zeros(1 << TABLE_BITS, bool)
         table[(index.codes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         for batch in texts:
-            yield pa.array([x for _, p in pieces(batch) for x in leaks_of(index, p, table)], kind)
+            yield pa.array([x for _, p in pieces(batch) for x in leaks_of(index, p, table)], rows)
+        give_back()
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, LEAKS).asNondeterministic()(F.col(column))
+    return F.arrow_udf(batches, LEAKS.format(kind)).asNondeterministic()(F.col(column))
 
 
 def blocks_of(benchmark: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -294,26 +346,37 @@ def indexes(items: DataFrame, blocks: int, length: int, edits: int, q: int) -> I
             yield found
 
 
+def kind_of(benchmark: DataFrame) -> str:
+    """Item ids are whole numbers or text."""
+    return "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "bigint"
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, block: int = 1 << 20, length: int = 60, edits: int = 4, q: int = 10) -> DataFrame:
     """A row for each document and item of which it holds a passage: doc_id, item_id, n_found, n_segments, start, end."""
-    out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint, n_found int, n_segments int, start int, end int")
+    kind = kind_of(benchmark)
+    out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind}, n_found int, n_segments int, start int, end int")
     items, blocks = blocks_of(benchmark, block)
     for index in indexes(items, blocks, length, edits, q):
-        found = docs.select("doc_id", F.explode(leaks(index)).alias("_leak")).select("doc_id", "_leak.*")
+        found = docs.select("doc_id", F.explode(leaks(index, kind)).alias("_leak")).select("doc_id", "_leak.*")
         out = out.union(found if blocks == 1 else stored(found, "leaks"))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = 1 << 20, length: int = 60, edits: int = 4, q: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
+    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns.
+
+    One block is a filter of the same scan. With more, each block's findings are written as the digests of the texts that hold something.
+    """
     items, blocks = blocks_of(benchmark, block)
-    gone = None
+    names, gone = docs.columns, None
+    mark = next(n for n in (f"_leaks{i}" for i in range(len(names) + 1)) if n not in names)
     for index in indexes(items, blocks, length, edits, q):
+        held = leaks(index, kind_of(benchmark))
         if blocks == 1:
-            return docs.withColumn("_leaks", leaks(index)).where(F.size("_leaks") == 0).drop("_leaks")
-        found = docs.select(F.sha2("text", 256).alias("_text"), leaks(index).alias("_leaks")).where(F.size("_leaks") > 0).select("_text")
+            return docs.withColumn(mark, held).where(F.size(mark) == 0).drop(mark)
+        found = docs.select(F.sha2("text", 256).alias(mark), held.alias("held")).where(F.size("held") > 0).select(mark)
         found = stored(found, "leaks")
         gone = found if gone is None else gone.union(found)
     if gone is None:
         return docs
-    return docs.withColumn("_text", F.sha2("text", 256)).join(gone.distinct(), "_text", "left_anti").select(*docs.columns)
+    return docs.withColumn(mark, F.sha2("text", 256)).join(gone.distinct(), mark, "left_anti").select(*names)
