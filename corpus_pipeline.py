@@ -10,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointline.llm import bpe, decontaminate, near, pii, quality_rules
-from pointline.llm.common import stored, table
-from pointline.llm.queries import PII_KEY, vocabulary
+from pointline.llm.common import removed, stored, table
+from pointline.llm.queries import pii_key, vocabulary
 
-JUDGED = "_quality_verdict"
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rows that the quality rules keep."""
     model = quality_rules.trained(docs, table(spark, folder, "labels"))
-    return docs.withColumn(JUDGED, quality_rules.judge(model)).where(F.col(JUDGED).kept).drop(JUDGED)
+    verdict = free_name(docs, "verdict")
+    return docs.withColumn(verdict, quality_rules.judge(model)).where(F.col(verdict).kept).drop(verdict)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -35,7 +41,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def hide_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts with pseudonyms; the number of characters follows."""
-    out = docs.withColumn("_hidden", pii.pseudonymised(PII_KEY)).withColumn("text", F.col("_hidden.text")).drop("_hidden")
+    hidden = free_name(docs, "hidden")
+    out = docs.withColumn(hidden, pii.pseudonymised(pii_key())).withColumn("text", F.col(f"{hidden}.text")).drop(hidden)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -60,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, folder), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, folder), name.replace(" ", "-"))
+        if k:
+            removed(spark, before)
     return STAGES[-1][1](spark, docs, folder)

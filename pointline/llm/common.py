@@ -186,51 +186,41 @@ def learnable(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 != 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> tuple[list[tuple[str, int]], int, int]:
-    """Whole texts with their quality label, in the order of a hash of the id, until ``rows`` of them or ``size`` bytes are full; how many ids had
-    a label, and how many of them only longer texts.
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame | None:
+    """doc_id, quality, _place and _hash of the first ``rows`` ids, in the order of a hash of the id, that may be learned from and have a text; of
+    an id's texts the one of least hash. ``rows`` is a parameter of the classifiers that learn from them. None without any.
 
-    These bounds are parameters of the classifiers that learn from it. A text of over a twentieth of ``size`` is passed over. Of several rows of an
-    id the shortest text counts. Rows without id, label or text are passed over.
+    Rows without id, label or text are passed over; an id with several labels has the greatest. No text is too long.
     """
-    most, order = size // 20, [F.col("_place"), F.col("doc_id")]
-    ids = (labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(learnable())
-           .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("_place", F.xxhash64("doc_id")))
-    texts = docs.select("doc_id", "text").where("text is not null")
-
-    def shortest(some: DataFrame) -> DataFrame:
-        row = F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("hash"))
-        return texts.join(some, "doc_id").groupBy("_place", "doc_id", "quality").agg(F.min(row).alias("_row"))
-    head = ids.orderBy(*order).limit(rows)
-    labelled, last = head.agg(F.count("*"), F.max(F.struct(*order))).first()
-    seen = sorted(shortest(F.broadcast(head)).collect())  # at most ``rows`` ids
-    got = [r for r in seen if r["_row"].n <= most]
-    long = len(seen) - len(got)
-    if labelled == rows and len(got) < rows and sum(r["_row"].n for r in got) < size:  # the first ids had too few texts
-        rest = ids.where((order[0] > last["_place"]) | (order[0] == last["_place"]) & (order[1] > last["doc_id"]))
-        got += sorted(shortest(rest).where(F.col("_row.n") <= most).orderBy(*order).limit(rows - len(got)).collect())
-    total, chosen = 0, []
-    for r in got:
-        total += r["_row"].n
-        if total > size:
-            break
-        chosen.append((r["doc_id"], r["_place"], r["quality"], r["_row"].n, r["_row"].hash))
-    if not chosen:
-        return [], labelled, long
+    ids = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(learnable()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_hash"))
+    found = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min("_hash").alias("_hash"), F.max("quality").alias("quality")).withColumn("_place", F.xxhash64("doc_id"))
+    head = found.orderBy("_place", "doc_id").limit(rows).collect()  # at most ``rows`` ids
+    return docs.sparkSession.createDataFrame(head, found.schema) if head else None
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, rows: int, features) -> list[tuple[bytes, int]]:
+    """What ``features`` makes of the labelled texts, made where the texts are, with their labels. ``features`` takes a slice of texts that ``pieces``
+    gave and returns a few bytes for each."""
+    chosen = labelled_rows(docs, labels, rows)
+    if chosen is None:
+        return []
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, piece in pieces(batch.column("text")):
+                part = batch.slice(at, len(piece)).drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(features(piece), pa.binary())], [*part.schema.names, "features"])
+        give_back()
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(F.broadcast(chosen), ["doc_id", "_hash"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, _place bigint, quality int, _n int, _hash bigint")
-    found = texts.join(F.broadcast(chosen), "doc_id").where((F.octet_length("text") == F.col("_n")) & (F.xxhash64("text") == F.col("_hash")))
-    found = found.groupBy("_place", "doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    return [(r.text, int(r.quality)) for r in sorted(found)], labelled, long
+    found = texts.select("doc_id", "_place", "quality", "text").mapInArrow(made, f"doc_id {kind}, _place bigint, quality int, features binary")
+    once = found.groupBy("_place", "doc_id", "quality").agg(F.first("features").alias("features")).collect()  # at most ``rows`` ids
+    return [(bytes(r.features), r.quality) for r in sorted(once, key=lambda r: (r._place, r.doc_id))]
 
 
-def fitted(fit, docs: DataFrame, labels: DataFrame, rows: int, size: int):
-    """What ``fit`` makes of the labelled sample. None only without usable labels, with a warning if there are any; an error if texts were too long."""
-    sample, labelled, long = labelled_sample(docs, labels, rows, size)
-    model = fit(sample)
+def warn_without_model(module: str, model, labelled: int):
+    """The model; a warning if there were labels and none came of them."""
     if model is None and labelled:
-        said = f"{fit.__module__}: no model could be fitted from {len(sample)} texts; of {labelled} labelled ids looked at first, {long} have only texts of over {size // 20} bytes"
-        if long:
-            raise ValueError(said)
-        warnings.warn(said, RuntimeWarning, stacklevel=2)
+        warnings.warn(f"{module}: no model could be fitted from {labelled} labelled texts", RuntimeWarning, stacklevel=3)
     return model

@@ -5,7 +5,11 @@ Found and validated: e-mail addresses, IPv4 addresses (each part 0-255), payment
 number within its format and permuted by a keyed Feistel network; values outside the format are walked past (cycle walking), so
 the map is a permutation of the valid values: equal values get equal pseudonyms in every document, different values different
 ones, and the key's holder can turn them back. Case, separators and padding stay; check digits are made anew, so a pseudonym of
-a card or an IBAN is valid again. Numbers that fail validation are left alone.
+a card or an IBAN is valid again. Numbers that fail validation are left alone. A day that is written with another number of digits
+(``5/7/1990``, ``05/07/1990``) has another pseudonym, as each is permuted among the days that can be written like it.
+
+Not found: North American phone numbers and social security numbers with spaces or without separators, IPv6 addresses, dates with the
+month's name, IBANs in lower case or with hyphens, cards with dots or several spaces, phones with no-break spaces.
 
 At a place every length that the format allows is tried, and cards and IBANs may start and end at any group, so that an expiry, a security code, a
 BIC or a number beside a value doesn't hide it. What then validates by chance with its neighbours (a tenth of such digit groups for cards) is taken too.
@@ -52,11 +56,10 @@ NUMBERS = {
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?!\w)"),
-    "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?:(?<=-[0-9][0-9])(?=T[0-9]{2})|(?![\w-]))(?![./][0-9])"),
+    "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?:(?<=-[0-9][0-9])(?=T[0-9]{2})|(?![\w-]))(?![./][0-9])"),
 }
 #: The values whose pseudonym can have another length.
-SHAPES = {"ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-          "date": re.compile(r"[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4}")}
+SHAPES = {"ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")}
 
 
 class Feistel:
@@ -223,17 +226,20 @@ def is_date(value: str) -> bool:
 
 
 def date(value: str, key: bytes, step: str) -> str:
+    """A day among those that can be written in the same order and with the same number of digits."""
     day, order = day_of(value)
     network, number = Feistel(key, "date", DAYS), day.toordinal() - FIRST_DAY
-    fields, shapes = None, re.split("[^0-9]", value)
+    sizes = [len(p) for p in re.findall("[0-9]+", value)]
     while True:
         number = getattr(network, step)(number)
         new = dt.date.fromordinal(number + FIRST_DAY)
         fields = {"y": new.year, "m": new.month, "d": new.day}
-        given = iter(str(fields[f]).zfill(2 if shape[0] == "0" or len(shape) == 2 else 1) for f, shape in zip(order, shapes))
-        said = re.sub("[0-9]+", lambda _: next(given), value)
-        if day_of(said)[1] == order:  # else it would be read in the other order and not turn back
-            return said
+        parts = [str(fields[f]).zfill(n) for f, n in zip(order, sizes)]
+        if [len(p) for p in parts] == sizes:
+            given = iter(parts)
+            said = re.sub("[0-9]+", lambda _: next(given), value)
+            if day_of(said)[1] == order:  # else it would be read in the other order and not turn back
+                return said
 
 
 def email(value: str, key: bytes, step: str) -> str:
@@ -328,7 +334,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
 
 
 def moved_spans(text: str, spans: list[dict]) -> list[tuple[int, int, str]]:
-    """Where the values of the spans of a text stand in its pseudonymised form; only dates and IPv4 addresses change their length."""
+    """Where the values of the spans of a text stand in its pseudonymised form; only IPv4 addresses change their length."""
     out, shift = [], 0
     for s in spans:
         begin, end = s["start"] + shift, s["end"] + shift

@@ -1,13 +1,18 @@
 """Quality of a text: random-indexing word vectors, pooled, and a small network with a calibrated temperature.
 
-Random indexing: each word has a sparse index vector drawn from the hashes of its first and last three bytes and its length class; the vector of such an affix
-is the sum of the index vectors of the words around it in the sample. A word's vector is its index vector and the vectors of
-its two affixes. A document is the mean of its words' vectors, the mean product of neighbouring words' vectors, and the logarithm
-of its number of words. Two layers (tanh, then one logit) are trained on a bounded sample (``rows`` texts, ``size`` bytes at most) of the labelled rows that may
-be learned from; a temperature is fitted on a part of the sample that training has not seen.
-
-Defined results: a null or text without words is scored like any other, with zero vectors. Without usable labels
-every score is 0.5. Rows are judged each on its own; labels, language, source and id are no inputs of a score.
+Random indexing: each word has a sparse index vector, drawn from the word's 64-bit hash. The ``words`` most frequent words of the corpus also have a
+context vector: the sum of the index vectors of all words within two places of them, over all documents, scaled to one length. A
+word's vector is its index vector plus its context vector. Rarer words fall back on the two vectors, made in the same way, of all words that begin with their
+first three bytes and of all that end with their last three and have their length class. A document is the mean of its
+words' vectors, the mean product of neighbouring words' vectors, and the logarithm of its number of words. Two layers (tanh, then
+one logit) are trained on a bounded sample (``rows`` ids) of the labelled rows that may be learned from; a temperature is fitted on a part
+of the sample that training has not seen.
+
+Word counts and context sums are added up in each task first, then by Spark over all tasks. The driver holds what the parameters bound: ``words`` and
+8192 vectors of 32 numbers, and 65 numbers per sampled row.
+
+Defined results: a null text or one without words is scored like any other, with zero vectors. Without usable labels
+every score is 0.5. Rows are judged each on its own; labels, language, source and id are no inputs of a score. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,19 +25,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fitted, mix, pieces, ship, span_hashes, words_of
+from .common import Words, give_back, labelled_features, mix, pieces, ship, span_hashes, stored, warn_without_model, word_hashes, words_of
 
 ship(__name__)
 
-WIDTH, BITS, AFFIX, SIGNS = 32, 12, 3, 4
+WIDTH, SIGNS, REACH = 32, 4, 2
+WORDS = 1 << 14
+COUNTED = 1 << 20
+BITS, AFFIX = 12, 3
 
 
-def index_vectors(buckets: int, seed: int) -> np.ndarray:
-    """Sparse vectors of +1 and -1, one for each bucket."""
-    out = np.zeros((buckets, WIDTH), np.float32)
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """Sparse vectors of +1 and -1."""
+    out = np.zeros((len(hashes), WIDTH), np.float32)
+    at = np.arange(len(hashes))
     for k in range(SIGNS):
-        h = mix(np.arange(buckets, dtype=np.uint64) * np.uint64(16) + np.uint64(k) + np.uint64(seed << 40))
-        np.add.at(out, (np.arange(buckets), (h % np.uint64(WIDTH)).astype(np.int64)), np.where(h >> np.uint64(63), 1, -1))
+        h = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 2**64 - 1))
+        out[at, (h % np.uint64(WIDTH)).astype(np.int64)] += np.where(h >> np.uint64(63), np.float32(1), np.float32(-1))
     return out
 
 
@@ -46,15 +55,93 @@ def affixes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (head & mask).astype(np.int64), (tail & mask).astype(np.int64) + (1 << BITS)
 
 
-def pooled(words: Words, head: np.ndarray, tail: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """A row per text: mean vector, mean product of neighbours, log of the number of words."""
-    texts, n = len(words.edges) - 1, np.diff(words.firsts)
-    out = np.zeros((texts, 2 * WIDTH + 1), np.float32)
+def found_at(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash in the sorted vocabulary, and whether it is there."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return place, vocabulary[place] == hashes
+
+
+def frequent_words(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the words that stand most often in all texts, sorted; of equally frequent ones those of least hash."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> pa.RecordBatch:
+            hashes, back = np.unique(np.concatenate([h for h, _ in seen]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([c for _, c in seen]), len(hashes)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
+        seen, size = [], 0
+        for batch in batches:
+            for _, piece in pieces(batch.column("text")):
+                seen.append(np.unique(word_hashes(words_of(piece)), return_counts=True))
+                size += len(seen[-1][0])
+                if size > COUNTED:
+                    yield given()
+                    seen, size = [], 0
+        if size:
+            yield given()
+        give_back()
+    most = docs.where("text is not null").select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    most = most.orderBy(F.desc("n"), "word").limit(words).collect()  # bounded by the parameter
+    return np.sort(np.array([r.word for r in most], np.int64).view(np.uint64))
+
+
+def add_contexts(sums: np.ndarray, words: Words, hashes: np.ndarray, vocabulary: np.ndarray) -> None:
+    """Adds the index vectors around each word to the rows of its vocabulary place and, after these, of its two affixes."""
+    if len(hashes) < 2:
+        return
+    index, owner = index_vectors(hashes), np.repeat(np.arange(len(words.counts)), words.counts)
+    around = np.zeros_like(index)
+    for gap in range(1, REACH + 1):
+        same = (owner[gap:] == owner[:-gap])[:, None]
+        around[:-gap] += index[gap:] * same
+        around[gap:] += index[:-gap] * same
+    slot, known = found_at(vocabulary, hashes)
+    known = np.flatnonzero(known)
+    head, tail = affixes(words)
+    for rows, values in ((slot[known], around[known]), (head + len(vocabulary), around), (tail + len(vocabulary), around)):
+        order = np.argsort(rows, kind="stable")
+        keys, first = np.unique(rows[order], return_index=True)
+        if len(keys):
+            sums[keys] += np.add.reduceat(values[order], first, axis=0)
+
+
+def contexts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """A row per word of the vocabulary, and then per affix: index vector plus context vector over all documents."""
+    names, rows = [f"v{k}" for k in range(WIDTH)], len(vocabulary) + (2 << BITS)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((rows, WIDTH))
+        for batch in batches:
+            for _, piece in pieces(batch.column("text")):
+                words = words_of(piece)
+                add_contexts(sums, words, word_hashes(words), vocabulary)
+        some = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(sums[some, k].astype(np.int64)) for k in range(WIDTH))], ["slot", *names])
+        give_back()
+    parts = docs.where("text is not null").select("text").mapInArrow(add_up, "slot int, " + ", ".join(f"{n} bigint" for n in names))
+    table = stored(parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]), "contexts").toPandas()  # ``rows`` at most
+    sums = np.zeros((rows, WIDTH))
+    sums[table["slot"].to_numpy()] = table[names].to_numpy()
+    own = index_vectors(np.concatenate([vocabulary, mix(np.arange(2 << BITS, dtype=np.uint64))]))
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (own + sums / np.maximum(length, 1e-9) * np.sqrt(SIGNS)).astype(np.float32) / 2
+
+
+def pooled(texts: pa.Array, vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A row per text: mean vector, mean product of neighbours, log of the number of words. ``texts`` is a slice that ``pieces`` gave."""
+    words = words_of(texts)
+    hashes, n = word_hashes(words), words.counts
+    out = np.zeros((len(texts), 2 * WIDTH + 1), np.float32)
     out[:, -1] = np.log1p(n)
-    if not len(head):
+    if not len(hashes):
         return out
-    each = vectors[head] + vectors[tail]
-    owner = np.repeat(np.arange(texts), n)
+    slot, known = found_at(vocabulary, hashes)
+    each = np.empty((len(hashes), WIDTH), np.float32)
+    each[known] = vectors[slot[known]]
+    head, tail = affixes(words)
+    each[~known] = vectors[head[~known] + len(vocabulary)] + vectors[tail[~known] + len(vocabulary)]
+    owner = np.repeat(np.arange(len(texts)), n)
     full = np.flatnonzero(n)
     out[full, :WIDTH] = np.add.reduceat(each, words.firsts[:-1][full], axis=0) / n[full, None]
     product = np.zeros_like(each)
@@ -65,8 +152,9 @@ def pooled(words: Words, head: np.ndarray, tail: np.ndarray, vectors: np.ndarray
 
 @dataclass
 class Model:
-    """Vectors of affixes, scale of the inputs, weights of both layers, temperature."""
+    """Frequent words and their vectors, scale of the inputs, weights of both layers, temperature."""
 
+    vocabulary: np.ndarray
     vectors: np.ndarray
     center: np.ndarray
     spread: np.ndarray
@@ -78,48 +166,21 @@ class Model:
         return np.tanh((x - self.center) / self.spread @ a + b) @ c + d
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """``texts`` is a slice that ``pieces`` gave."""
-        words = words_of(texts)
-        z = self.logits(pooled(words, *affixes(words), self.vectors)) / self.temperature
+        z = self.logits(pooled(texts, self.vocabulary, self.vectors)) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def contexts(parts: list[tuple[Words, np.ndarray, np.ndarray]], reach: int = 2) -> np.ndarray:
-    """Index vectors of all affixes plus the normalised sums of what stands around them in the sample."""
-    index = index_vectors(2 << BITS, 1)
-    sums = np.zeros((2 << BITS, WIDTH), np.float64)
-    for words, head, tail in parts:
-        each = index[head] + index[tail]
-        owner = np.repeat(np.arange(len(words.edges) - 1), np.diff(words.firsts))
-        for gap in range(1, reach + 1):
-            if len(head) <= gap:
-                continue
-            same = np.flatnonzero(owner[gap:] == owner[:-gap])
-            for a, b in ((same, same + gap), (same + gap, same)):
-                for places in (head, tail):
-                    order = np.argsort(places[a], kind="stable")
-                    keys, first = np.unique(places[a][order], return_index=True)
-                    sums[keys] += np.add.reduceat(each[b][order], first, axis=0)
-    length = np.linalg.norm(sums, axis=1, keepdims=True)
-    return (index + sums / np.maximum(length, 1e-9) * np.sqrt(SIGNS)).astype(np.float32) / 2
-
-
-def fit(sample: list[tuple[str, int]], hidden: int = 24, rounds: int = 300, held: int = 5, seed: int = 5) -> Model | None:
-    """Adam on the whole sample but every ``held``-th text, whose likelihood then decides the temperature."""
+def fit(sample: list[tuple[bytes, int]], vocabulary: np.ndarray, vectors: np.ndarray, hidden: int = 24, rounds: int = 100, held: int = 5, seed: int = 5) -> Model | None:
+    """Adam on the whole sample (of ``pooled`` texts) but every ``held``-th, whose likelihood then decides the temperature."""
     labels = np.array([y for _, y in sample], np.float64)
     if len(sample) < 20 or not 0 < labels.sum() < len(labels):
         return None
-    parts = []
-    for _, piece in pieces(pa.array([t for t, _ in sample], pa.large_string())):
-        words = words_of(piece)
-        parts.append((words, *affixes(words)))
-    vectors = contexts(parts)
-    x = np.concatenate([pooled(w, h, t, vectors) for w, h, t in parts]).astype(np.float64)
+    x = np.array([np.frombuffer(f, np.float32) for f, _ in sample], np.float64)
     train = np.arange(len(labels)) % held != 0
     if not 0 < labels[train].sum() < train.sum() or not 0 < labels[~train].sum() < (~train).sum():
         train[:] = True
     center, spread = x[train].mean(0), x[train].std(0) + 1e-3
-    model = Model(vectors, center, spread, [])
+    model = Model(vocabulary, vectors, center, spread, [])
     draw = np.random.default_rng(seed)
     model.layers = [draw.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), draw.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     inputs, y = (x[train] - center) / spread, labels[train]
@@ -148,9 +209,15 @@ def score(model: Model | None, column="text") -> Column:
         for batch in texts:
             out = [model.scores(p) if model else np.full(len(p), 0.5) for _, p in pieces(batch)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        give_back()
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "double").asNondeterministic()(F.col(column))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6 << 20) -> Model | None:
-    return fitted(fit, docs, labels, rows, size)
+def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500, words: int = WORDS) -> Model | None:
+    if labels.isEmpty():
+        return None
+    vocabulary = frequent_words(docs, words)
+    vectors = contexts(docs, vocabulary)
+    sample = labelled_features(docs, labels, rows, lambda texts: [x.tobytes() for x in pooled(texts, vocabulary, vectors)])
+    return warn_without_model(__name__, fit(sample, vocabulary, vectors), len(sample))

@@ -2,7 +2,7 @@
 
 Features of a text are words and pairs of neighbouring words (a word that follows itself counts as one common pair) and
 character trigrams, hashed into ``2^bits`` places; each kind has weight 1 in all, whatever the length. The regression is fitted
-on a bounded sample of labelled rows (``rows`` texts and ``size`` bytes at most), its probability is calibrated by Platt's
+on a bounded sample of labelled rows (``rows`` ids; of a text with more than ``KEPT`` different features those of greatest weight), its probability is calibrated by Platt's
 method on a part of the sample that the weights have not seen. Scoring runs in Arrow batches on whole texts.
 
 Defined results: a null text counts as an empty one; a text without words fails the base rules. Without usable labels (none,
@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, mix, per_text, pieces, shingle_hashes, ship, span_hashes, word_hashes, words_of
+from .common import give_back, labelled_features, mix, per_text, pieces, shingle_hashes, ship, span_hashes, warn_without_model, word_hashes, words_of
 
 ship(__name__)
 
 SYMBOLS = b"#*$%&|<>"
 BITS = 16
 KINDS = 3
+KEPT = 1 << 13
 RESULT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
           "base_failed:boolean,probability:double,kept:boolean>")
 
@@ -74,22 +75,31 @@ def logits(kinds, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 60, held: int = 5) -> Model | None:
-    """Adam on the whole sample but every ``held``-th text, then Platt calibration on those. None if a class is missing."""
+def weighed(texts: pa.Array) -> list[bytes]:
+    """Of each text its features (four bytes each) and their weights (four bytes each): the ``KEPT`` of greatest weight."""
+    words, out = words_of(texts), []
+    kinds = features(words, word_hashes(words))
+    for t in range(len(texts)):
+        places, weights = [], []
+        for found, edges in kinds:
+            mine, counts = np.unique(found[edges[t]:edges[t + 1]], return_counts=True)
+            places.append(mine)
+            weights.append(counts / max(1, edges[t + 1] - edges[t]))
+        places, weights = np.concatenate(places), np.concatenate(weights)
+        most = np.sort(np.argsort(-weights, kind="stable")[:KEPT])
+        out.append(places[most].astype("<u4").tobytes() + weights[most].astype("<f4").tobytes())
+    return out
+
+
+def fit(sample: list[tuple[bytes, int]], rounds: int = 60, held: int = 5) -> Model | None:
+    """Adam on the whole sample (of ``weighed`` texts) but every ``held``-th, then Platt calibration on those. None if a class is missing."""
     labels = np.array([y for _, y in sample], np.float64)
     if len(sample) < 20 or not 0 < labels.sum() < len(labels):
         return None
-    doc, place, value, texts = [], [], [], pa.array([t for t, _ in sample], pa.large_string())
-    for first, piece in pieces(texts):
-        words = words_of(piece)
-        for places, edges in features(words, word_hashes(words)):
-            owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-            pairs, counts = np.unique(owner * (KINDS << BITS) + places, return_counts=True)
-            owner = pairs // (KINDS << BITS)
-            doc.append(owner + first)
-            place.append(pairs % (KINDS << BITS))
-            value.append(counts / np.diff(edges)[owner])
-    doc, place, value = map(np.concatenate, (doc, place, value))
+    sizes = np.array([len(f) // 8 for f, _ in sample])
+    doc = np.repeat(np.arange(len(sample)), sizes)
+    place = np.concatenate([np.frombuffer(f, "<u4", n) for (f, _), n in zip(sample, sizes.tolist())]).astype(np.int64)
+    value = np.concatenate([np.frombuffer(f, "<f4", n, 4 * n) for (f, _), n in zip(sample, sizes.tolist())]).astype(np.float64)
     train = np.arange(len(labels)) % held != 0
     if not 0 < labels[train].sum() < train.sum() or not 0 < labels[~train].sum() < (~train).sum():
         train[:] = True
@@ -183,9 +193,11 @@ def judge(model: Model | None, least_words: int = 10, repeat_percent: int = 20,
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield judged(batch, model, least_words, repeat_percent, least)
+        give_back()
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, RESULT).asNondeterministic()(F.col("text"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6 << 20) -> Model | None:
-    return fitted(fit, docs, labels, rows, size)
+def trained(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> Model | None:
+    sample = labelled_features(docs, labels, rows, weighed)
+    return warn_without_model(__name__, fit(sample), len(sample))

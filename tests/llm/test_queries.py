@@ -181,13 +181,6 @@ def test_secrets(spark, folder):
     assert got[12][0].n_assign == 2 and got[12][0].n_access == 1 and got[12][0].n_hex == 1
 
 
-def test_secret_model():
-    model = secrets.fit([(re.sub("[0-9]", "", prose(k, 300)) + " internationalization configuration_manager", 1) for k in range(20)])  # words of letters only
-    find = lambda t: [t[s["start"]:s["end"]] for s in secrets.spans_of(t, True, model, 16, 12.0, 0.6)]
-    assert find("key 9f8Gh2Kq0ZxP7vLm3TnB here") == ["9f8Gh2Kq0ZxP7vLm3TnB"]
-    assert find("loremipsumdolor_sitamet_1 and 12345678901234567890 and ==================") == []
-
-
 def test_links(spark, folder):
     got = rows_by_id(QUERIES["op4_links"](spark, folder))
     said = {k: (v[0].host, v[0].path, v[0].rule, v[0].verdict) for k, v in got.items()}
@@ -396,29 +389,5 @@ def test_few_rows_move_when_a_shard_is_added(spark):
     assert sum(before[i] != after[i] for i in before) < 1600
 
 
-def test_sample_goes_on_behind_long_texts(spark):
-    """Every second text is too long, the last hundred ids of the labels have no text, and one id has hundreds of rows."""
-    rows = [(k, prose(k, 400 if k % 2 else 20)) for k in range(400)]
-    docs = spark.createDataFrame(rows + [(2, f"{rows[2][1]} {k}") for k in range(500)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 4 // 2) for k in range(500)], "doc_id long, quality int")
-    order = [r.doc_id for r in labels.where(common.learnable()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    fits = [rows[k][1] for k in order if k < 400 and k % 2 == 0]
-    sample, labelled, long = common.labelled_sample(docs, labels, 60, 20000)
-    assert [t for t, _ in sample] == fits[:60] and labelled == 60 and long > 0
-    sample, _, _ = common.labelled_sample(docs, labels, 1000, 8000)
-    total = [sum(map(len, fits[:k + 1])) for k in range(len(fits))]
-    assert [t for t, _ in sample] == [t for t, n in zip(fits, total) if n <= 8000] and len(sample) >= 20
-    assert quality_rules.trained(docs, labels, 60, 20000) is not None
-
-
-def test_no_model_is_reported(spark):
-    docs = spark.createDataFrame([(k, prose(k, 400)) for k in range(60)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
-    with pytest.raises(ValueError, match="only texts of over 1000 bytes"):
-        quality_rules.trained(docs, labels, 60, 20000)
-    with pytest.warns(RuntimeWarning, match="no model"):
-        assert quality_rules.trained(docs, labels.withColumn("quality", F.lit(1))) is None
-
-
 def test_rules_need_no_labels():
     assert quality_rules.fit([]) is None and links.matched() is not None
