@@ -157,22 +157,37 @@ def shared_size(a: str, b: str) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes in ``links`` (a, b): the smallest node that can be reached. Labels spread to neighbours and jump to
-    their labels' labels, until nothing changes; every round is a written table."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    before, spark = None, links.sparkSession
-    while True:
-        total = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before or total is None:
-            removed(spark, both)
-            return label
-        before = total
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("near"))
-        new = label.join(near, label.node == near.a, "left").select("node", F.least("label", "near").alias("label"))
-        ends = label.select(F.col("node").alias("_end"), F.col("label").alias("_jump"))
-        label, last = stored(new.join(ends, new.label == ends._end, "left").select("node", F.least("label", "_jump").alias("label")), "labels"), label
-        removed(spark, last)
+    """(node, label): the smallest node that can be reached from each node of ``links`` (a, b) but from those that are the smallest themselves.
+
+    A node that has a smaller neighbour points to the least one; pointers are followed to their ends, links are drawn between
+    these ends anew, and what is then a link of an end with itself is gone. Every step is a written table, and links get fewer with each.
+    """
+    spark = links.sparkSession
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return stored(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges, names = drawn(links), stored(spark.createDataFrame([], "node bigint, label bigint"), "names")
+    while not edges.isEmpty():
+        label = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
+        while True:
+            up = label.select(F.col("node").alias("_at"), F.col("label").alias("_up"))
+            last, label = label, stored(label.select("node", "label").join(up, F.col("label") == F.col("_at"), "left").select(
+                "node", F.coalesce("_up", "label").alias("label"), F.col("_up").isNotNull().alias("_moved")), "labels")
+            removed(spark, last)
+            if label.where("_moved").isEmpty():
+                break
+        ends, last, before = label.select("node", "label"), edges, names
+        left = edges
+        for side, other in (("a", "b"), ("b", "a")):
+            end = ends.select(F.col("node").alias(side), F.col("label").alias("_end"))
+            left = left.join(end, side, "left").select(F.coalesce("_end", side).alias(side), other)
+        edges = drawn(left)
+        end = ends.select(F.col("node").alias("label"), F.col("label").alias("_end"))
+        names = stored(names.join(end, "label", "left").select("node", F.coalesce("_end", "label").alias("label")).union(ends), "names")
+        for done in (label, last, before):
+            removed(spark, done)
+    removed(spark, edges)
+    return names
 
 
 def linked_in_block(percent: int):
@@ -231,7 +246,7 @@ def rest(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 
     stars = left.join(left.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
     clusters = components(stars).withColumnRenamed("label", "cluster")
-    nodes = left.select("node", "label", "size").distinct().join(clusters, "node")
+    nodes = left.select("node", "label", "size").distinct().join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     # a block has BLOCK nodes and BLOCK_SHINGLES shingles on average, or a single larger set
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     sizes = nodes.groupBy("cluster").agg(blocks.alias("blocks"))
