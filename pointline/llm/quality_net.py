@@ -2,8 +2,8 @@
 
 Random indexing: each word has a sparse index vector, drawn from the word's 64-bit hash. The ``words`` most frequent words of the corpus also have a
 context vector: the sum of the index vectors of all words within two places of them, over all documents, scaled to one length. A
-word's vector is its index vector plus its context vector. Rarer words fall back on the two vectors, made in the same way, of all words that begin with their
-first three bytes and of all that end with their last three and have their length class. A document is the mean of its
+word's vector is its index vector plus its context vector. Rarer words fall back on the two vectors, made in the same way, of the rarer words that begin with their
+first three bytes and of those that end with their last three and have their length class. A document is the mean of its
 words' vectors, the mean product of neighbouring words' vectors, and the logarithm of its number of words. Two layers (tanh, then
 one logit) are trained on a bounded sample (``rows`` ids) of the labelled rows that may be learned from; a temperature is fitted on a part
 of the sample that training has not seen.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, give_back, labelled_features, mix, pieces, ship, span_hashes, stored, warn_without_model, word_hashes, words_of
 
@@ -33,6 +34,7 @@ WIDTH, SIGNS, REACH = 32, 4, 2
 WORDS = 1 << 14
 COUNTED = 1 << 20
 BITS, AFFIX = 12, 3
+SALTS = 16
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
@@ -82,12 +84,15 @@ def frequent_words(docs: DataFrame, words: int) -> np.ndarray:
             yield given()
         give_back()
     most = docs.where("text is not null").select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    most = most.orderBy(F.desc("n"), "word").limit(words).collect()  # bounded by the parameter
+    # each task gives on ``words`` at most, which meet in ``SALTS`` groups; so the driver sees ``SALTS * words`` rows at most, whatever the number of tasks
+    some = Window.partitionBy("_salt").orderBy(F.desc("n"), "word")
+    most = most.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).withColumn("_rank", F.row_number().over(some)).where(F.col("_rank") <= words)
+    most = most.select("word", "n").orderBy(F.desc("n"), "word").limit(words).collect()
     return np.sort(np.array([r.word for r in most], np.int64).view(np.uint64))
 
 
 def add_contexts(sums: np.ndarray, words: Words, hashes: np.ndarray, vocabulary: np.ndarray) -> None:
-    """Adds the index vectors around each word to the rows of its vocabulary place and, after these, of its two affixes."""
+    """Adds the index vectors around each word to the row of its vocabulary place or, after these rows, to those of its two affixes."""
     if len(hashes) < 2:
         return
     index, owner = index_vectors(hashes), np.repeat(np.arange(len(words.counts)), words.counts)
@@ -97,9 +102,9 @@ def add_contexts(sums: np.ndarray, words: Words, hashes: np.ndarray, vocabulary:
         around[:-gap] += index[gap:] * same
         around[gap:] += index[:-gap] * same
     slot, known = found_at(vocabulary, hashes)
-    known = np.flatnonzero(known)
+    known, rare = np.flatnonzero(known), np.flatnonzero(~known)
     head, tail = affixes(words)
-    for rows, values in ((slot[known], around[known]), (head + len(vocabulary), around), (tail + len(vocabulary), around)):
+    for rows, values in ((slot[known], around[known]), (head[rare] + len(vocabulary), around[rare]), (tail[rare] + len(vocabulary), around[rare])):
         order = np.argsort(rows, kind="stable")
         keys, first = np.unique(rows[order], return_index=True)
         if len(keys):
