@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 PIECE_BYTES = 1 << 19
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+BATCH_BYTES = 8 << 20
+#: Settings while a table is stored: batches for Python workers hold ``BATCH_BYTES`` at most, as both sides keep a copy of each, and the
+#: shuffles that led to the table are deleted once it is written, as nothing reads them again.
+WHILE_STORING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -47,17 +50,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
-    """Writes to a new folder below ``spark.checkpoint.dir`` and reads it again: cuts lineage, survives lost executors.
-
-    Batches for Python workers hold ``BATCH_BYTES`` at most meanwhile, as both sides keep a copy of each.
-    """
+    """Writes to a new folder below ``spark.checkpoint.dir`` and reads it again: cuts lineage, survives lost executors. ``WHILE_STORING`` holds
+    meanwhile."""
     spark, path = frame.sparkSession, shared_folder(frame.sparkSession, purpose)
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    before = {name: spark.conf.get(name) for name in WHILE_STORING}
+    for name, value in WHILE_STORING.items():
+        spark.conf.set(name, value)
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.set(BATCH_SETTING, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(frame.schema).parquet(path)
 
 
