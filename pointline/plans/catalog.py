@@ -15,7 +15,7 @@ from ..functions import arrays, text
 from ..functions import calendar as cal
 from ..operators import awards, corrections, curves, ordered, records, reports, rollups, snapshots, state
 from ..session import shared_folder
-from ..sources import ingest, sinks, store, tables, upkeep
+from ..sources import ingest, repair, sinks, store, tables, upkeep
 from ..streaming import players as stream_players
 from ..streaming import sources as stream_sources
 from ..streaming import teams as stream_teams
@@ -207,6 +207,22 @@ def backfill_period_stats(spark, folder):
     return sinks.reload_table(stats, shared_folder(spark, "period-stats"), ["period_type"]).select(*stats.columns)
 
 
+@query
+def repair_period_stats(spark, folder):
+    """A stored ledger without one day's views takes up these late, with three corrections: errors of that day cost nothing, purchases of the day
+    belong to a week later, sign-ups of a day are withdrawn."""
+    ledger, late, fixed = Inputs(spark, folder).ledger(), F.col("action") == "view", F.to_date("ts") == F.lit(S.LATE_DAY)
+    week, day = F.expr("INTERVAL 7 DAYS"), F.lit(S.LATE_DAY)
+    held = store.Store(spark, shared_folder(spark, "repaired"))
+    repair.create(held, ledger.where(~(late & fixed)))
+    changes = ledger.where(fixed & F.col("action").isin("view", "error", "purchase", "signup")).withColumns({
+        "points": F.when(F.col("action") == "error", 0).otherwise(F.col("points")).cast("bigint"),
+        "ts": F.when(F.col("action") == "purchase", F.col("ts") + week).otherwise(F.col("ts")),
+        "was_day": F.when(F.col("action") == "purchase", day), "gone": F.col("action") == "signup"})
+    repair.apply_changes(held, changes)
+    return held.read("period_stats")
+
+
 @query
 def export_players(spark, folder):
     x = Inputs(spark, folder).store()
@@ -1048,6 +1064,13 @@ def stream_month_points(spark, folder):
     return stream_windows.per_team(months, tables.players(spark, folder), "month")
 
 
+@query
+def stream_period_stats(spark, folder):
+    """Roll-ups of a ledger that is kept from a stream, whatever the order in which its entries come."""
+    entries = stream_sources.event_stream(spark, folder).withColumn("ts", cal.as_wall_clock(F.col("ts")))
+    return stream_sources.run_into_ledger(tables.as_ledger(entries, tables.EVENT_RULES), "kept-ledger").read("period_stats")
+
+
 @query
 def stream_hours_at_top(spark, folder):
     """Team points per hour from a stream; the hourly checks read what it has emitted."""

@@ -272,11 +272,11 @@ _LEADER_INTS, _LEADER_DAYS = "points_earned total_score", "period_start period_e
 _CURVE_INTS = "daily_points max_total cumulative positive_points negative_points"
 
 
-def _event_stats(start: str, end: str, period: str, ts: str = "ts", extra: str = "") -> str:
+def _event_stats(start: str, end: str, period: str, ts: str = "ts", extra: str = "", source: str = "t_ledger") -> str:
     return f"""SELECT player_id, '{period}' AS period_type, {start} AS period_start, {end} AS period_end,
         sum(CASE WHEN category = 'sport' THEN points ELSE 0 END) AS sport_points,
         sum(CASE WHEN category = 'academic' THEN points ELSE 0 END) AS academic_points, sum(points) AS total_points,
-        count(*) AS actions_count{extra} FROM (SELECT * REPLACE ({ts} AS ts) FROM t_ledger)
+        count(*) AS actions_count{extra} FROM (SELECT * REPLACE ({ts} AS ts) FROM {source})
         GROUP BY player_id, period_start, period_end"""
 
 
@@ -295,9 +295,20 @@ _STANDINGS = f"""SELECT team, count(*) FILTER (place = 1) AS hours, count(*) FIL
             date_trunc('hour', TIMESTAMP '{S.NOW}') - INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS g(hour) LEFT JOIN (
         SELECT team, date_trunc('hour', ts) AS hour, sum(points) AS points FROM t_ledger
         JOIN t_players USING (player_id) GROUP BY 1, 2) USING (team, hour))) GROUP BY 1"""
+_LATE = f"CAST(ts AS DATE) = DATE '{S.LATE_DAY}'"
+_REPAIRED = f"""(SELECT * REPLACE (CASE WHEN {_LATE} AND action = 'error' THEN 0 ELSE points END AS points,
+        CASE WHEN {_LATE} AND action = 'purchase' THEN ts + INTERVAL 7 DAY ELSE ts END AS ts) FROM t_ledger
+        WHERE NOT ({_LATE} AND action = 'signup'))"""
 _PARIS = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris'"
 _WEEK_START = "CAST(date_trunc('week', ts) AS DATE)"
 
+
+def _all_event_stats(source: str) -> str:
+    bounds = {"week": (_WEEK_START, f"{_WEEK_START} + 6"), "month": ("CAST(date_trunc('month', ts) AS DATE)", "last_day(ts)"),
+              "term": (_TERM["start"], _TERM["end"])}
+    return _sql(" UNION ALL ".join(_event_stats(start, end, name, source=source) for name, (start, end) in bounds.items()), _STATS, _LEADER_DAYS)
+
+
 def _stored(new_id: str, kept: str, renamed: str) -> str:
     """What each table of the store says of each player, under new ids, of the players kept, with the entries of renames."""
     term = _TERM["start"]
@@ -334,6 +345,8 @@ ORACLE: dict[str, str] = {
         count(*) AS entries FROM t_accepted WHERE ts <= {_AS_OF} GROUP BY 1""", "total_points week_points month_points"),
     "team_entries_accepted": _sql("SELECT * FROM t_accepted"),
     "backfill_period_stats": _sql("SELECT * FROM t_order_stats", _STATS, _LEADER_DAYS),
+    "repair_period_stats": _all_event_stats(_REPAIRED),
+    "stream_period_stats": _all_event_stats("t_ledger"),
     "export_players": _sql("""SELECT name, team, score, coalesce(sport_points, 0) AS sport_points,
         coalesce(academic_points, 0) AS academic_points, coalesce(current_streak, 0) AS current_streak,
         coalesce(max_streak, 0) AS max_streak, coalesce(badge_count, 0) AS badge_count

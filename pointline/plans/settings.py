@@ -10,6 +10,7 @@ FIRST_DAY = dt.date(2024, 1, 1)
 FIRST_HOUR = dt.datetime(2024, 1, 1)
 AS_OF = dt.datetime(2024, 1, 25, 12)
 NOW = dt.datetime(2024, 1, 30, 23, 30)  # within the last day of the entries
+LATE_DAY = dt.date(2024, 1, 16)
 ORDERS_AS_OF = dt.datetime(2001, 3, 15, 12)
 CHRISTMAS = dt.datetime(1999, 12, 22, 12)
 

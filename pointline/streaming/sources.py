@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..session import STATE_STORE, shared_folder
-from ..sources import tables
+from ..sources import repair, tables
 from ..sources.store import Store
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -105,3 +105,22 @@ def run_updating(stream: DataFrame, keys: list[str], purpose: str, part: str) ->
         ).trigger(availableNow=True).start().awaitTermination()
     held.clean()
     return held.read("rows")
+
+
+def run_into_ledger(stream: DataFrame, purpose: str) -> Store:
+    """Runs ledger entries over all available input into a kept ledger with its roll-ups (``repair.apply_changes`` for each micro-batch) and
+    returns both. There is no watermark: an entry may come however late, and one that comes again under its day replaces the earlier version. A
+    repeated micro-batch changes nothing.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, purpose)
+    held = Store(spark, os.path.join(folder, "tables"))
+    repair.create(held, spark.createDataFrame([], stream.schema))
+
+    def take_up(batch: DataFrame, number: int) -> None:
+        repair.apply_changes(Store(batch.sparkSession, held.folder), batch)
+
+    stream.writeStream.foreachBatch(take_up).option("checkpointLocation", os.path.join(folder, "checkpoint")).trigger(
+        availableNow=True).start().awaitTermination()
+    held.clean()
+    return held
