@@ -1,7 +1,7 @@
 """Verdicts on urls: fixed rules first, then trust spread over the link graph, in DataFrame operations only.
 
-Nodes are hosts, edges the links between different hosts in the pages' ``href`` attributes (http, https or protocol-relative), counted once
-per pair of hosts and weighted evenly over a host's targets. Distrust starts at the hosts that a rule blocks as a whole (path ``/``), trust
+Nodes are hosts without user, port and final dot; edges are the links between different hosts in the pages' ``href`` attributes (http, https or
+protocol-relative; not within comments), counted once per pair of hosts and weighted evenly over a host's targets. Distrust starts at the hosts that a rule blocks as a whole (path ``/``), trust
 at the others of which a rule allows a page; each seed has 1, however many there are. Trust is personalised PageRank from its seeds: a host passes
 it on to its targets. Distrust goes the other way: a host takes the mean of its targets' (damped), however many others link to them. So a
 verdict depends on the host's surroundings only, not on how many hosts there are. A host is blocked if its distrust is over ``margin`` times its
@@ -23,7 +23,8 @@ from .common import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LINK = r'''(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)'''
+COMMENT = "(?s)<!--.*?-->"
+LINK = r'''(?i)(?<![\w-])href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)'''
 
 
 def after_scheme(url: Column) -> Column:
@@ -48,10 +49,16 @@ def matched(rules=RULES) -> Column:
     return found
 
 
+def node(host: Column) -> Column:
+    """The host in the graph: without user, port and final dot. Rules look at the host as it stands."""
+    return F.regexp_replace(F.regexp_replace(F.translate(host, UPPER, LOWER), "^.*@", ""), r"\.?(:\d*)?$", "")
+
+
 def edges(pages: DataFrame) -> DataFrame:
-    """Distinct (source, target) pairs of different hosts; ``pages`` has host and html."""
-    links = pages.select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"))
-    links = links.select("source", F.translate("target", UPPER, LOWER).alias("target"))
+    """Distinct (source, target) pairs of different nodes; ``pages`` has node and html."""
+    shown = F.regexp_replace("html", COMMENT, " ")
+    links = pages.select(F.col("node").alias("source"), F.explode(F.regexp_extract_all(shown, F.lit(LINK), 1)).alias("target"))
+    links = links.select("source", node(F.col("target")).alias("target"))
     return links.where("source <> '' and target <> '' and source <> target").distinct()
 
 
@@ -77,13 +84,13 @@ def spread(hosts: DataFrame, links: DataFrame, seed: str, together, rest: float,
 def judged(pages: DataFrame, rules=RULES, rest: float = 1e-5, damping: float = 0.85, margin: float = 1.0, floor: float = 1e-4, cut: int = 3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust for each row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
-    pages = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
+    pages = pages.select("page_id", host.alias("host"), node(host).alias("node"), path.alias("path"), "html")
     rows = pages.drop("html").withColumn("_rule", matched(rules))
     links = stored(edges(pages.where("html is not null")), "links")
     whole = F.lit(False)
     for verdict, name, _ in (r for r in rules if r[0] == "block" and r[2] == "/"):
         whole = whole | (F.col("host") == name) | F.col("host").endswith("." + name)
-    own = rows.groupBy("host").agg(F.max(F.col("_rule.verdict").eqNullSafe("allow")).alias("trusted"))
+    own = rows.groupBy(F.col("node").alias("host")).agg(F.max(F.col("_rule.verdict").eqNullSafe("allow")).alias("trusted"))
     linked = links.select(F.col("source").alias("host")).union(links.select("target")).distinct()
     hosts = own.join(linked, "host", "full").select("host", (F.coalesce("trusted", F.lit(False)) & ~whole).alias("trusted"), whole.alias("blocked"))
     hosts = stored(hosts, "hosts")
@@ -92,9 +99,9 @@ def judged(pages: DataFrame, rules=RULES, rest: float = 1e-5, damping: float = 0
     trust = spread(hosts, shares, "trusted", F.sum, rest, damping, cut).withColumnRenamed("score", "trust")
     turned = shares.select(F.col("target").alias("source"), F.col("source").alias("target"), "share")
     distrust = spread(hosts, turned, "blocked", F.max, rest, damping, cut).withColumnRenamed("score", "distrust")
-    scores = stored(trust.join(distrust, "host"), "scores")
+    scores = stored(trust.join(distrust, "host").withColumnRenamed("host", "node"), "scores")
     # a host with a third of all pages is no hot key: adaptive execution splits its side of this join, and the other has one row per host
-    rows = rows.join(scores, "host", "left")
+    rows = rows.join(scores, "node", "left")
     method = F.when(F.col("distrust") > margin * F.col("trust") + floor, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", method).alias("verdict"),
                        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
